@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, sharding, token_counts, token_output
+from . import audio_features, byte_bpe, sharding, token_counts, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +32,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_output, op5_token_counts, op7_audio_features, op9_sharding)}
+    return {f.__name__: f for f in (op2_token_output, op5_token_counts, op7_audio_features, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

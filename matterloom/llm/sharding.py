@@ -72,11 +72,11 @@ def place_sql(table: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS,
     WITH RECURSIVE shards AS (SELECT generate_subscripts([{names}], 1) - 1 AS i, unnest([{names}]) AS shard),
     prefs AS (SELECT i, shard, ('0x' || substr(md5('offset:' || shard), 1, 8))::BIGINT % {size} AS off,
                      ('0x' || substr(md5('skip:' || shard), 1, 8))::BIGINT % ({size} - 1) + 1 AS skip FROM shards),
-    turns(t, slot, i, taken) AS (
-      SELECT 0, off, i, [off] FROM prefs WHERE i = 0
+    turns(t, slot, i, free) AS (
+      SELECT 0, off, i, [k <> off FOR k IN range({size})] FROM prefs WHERE i = 0
       UNION ALL
-      SELECT t + 1, s, i, list_append(taken, s) FROM (
-        SELECT t, p.i, taken, list_filter(list_transform(range({size}), j -> (off + j * skip) % {size}), x -> NOT list_contains(taken, x))[1] AS s
+      SELECT t + 1, s, i, [free[k + 1] AND k <> s FOR k IN range({size})] FROM (
+        SELECT t, p.i, free, [(off + j * skip) % {size} FOR j IN range({size}) IF free[(off + j * skip) % {size} + 1]][1] AS s
         FROM turns JOIN prefs p ON p.i = (t + 1) % {len(shards)} WHERE t + 1 < {size}))
     SELECT d.{key}, turns.slot::INT AS slot, shard FROM {table} d
     JOIN turns ON turns.slot = ('0x' || substr(md5(coalesce(d.{key}::VARCHAR, '')), 1, 8))::BIGINT % {size} JOIN shards USING (i)"""
