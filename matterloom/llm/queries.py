@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, byte_bpe, sharding, token_counts, token_output
+from . import audio_features, byte_bpe, quality_rules, sharding, token_counts, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,8 +41,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_output, op5_token_counts, op7_audio_features, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_token_output, op3_quality_rules, op5_token_counts, op7_audio_features, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": sharding.place_sql("documents")}
+    return {"op3_quality_rules": quality_rules.rules_sql(), "op9_sharding": sharding.place_sql("documents")}
