@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, byte_bpe, quality_rules, sharding, token_counts, token_output
+from . import audio_features, byte_bpe, mixing, quality_rules, sharding, token_counts, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -41,7 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_output, op3_quality_rules, op5_token_counts, op7_audio_features, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op7_audio_features, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
