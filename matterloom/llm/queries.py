@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, byte_bpe, mixing, quality_rules, sharding, token_counts, token_output
+from . import audio_features, byte_bpe, html_text, mixing, quality_rules, sharding, token_counts, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features.audio_features(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op7_audio_features, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
