@@ -34,7 +34,8 @@ def test_host_paths_decide(spark):
     rows, want = [], {}
     for i in range(60):
         body = words(40 if i % 10 else 5)
-        rows.append((i, f"http://Host.example:80/{i}", f'<body><div class="post p{i}"><p>{body}</p></div><div class="extra"><p>{words(12)}</p></div></body>', "clash"))
+        extra = words(12) if i % 10 == 0 else f"<a href=x>{words(12)}</a>"
+        rows.append((i, f"http://Host.example:80/{i}", f'<body><div class="post p{i}"><p>{body}</p></div><div class="extra"><p>{extra}</p></div></body>', "clash"))
         want[i] = body
     rows += [(100, None, None, "x"), (101, "not a url", "", "x"), (None, "http://b.example", "<p>just text", "x"), (None, "http://b.example", "<p>just text", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
