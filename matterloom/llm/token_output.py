@@ -16,7 +16,6 @@ result row each; an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,53 +26,65 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, slices, strings, written
+from .common import drop, slices, written
 
 STEP = 256
 BLOCK = 1 << 18
 MAX_BITS = 18
 #: Words whose ids a worker remembers, in two generations.
-KEPT_WORDS = 300_000
-SPACE = re.compile(r"[ \t\n\v\f\r]+")
+KEPT_WORDS = 450_000
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file whose pre-tokens never cross white space, so that each distinct
-    word goes through the library once per worker. A full stop, comma or the like after a letter is a pre-token
-    of its own and is looked up separately."""
+    """Ids of whole texts by a tokenizers file whose pre-tokens never cross white space. Texts are cut at ASCII white
+    space, each distinct word of a batch is looked up once, and a word goes through the library only when the worker
+    has not met it lately. A full stop, comma or the like after a letter is a pre-token of its own and is looked up
+    separately."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.wide = self.library.get_vocab_size() > 65_536
+        vocabulary = self.library.get_vocab()
+        self.wide = len(vocabulary) > 65_536
+        self.kind, self.width = ("<u4", 4) if self.wide else ("<u2", 2)
+        #: Tokens that end a pre-token.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> None:
-        kind = np.dtype("<u4" if self.wide else "<u2")
-        for w, x in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.new[w] = np.array(x.ids, kind).tobytes()
-
-    def __call__(self, texts: list[str], end: int) -> list[bytes]:
+        """Words of letters alone are one pre-token each, so many go through the library as one text, and are
+        told apart by the tokens that end a word; should those be too many, or for other words, one by one."""
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[at : at + 1000] for at in range(0, len(letters), 1000)]
+        for some, coded in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, np.int64)
+            cut = np.flatnonzero(self.last[ids]) + 1
+            if len(cut) == len(some):
+                raw, ends = ids.astype(self.kind).tobytes(), (cut * self.width).tolist()
+                self.new.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = [w for w in words if w not in self.new]
+        for w, x in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.new[w] = np.array(x.ids, self.kind).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.new) > KEPT_WORDS:
             self.old, self.new = self.new, {}
-        # str.split() also takes the four separators 1C-1F, which are not white space to the library.
-        split = [[w for w in SPACE.split(t) if w] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        new, old = self.new, self.old
         missing: dict[str, None] = {}
         stems: dict[str, tuple[str, str]] = {}
-        new, old = self.new, self.old
-        for words in split:
-            for w in words:
-                if w in new or w in missing or w in stems:
-                    continue
-                if (seen := old.get(w)) is not None:
-                    new[w] = seen
-                elif len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha():
-                    stems[w] = (w[:-1], w[-1])
-                else:
-                    missing[w] = None
+        got = list(map(new.get, words))
+        for w in [w for w, ids in zip(words, got, strict=True) if ids is None]:
+            if (seen := old.get(w)) is not None:
+                new[w] = seen
+            elif len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha():
+                stems[w] = (w[:-1], w[-1])
+            else:
+                missing[w] = None
         for parts in stems.values():
             for p in parts:
                 if p not in new:
@@ -85,8 +96,22 @@ class WordEncoder:
             self._encode(list(missing))
         for w, (a, b) in stems.items():
             new[w] = new[a] + new[b]
-        last = np.array([end], "<u4" if self.wide else "<u2").tobytes()
-        return [b"".join([new[w] for w in words]) + last for words in split]
+        return [new[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+
+    def __call__(self, texts: pa.Array, end: int) -> pa.Array:
+        """The packed ids of each text and ``end``; null is empty."""
+        split = pa.compute.ascii_split_whitespace(texts.fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        table = self.words(coded.dictionary.to_pylist()) + [np.array([end], self.kind).tobytes()]
+        sizes = np.array([len(x) // self.width for x in table], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(table), self.kind)
+        counts = np.diff(split.offsets.to_numpy())
+        word = np.insert(coded.indices.to_numpy(), np.cumsum(counts), len(table) - 1)
+        ends = np.cumsum(sizes[word])
+        ids = flat[np.repeat(starts[word] - ends + sizes[word], sizes[word]) + np.arange(ends[-1] if len(ends) else 0)]
+        offsets = np.r_[0, ends[np.cumsum(counts + 1) - 1] * self.width].astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -188,8 +213,8 @@ def encode_documents(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(path)
-        for batch in slices(batches, "text", size=4 << 20):
-            yield pa.record_batch([batch.column("doc_id"), pa.array(encode_texts(strings(batch.column("text")), end), pa.binary())], ["doc_id", "ids"])
+        for batch in slices(batches, "text", rows=10_000, size=12 << 20):
+            yield pa.record_batch([batch.column("doc_id"), encode_texts(batch.column("text"), end)], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, f"doc_id {id_type}, ids binary")
 
