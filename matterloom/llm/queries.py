@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, byte_bpe, html_text, mixing, quality_rules, sharding, token_counts, token_output
+from . import audio_features, byte_bpe, html_text, mixing, quality_rules, sharding, token_counts, token_output, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
