@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, byte_bpe, html_text, mixing, quality_rules, sharding, token_counts, token_output, toxicity
+from . import audio_features, byte_bpe, html_text, jaccard_join, mixing, quality_rules, sharding, token_counts, token_output, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features.audio_features(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"))
 
@@ -53,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op8_jaccard_join, op9_sharding, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
