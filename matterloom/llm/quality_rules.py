@@ -2,7 +2,7 @@
 
 Lines are normalised (ASCII letters lowered, digits made 0, white space collapsed) and hashed together with their host.
 For every host and line the distinct documents are counted; copies of a document count once, because a document is
-told by the least hash of its lines. Lines above ``LIMIT`` documents are removed everywhere on that host.
+told by the two least hashes of its other lines. Lines above ``LIMIT`` documents are removed everywhere on that host.
 
 Plan: one pass sends (line, document) hashes, distinct first within a task and then by shuffle, so that a line that
 a third of all documents hold is reduced before it is dealt out, and counted by partial sums. If the frequent lines
@@ -84,6 +84,12 @@ def base(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
 
 
+def others(own: set[int]) -> list[int]:
+    """For each of a document's lines, a number made of the two least hashes of its other lines (0 where there are none)."""
+    a, b, c = [*sorted(own)[:3], 0, 0, 0][:3]
+    return [(b << 1) ^ c if x == a else (a << 1) ^ (c if x == b else b) for x in own]
+
+
 def line_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """(line, documents): distinct documents of each host's line."""
 
@@ -92,9 +98,8 @@ def line_documents(docs: DataFrame, text: str = "text", host: str = "source") ->
             lines, told = [], []
             for t, h in zip(strings(batch.column("text")), batch.column("host").to_pylist(), strict=True):
                 own = {line_hash(h, w) for x in t.encode().split(b"\n") if (w := line_words(x))}
-                if own:
-                    lines.extend(own)
-                    told.extend([min(own)] * len(own))
+                lines.extend(own)
+                told.extend(others(own))
             yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(told, pa.int64())], ["line", "document"])
 
     pairs = docs.select(F.col(text).alias("text"), F.col(host).alias("host")).mapInArrow(run, "line long, document long").distinct()
@@ -196,7 +201,8 @@ def rules_sql(table: str = "documents", limit: int = LIMIT, left: float = LEFT)
     rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
     ln AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d),
     lines AS (SELECT r, line, len(regexp_extract_all(line, '{word}')) AS n, ('0x' || substr(md5(host || chr(10) || {plain}), 1, 15))::BIGINT AS h FROM ln WHERE regexp_matches(line, '{word}')),
-    told AS (SELECT DISTINCT h, min(h) OVER (PARTITION BY r) AS m FROM lines),
+    own AS (SELECT r, list_sort(list(DISTINCT h))[1:3] AS least FROM lines GROUP BY r),
+    told AS (SELECT DISTINCT h, [x FOR x IN least IF x <> h][1:2] AS m FROM lines JOIN own USING (r)),
     often AS (SELECT h FROM told GROUP BY h HAVING count(DISTINCT m) > {limit}),
     dup AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines, (coalesce(sum(n) FILTER (WHERE h IN (FROM often)), 0))::BIGINT AS n_removed FROM lines GROUP BY r),
     m AS (SELECT d.doc_id, len(regexp_extract_all(text, '{word}'))::BIGINT AS n_words,

@@ -19,9 +19,9 @@ def brute(rows, limit, left):
     norm = lambda x: " ".join(WORD.findall(x)).translate(PLAIN)
     for _, t, s in rows:
         own = {norm(x) for x in (t or "").split("\n")} - {""}
-        told = min(own, key=lambda x: q.line_hash(s, x.encode().split()), default=None)
+        hashes = {x: q.line_hash(s, x.encode().split()) for x in own}
         for x in own:
-            lines.setdefault((s, x), set()).add(told)
+            lines.setdefault((s, x), set()).add(tuple(sorted(h for y, h in hashes.items() if y != x)[:2]))
     for i, t, s in rows:
         t = t or ""
         words = WORD.findall(t)
