@@ -56,8 +56,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op8_jaccard_join, op9_sharding, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op8_jaccard_join, op9_sharding, op10_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
