@@ -140,7 +140,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of the labelled documents that are not held out; of the labels, at most about ``most`` rows by hash."""
+    """(text, toxic, family) of the labelled documents that are not held out; of the labels, at most about ``most`` rows by hash."""
     spark = docs.sparkSession
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
     total = rows.count()
@@ -154,9 +154,10 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
         for batch in batches:
             found = [table.get(i) for i in batch.column("doc_id").to_pylist()]
             at = [k for k, x in enumerate(found) if x is not None]
-            yield pa.record_batch([batch.column("text").take(pa.array(at, pa.int64())), pa.array([found[k] for k in at], pa.int32())], ["text", "toxic"])
+            texts = batch.column("text").take(pa.array(at, pa.int64()))
+            yield pa.record_batch([texts, pa.array([found[k] for k in at], pa.int32()), pa.array([family(words_of(t)) for t in strings(texts)], pa.int64())], ["text", "toxic", "family"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pick, "text string, toxic int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pick, "text string, toxic int, family long")
 
 
 def family(words: list[str]) -> int:
@@ -165,27 +166,27 @@ def family(words: list[str]) -> int:
 
 
 def count_features(train: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): families of labelled documents of each kind that have the word or beginning."""
+    """(feature, toxic, clean): families of labelled documents of each kind whose (one) text has the word or beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[tuple[str, int, bool]] = set()
+        held = (Counter(), Counter())
 
         def send() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True)) or [()] * 3
-            held.clear()
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.bool_()), strict=True)], ["feature", "family", "toxic"])
+            names = list(held[0] | held[1])
+            out = pa.record_batch([pa.array(names, pa.string()), *(pa.array([h[f] for f in names], pa.int64()) for h in held)], ["feature", "clean", "toxic"])
+            held[0].clear(), held[1].clear()
+            return out
 
         for batch in slices(batches, "text"):
             for t, y in zip(strings(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                words = words_of(t)
-                told = family(words)
-                held.update((f, told, y > 0) for f in features(set(words)))
-                if len(held) > HELD:
+                held[y].update(features(set(words_of(t))))
+                if len(held[0]) + len(held[1]) > HELD:
                     yield send()
         yield send()
 
-    counts = train.mapInArrow(run, "feature string, family long, toxic boolean").distinct()
-    return counts.groupBy("feature").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
+    one = train.groupBy("family", (F.col("toxic") > 0).alias("toxic")).agg(F.min("text").alias("text"))
+    counts = one.select("text", "toxic").mapInArrow(run, "feature string, clean long, toxic long")
+    return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _mapped(train: DataFrame, model: Model, schema: str, make) -> DataFrame:
