@@ -1,0 +1,36 @@
+"""Registered queries: each is a DataFrame plan over the tables of a folder, with the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder by name, read when asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a plan, a function of :class:`Tables`, under its own name."""
+
+    def register(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[plan.__name__] = lambda spark, folder: plan(Tables(spark, folder))
+        if sql:
+            ORACLES[plan.__name__] = sql
+        return plan
+
+    return register
+
+
+def load() -> None:
+    from . import statistics  # noqa: F401
