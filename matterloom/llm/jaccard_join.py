@@ -9,7 +9,8 @@ What shares a subset or list is a bucket. A bucket's members are compared with a
 first with its most central member (that with most of its signatures shared), then with 8, 64, ... members by hash.
 Members that are already in one component are not compared any more, nor those whose distances to the first hub differ
 by more than a link allows (Jaccard distance is a metric). A bucket ends when it is one component or all members have
-been hubs, so no link between components is lost. Every comparison intersects whole sets.
+been hubs, so no link between components is lost. A pair is first held against the bound that the sets' counts by hash
+range give their intersection; whole sets are sent and intersected only where that bound allows a link.
 
 Rarity is an estimate (buckets that are frequent within a task), the same for all tasks; it decides order, hence
 cost, and never the result. Shingles are 64-bit hashes, a node is the 64-bit digest of its set, and sets travel with
@@ -38,6 +39,8 @@ from .common import slices, written
 CELLS = 20  # bits of the table that estimates how frequent a shingle is
 LARGEST_LIGHT = 30
 GROWTH = 8
+#: Nodes whose numbers are broadcast at most, to pick out their sets.
+BROADCAST = 1_000_000
 MASK48 = np.uint64((1 << 48) - 1)
 
 
@@ -121,35 +124,48 @@ def boundary(sizes: dict[int, int], list_length: float, num: int, den: int) -> i
     return min(range(1, LARGEST_LIGHT + 1), key=cost)
 
 
+def counts_by_range(shingles: np.ndarray) -> bytes:
+    """How many shingles lie in each of equal ranges of the hash, about eight in one."""
+    bits = min(12, max(3, (len(shingles) // 6).bit_length()))
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """An upper bound of the intersection of two sets, from their counts by range."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    least = min(len(x), len(y))
+    return int(np.minimum(x.reshape(least, -1).sum(1), y.reshape(least, -1).sum(1)).sum())
+
+
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (doc_id, size, node), and rows (cell, uses) of cells that are frequent within a task."""
+    """Rows of documents (doc_id, size, node, ranges), and rows (cell, uses) of cells that are frequent within a task."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELLS, np.int64)
-        names = ["doc_id", "size", "node", "cell", "uses"]
+        names = ["doc_id", "size", "node", "ranges", "cell", "uses"]
         for batch in slices(batches, "text", rows=4000):
             sets = shingle_sets(batch.column("text"), n)
             cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
             nothing = pa.nulls(len(sets), pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node(s) if len(s) else None for s in sets], pa.int64()), nothing, nothing], names)
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node(s) if len(s) else None for s in sets], pa.int64()), pa.array([counts_by_range(s) for s in sets], pa.binary()), nothing, nothing], names)
         often = np.flatnonzero(cells >= max(8, 4 * cells.mean()))
         nothing = pa.nulls(len(often), pa.int64())
         kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-        yield pa.record_batch([pa.nulls(len(often), kind), nothing, nothing, pa.array(often, pa.int64()), pa.array(cells[often], pa.int64())], names)
+        yield pa.record_batch([pa.nulls(len(often), kind), nothing, nothing, pa.nulls(len(often), pa.binary()), pa.array(often, pa.int64()), pa.array(cells[often], pa.int64())], names)
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, size long, node long, cell long, uses long")
+    return docs.mapInArrow(run, f"doc_id {id_type}, size long, node long, ranges binary, cell long, uses long")
 
 
 def _signatures(docs: DataFrame, n: int, uses: np.ndarray, bound: int, num: int, den: int) -> DataFrame:
-    """(bucket, node, size, signatures): subsets of light sets and list heads of heavy ones; a task gives each node once."""
+    """(bucket, node): subsets of light sets and list heads of heavy ones; a task gives each node once."""
     order = docs.sparkSession.sparkContext.broadcast(uses)
     near = -(-num * bound // den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in slices(batches, "text", rows=2000):
-            buckets, nodes, sizes = [], [], []
+            buckets, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets(batch.column("text"), n):
                 if not len(s) or (me := node(s)) in done:
                     continue
@@ -160,16 +176,11 @@ def _signatures(docs: DataFrame, n: int, uses: np.ndarray, bound: int, num: int,
                 if len(s) >= near:
                     rare = np.lexsort((s, order.value[(s >> np.uint64(64 - CELLS)).astype(np.int64)]))
                     mine.append(s[rare[: len(s) - -(-num * len(s) // den) + 1]])
-                found = np.concatenate(mine)
-                buckets.append(found.view(np.int64))
-                nodes.append(np.full(len(found), me, np.int64))
-                sizes.append(np.full(len(found), len(s), np.int64))
-            if buckets:
-                all_sizes = np.concatenate(sizes)
-                total = np.repeat([len(b) for b in buckets], [len(b) for b in buckets])
-                yield pa.record_batch([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(nodes)), pa.array(all_sizes), pa.array(total.astype(np.int64))], ["bucket", "node", "size", "signatures"])
+                buckets += [x.view(np.int64) for x in mine]
+                nodes += [np.full(len(x), me, np.int64) for x in mine]
+            yield pa.record_batch([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(nodes))], ["bucket", "node"])
 
-    return docs.select("text").mapInArrow(run, "bucket long, node long, size long, signatures long").distinct()
+    return docs.select("text").mapInArrow(run, "bucket long, node long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -195,8 +206,21 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (hub, node, size, hub_size) whose counts by range allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(*(batch.column(c).to_pylist() for c in ("hub_ranges", "ranges", "hub_size", "size")), strict=True)
+            keep = [(num + den) * most_shared(a, b) >= num * (m + n) for a, b, m, n in sizes]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["hub", "node", "size", "hub_size"])
+
+    both = pairs.select("hub", "node").join(nodes, "node").join(nodes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("ranges").alias("hub_ranges")), "hub")
+    return written(both.mapInArrow(run, "hub long, node long, size long, hub_size long"), "possible")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(hub, node, shared): sizes of the intersections of whole sets."""
+    """The pairs with ``shared``, the size of the intersection of their whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, hub = None, None
@@ -205,14 +229,28 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for h, a, b in zip(batch.column("hub").to_pylist(), batch.column("hub_shingles"), batch.column("shingles"), strict=True):
                 if h != last:
                     last, hub = h, _unpack(a.as_py())
-                other = _unpack(b.as_py())
-                both = np.concatenate([hub, other])
+                both = np.concatenate([hub, _unpack(b.as_py())])
                 both.sort()
                 shared.append(int((both[1:] == both[:-1]).sum()))
-            yield pa.record_batch([batch.column("hub"), batch.column("node"), pa.array(shared, pa.int64())], ["hub", "node", "shared"])
+            names = ["hub", "node", "size", "hub_size"]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(shared, pa.int64())], [*names, "shared"])
 
     joined = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
-    return joined.select("hub", "node", "hub_shingles", "shingles").mapInArrow(run, "hub long, node long, shared long")
+    return joined.select("hub", "node", "size", "hub_size", "hub_shingles", "shingles").mapInArrow(run, "hub long, node long, size long, hub_size long, shared long")
+
+
+def _sets_of(pairs: DataFrame, docs: DataFrame, n: int, have: DataFrame | None) -> DataFrame:
+    """``have`` and the sets of those nodes of ``pairs`` that it lacks. The nodes' numbers are broadcast if they are few enough."""
+    wanted = pairs.select("node").union(pairs.select("hub")).distinct()
+    if have is not None:
+        wanted = wanted.join(have.select("node"), "node", "left_anti")
+    wanted = written(wanted, "wanted")
+    count = wanted.count()
+    if not count and have is not None:
+        return have
+    found = _sets(docs, n).join(F.broadcast(wanted) if count <= BROADCAST else wanted, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = written(found, "sets", "uncompressed")
+    return found if have is None else have.unionByName(found)
 
 
 def components(edges: DataFrame, label: str = "edges") -> DataFrame:
@@ -238,64 +276,65 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id of every document; sets link at a Jaccard similarity of ``num / den``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    first = written(_first_pass(docs, n), "nodes")
+    first = written(_first_pass(docs, n), "documents")
     members = first.where("cell IS NULL").select("doc_id", "size", "node")
+    nodes = first.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("ranges").alias("ranges"))
+    nodes = written(nodes, "nodes")
 
     uses = np.zeros(1 << CELLS, np.int64)
     for r in first.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("uses").alias("uses")).toLocalIterator():
         uses[r.cell] = r.uses
-    histogram = {r["size"]: r.n for r in members.where(F.col("size").between(1, 2 * LARGEST_LIGHT)).groupBy("size").agg(F.count("*").alias("n")).collect()}
-    total = members.agg(F.sum("size")).first()[0] or 0
+    histogram = {r["size"]: r.n for r in nodes.where(F.col("size") <= 2 * LARGEST_LIGHT).groupBy("size").agg(F.count("*").alias("n")).collect()}
+    total = nodes.agg(F.sum("size")).first()[0] or 0
     bound = boundary(histogram, float((uses.astype(float) ** 2).sum() / max(total, 1)), num, den)
 
-    raw = _signatures(docs, n, uses, bound, num, den)
-    raw = written(raw, "signatures", "lz4")
-    shared = raw.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = raw.join(shared, "bucket")
-    central = buckets.groupBy("node").agg((F.count("*") / F.first("signatures")).alias("central"))
-    buckets = written(buckets.join(central, "node").select("bucket", "node", "size", "central", "m"), "buckets")
-    sets = _sets(docs, n).join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "sets", "uncompressed")
-
-    # In every round: hubs (bucket, hub, its size, component and distance to the first hub) meet the bucket's members.
-    active = buckets.select("bucket", "node", "size", "m", F.col("node").alias("root"), F.lit(None).cast("double").alias("distance"), "central")
-    tops = active.groupBy("bucket").agg(F.max(F.struct("central", F.col("size").alias("hub_size"), F.col("node").alias("hub"))).alias("top"))
+    # One shuffle by bucket serves to count its members and to keep those of shared buckets.
+    raw = _signatures(docs, n, uses, bound, num, den).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    shared = raw.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket", "m")
+    buckets = written(raw.join(shared, "bucket").distinct(), "shared")
+    central = buckets.groupBy("node").agg(F.count("*").alias("central"))
+    about = nodes.select("node", "size").join(central, "node").withColumn("central", F.col("central") / F.col("size"))
+    buckets = written(buckets.join(about, "node"), "buckets")
+
+    # In every round hubs meet their bucket's members: first its most central member does.
+    tops = buckets.groupBy("bucket").agg(F.max(F.struct("central", F.col("size").alias("hub_size"), F.col("node").alias("hub"))).alias("top"))
     tops = written(tops.select("bucket", "top.hub", "top.hub_size"), "hubs")
     compatible = (den * F.least("size", "hub_size") >= num * F.greatest("size", "hub_size")) & (F.col("hub") != F.col("node"))
     linked = (num + den) * F.col("shared") >= num * (F.col("size") + F.col("hub_size"))
-    pairs = written(active.join(tops, "bucket").where(compatible).select("hub", "node", "size", "hub_size").distinct(), "pairs")
-    seen = written(_compare(pairs.select("hub", "node"), sets).join(pairs, ["hub", "node"]).select("hub", "node", (1 - F.col("shared") / (F.col("size") + F.col("hub_size") - F.col("shared"))).alias("distance"), linked.alias("linked")), "compared")
-    edges = seen.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    roots = components(edges)
+    pairs = _possible(buckets.join(tops, "bucket").where(compatible).select("hub", "node").distinct(), nodes, num, den)
+    sets = _sets_of(pairs, docs, n, None)
+    seen = written(_compare(pairs, sets).select("hub", "node", (1 - F.col("shared") / (F.col("size") + F.col("hub_size") - F.col("shared"))).alias("distance"), linked.alias("linked")), "compared")
+    roots = components(seen.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
     distances = tops.join(seen.select("hub", "node", "distance"), "hub").select("bucket", "node", "distance").unionByName(tops.select("bucket", F.col("hub").alias("node"), F.lit(0.0).alias("distance")))
-    active = active.drop("distance").join(distances, ["bucket", "node"], "left")
+    active = _open(buckets.drop("central"), roots).join(distances, ["bucket", "node"], "left")
+    # Members whose share of the hash lies below high / m become hubs; those below low / m have been.
+    active = active.withColumn("turn", F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) * F.col("m") / (1 << 30))
 
     low, high = 0.0, float(GROWTH)
     while True:
-        active = active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        active = _open(active)
-        # Members whose share of the hash lies below high / m are hubs by now; those below low / m have been.
-        active = written(active.withColumn("turn", F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) * F.col("m") / (1 << 30)), "active")
+        active = written(active, "active")
         if active.isEmpty():
             break
         hubs = active.where((F.col("turn") >= low) & (F.col("turn") < high)).select("bucket", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"), F.col("distance").alias("hub_distance"))
         reach = (den - num) / den + 1e-9
         apart = F.coalesce(F.abs(F.col("distance") - F.col("hub_distance")) > reach, F.lit(False))
         pairs = active.join(hubs, "bucket").where(compatible & (F.col("root") != F.col("hub_root")) & ~apart)
-        pairs = written(pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"), F.when(F.col("hub") < F.col("node"), F.col("size")).otherwise(F.col("hub_size")).alias("size"), F.when(F.col("hub") < F.col("node"), F.col("hub_size")).otherwise(F.col("size")).alias("hub_size")).distinct(), "pairs")
-        found = written(_compare(pairs.select("hub", "node"), sets).join(pairs, ["hub", "node"]).where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
-        if not found.isEmpty():
-            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = components(known.unionByName(found))
-        # Whoever has been a hub has met all others; buckets whose members have all been hubs are done.
-        active = active.where((F.col("turn") >= high) | (F.col("m") > high)).drop("turn")
+        pairs = _possible(pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), nodes, num, den)
+        if not pairs.isEmpty():
+            sets = _sets_of(pairs, docs, n, sets)
+            found = written(_compare(pairs, sets).where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
+            if not found.isEmpty():
+                roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        # A bucket with as many members as hubs had their turn is done; so is one that is a single component.
+        active = _open(active.where(F.col("m") > high).drop("root"), roots)
         low, high = high, high * GROWTH
     whole = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = whole.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return whole.join(ids, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _open(active: DataFrame) -> DataFrame:
-    """The members of buckets that are not one component yet."""
+def _open(active: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their components' roots, of buckets that are not one component yet."""
+    active = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     state = active.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     return active.join(state, "bucket")

@@ -33,4 +33,4 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import statistics  # noqa: F401
+    from . import chat, curation, runs, sampling, search, statistics  # noqa: F401
