@@ -55,12 +55,9 @@ def literal_text(value: Column, kind: str) -> Column:
 
 def short_count(n: Column) -> Column:
     """999, 1.50K, 2.50M, 1.00G."""
-    return (
-        F.when(n < 1000, F.format_string("%d", n.cast("long")))
-        .when(n < 1_000_000, F.format_string("%.2fK", n / 1e3))
-        .when(n < 1_000_000_000, F.format_string("%.2fM", n / 1e6))
-        .otherwise(F.format_string("%.2fG", n / 1e9))
-    )
+    # format_number rounds the double itself, as printf does; format_string would round its shortest decimal form.
+    shown = lambda x, unit: F.concat(F.replace(F.format_number(x, 2), F.lit(","), F.lit("")), F.lit(unit))
+    return F.when(n < 1000, n.cast("long").cast("string")).when(n < 1_000_000, shown(n / 1e3, "K")).when(n < 1_000_000_000, shown(n / 1e6, "M")).otherwise(shown(n / 1e9, "G"))
 
 
 def bytes_text(n: Column) -> Column:
