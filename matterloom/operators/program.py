@@ -80,3 +80,39 @@ class ProgramRows:
                     break
             else:
                 yield (pos, "other", None, None, None, None)
+
+
+#: The comment that opens the parameters, and lines that set or add stops and points.
+PARAMETERS = "# Set parameters for each node"
+STOP = r"^\w+\.(color_ramp\.elements\[\d+\]\.(position|color)|curves\[\d+\]\.points\[\d+\]\.location) = "
+NEW_STOP = r"^\w+\.(color_ramp\.elements|curves\[\d+\]\.points)\.new"
+
+
+def shrunk(texts: DataFrame, key: str, code: str, limit: int, seed: int) -> DataFrame:
+    """(key, code): programs of at most ``limit`` tokens (H28). From longer ones parameter lines go in the order of their hashes until the
+    rest fits; a new stop or point goes with the line after it, and updates of stops and points stay. ``code`` is null where all
+    that may go is not enough. Tokens are the built-in count, which adds up over lines."""
+    from pyspark.sql import Window
+
+    from ..functions.hashing import int_hash
+    from .gates import token_count
+
+    whole = Window.partitionBy(key)
+    rows_ = texts.select(key, F.posexplode(F.split(code, "\n", -1)).alias("pos", "line"))
+    rows_ = rows_.withColumns({"bare": F.trim("line"), "tokens": token_count(F.col("line"))})
+    inside = F.min(F.when(F.col("line").contains(PARAMETERS), F.col("pos"))).over(whole)
+    follows = F.coalesce(F.lag("bare").over(whole.orderBy("pos")).rlike(NEW_STOP), F.lit(False))
+    may = (F.col("pos") > inside) & (F.col("bare") != "") & ~F.col("bare").startswith("#") & (~F.col("bare").rlike(STOP) | follows)
+    rows_ = rows_.withColumns({"may": F.coalesce(may, F.lit(False)), "part": F.when(follows, F.col("pos") - 1).otherwise(F.col("pos"))})
+    rows_ = rows_.withColumns({"order": F.when(F.col("may"), int_hash(seed, F.col(key), F.lit("/"), F.col("part"))), "total": F.sum("tokens").over(whole)})
+    # What goes before a part, in the order of parts.
+    parts = rows_.where("may").groupBy(key, "part").agg(F.first("order").alias("order"), F.sum("tokens").alias("gone"))
+    before = F.coalesce(F.sum("gone").over(Window.partitionBy(key).orderBy("order", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(key, "part", before.alias("before"))
+    marked = rows_.join(parts, [key, "part"], "left")
+    stays = ~F.col("may") | (F.col("total") - F.col("before") <= limit)
+    kept = marked.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(stays, F.struct("pos", "line")))).alias("lines"),
+        F.coalesce(F.sum(F.when(stays, F.col("tokens"))), F.lit(0)).alias("left"),
+    )
+    return kept.select(key, F.when(F.col("left") <= limit, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("code"))

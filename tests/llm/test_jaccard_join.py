@@ -81,7 +81,7 @@ def test_every_boundary_finds_every_link(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert j.link_components(frame(spark, ["a"]).limit(0)).collect() == []
-    assert [tuple(r) for r in j.link_components(frame(spark, [None, ""])).collect()] == [(0, 0, 0), (1, 0, 1)]
+    assert sorted(tuple(r) for r in j.link_components(frame(spark, [None, ""])).collect()) == [(0, 0, 0), (1, 0, 1)]
 
 
 def test_sets_and_sizes():

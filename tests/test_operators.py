@@ -117,6 +117,23 @@ def test_programs(spark):
     assert rows(program.ramp_changes(ramp, "id", "v", "d"), "pos", "change") == [(1, "changed"), (2, "appended")]
 
 
+def test_shrinking(spark):
+    head = ["import bpy", "def shader_material(m):", "  a = nodes.new('T')", f"  {program.PARAMETERS}"]
+    lines = [f"  a.inputs[{k}].default_value = {k}" for k in range(6)] + ["  a.color_ramp.elements[0].position = 0.5", "  e = 1", "  a.color_ramp.elements.new(0.3)", "  a.color_ramp.elements[2].color = 1"]
+    code = "\n".join(head + lines)
+    df = spark.createDataFrame([(k, code) for k in range(5)], "id int, code string")
+    size = lambda text: spark.range(1).select(gates.token_count(F.lit(text)).alias("n")).first().n
+    full, least = size(code), size("\n".join([*head, lines[6]]))
+    assert all(r.code == code for r in program.shrunk(df, "id", "code", full, 3).collect())
+    for limit in (full - 1, (full + least) // 2, least):
+        got = program.shrunk(df, "id", "code", limit, 3).collect()
+        for r in got:
+            kept = r.code.split("\n")
+            assert size(r.code) <= limit and kept[:4] == head and lines[6] in kept and (lines[8] in kept) == (lines[9] in kept)
+            assert kept == [x for x in code.split("\n") if x in kept]
+    assert all(r.code is None for r in program.shrunk(df, "id", "code", least - 1, 3).collect())
+
+
 def test_render_figures(spark):
     def image(a):
         a = np.asarray(a, np.uint8)
