@@ -8,7 +8,8 @@ the lists of a set cost less than its subsets: rows of subsets against rows of l
 What shares a subset or list is a bucket. A bucket's members are compared with a few hubs in each round, never all with all:
 first with its most central member (that with most of its signatures shared), then with 8, 64, ... members by hash.
 Members that are already in one component are not compared any more, nor those whose distances to the first hub differ
-by more than a link allows (Jaccard distance is a metric). A bucket ends when it is one component or all members have
+by more than a link allows (Jaccard distance is a metric), nor those that can't be linked if the bucket's shingle is
+the first that they share: what stands before it in either list is then lost to their intersection. A bucket ends when it is one component or all members have
 been hubs, so no link between components is lost. A pair is first held against the bound that the sets' counts by hash
 range give their intersection; whole sets are sent and intersected only where that bound allows a link.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-CELLS = 20  # bits of the table that estimates how frequent a shingle is
+CELLS = 22  # bits of the table that estimates how frequent a shingle is
 LARGEST_LIGHT = 30
 GROWTH = 8
 #: Nodes whose numbers are broadcast at most, to pick out their sets.
@@ -149,7 +150,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
             cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
             nothing = pa.nulls(len(sets), pa.int64())
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node(s) if len(s) else None for s in sets], pa.int64()), pa.array([counts_by_range(s) for s in sets], pa.binary()), nothing, nothing], names)
-        often = np.flatnonzero(cells >= max(8, 4 * cells.mean()))
+        often = np.flatnonzero(cells >= max(6, 4 * cells.mean()))
         nothing = pa.nulls(len(often), pa.int64())
         kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
         yield pa.record_batch([pa.nulls(len(often), kind), nothing, nothing, pa.nulls(len(often), pa.binary()), pa.array(often, pa.int64()), pa.array(cells[often], pa.int64())], names)
@@ -158,29 +159,32 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, n: int, uses: np.ndarray, bound: int, num: int, den: int) -> DataFrame:
-    """(bucket, node): subsets of light sets and list heads of heavy ones; a task gives each node once."""
+    """(bucket, node, pos): subsets of light sets (at 0), and list heads of heavy ones with their place in the set's order; a task gives each node once."""
     order = docs.sparkSession.sparkContext.broadcast(uses)
     near = -(-num * bound // den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in slices(batches, "text", rows=2000):
-            buckets, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            buckets, nodes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for s in shingle_sets(batch.column("text"), n):
                 if not len(s) or (me := node(s)) in done:
                     continue
                 done.add(me)
-                mine = []
                 if len(s) < bound:
-                    mine.append(subsets(s, light_sizes(len(s), num, den)))
+                    found = subsets(s, light_sizes(len(s), num, den))
+                    buckets.append(found.view(np.int64))
+                    nodes.append(np.full(len(found), me, np.int64))
+                    places.append(np.zeros(len(found), np.int32))
                 if len(s) >= near:
                     rare = np.lexsort((s, order.value[(s >> np.uint64(64 - CELLS)).astype(np.int64)]))
-                    mine.append(s[rare[: len(s) - -(-num * len(s) // den) + 1]])
-                buckets += [x.view(np.int64) for x in mine]
-                nodes += [np.full(len(x), me, np.int64) for x in mine]
-            yield pa.record_batch([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(nodes))], ["bucket", "node"])
+                    found = s[rare[: len(s) - -(-num * len(s) // den) + 1]]
+                    buckets.append(found.view(np.int64))
+                    nodes.append(np.full(len(found), me, np.int64))
+                    places.append(np.arange(len(found), dtype=np.int32))
+            yield pa.record_batch([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))], ["bucket", "node", "pos"])
 
-    return docs.select("text").mapInArrow(run, "bucket long, node long")
+    return docs.select("text").mapInArrow(run, "bucket long, node long, pos int")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -206,17 +210,17 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (hub, node, size, hub_size) whose counts by range allow a link."""
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (hub, node) with their sizes and ``most``, the upper bound that their counts by range give what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = zip(*(batch.column(c).to_pylist() for c in ("hub_ranges", "ranges", "hub_size", "size")), strict=True)
-            keep = [(num + den) * most_shared(a, b) >= num * (m + n) for a, b, m, n in sizes]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["hub", "node", "size", "hub_size"])
+            most = [most_shared(a, b) for a, b in zip(batch.column("hub_ranges").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+            names = ["hub", "node", "size", "hub_size"]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(most, pa.int64())], [*names, "most"])
 
     both = pairs.select("hub", "node").join(nodes, "node").join(nodes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("ranges").alias("hub_ranges")), "hub")
-    return written(both.mapInArrow(run, "hub long, node long, size long, hub_size long"), "possible")
+    return written(both.select("hub", "node", "size", "hub_size", "ranges", "hub_ranges").mapInArrow(run, "hub long, node long, size long, hub_size long, most long"), "bounded")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,16 +243,19 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("hub", "node", "size", "hub_size", "hub_shingles", "shingles").mapInArrow(run, "hub long, node long, size long, hub_size long, shared long")
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, n: int, have: DataFrame | None) -> DataFrame:
-    """``have`` and the sets of those nodes of ``pairs`` that it lacks. The nodes' numbers are broadcast if they are few enough."""
+def _sets_of(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, have: DataFrame | None) -> DataFrame:
+    """``have`` and the sets of those nodes of ``pairs`` that it lacks, made from one document of each (and those without
+    a doc_id). The doc_ids are broadcast if they are few enough, so that no other text moves."""
     wanted = pairs.select("node").union(pairs.select("hub")).distinct()
     if have is not None:
         wanted = wanted.join(have.select("node"), "node", "left_anti")
-    wanted = written(wanted, "wanted")
+    wanted = written(members.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
     count = wanted.count()
     if not count and have is not None:
         return have
-    found = _sets(docs, n).join(F.broadcast(wanted) if count <= BROADCAST else wanted, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    ids = wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    some = docs.join(F.broadcast(ids) if count <= BROADCAST else ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    found = _sets(some, n).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     found = written(found, "sets", "uncompressed")
     return found if have is None else have.unionByName(found)
 
@@ -281,9 +288,9 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = first.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("ranges").alias("ranges"))
     nodes = written(nodes, "nodes")
 
-    uses = np.zeros(1 << CELLS, np.int64)
-    for r in first.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("uses").alias("uses")).toLocalIterator():
-        uses[r.cell] = r.uses
+    uses = np.zeros(1 << CELLS, np.int32)  # its size is fixed, whatever the input
+    often = first.where("cell IS NOT NULL").groupBy("cell").agg(F.least(F.sum("uses"), F.lit(2**31 - 1)).alias("uses")).toArrow()
+    uses[often.column("cell").to_numpy()] = often.column("uses").to_numpy()
     histogram = {r["size"]: r.n for r in nodes.where(F.col("size") <= 2 * LARGEST_LIGHT).groupBy("size").agg(F.count("*").alias("n")).collect()}
     total = nodes.agg(F.sum("size")).first()[0] or 0
     bound = boundary(histogram, float((uses.astype(float) ** 2).sum() / max(total, 1)), num, den)
@@ -297,31 +304,43 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = written(buckets.join(about, "node"), "buckets")
 
     # In every round hubs meet their bucket's members: first its most central member does.
-    tops = buckets.groupBy("bucket").agg(F.max(F.struct("central", F.col("size").alias("hub_size"), F.col("node").alias("hub"))).alias("top"))
-    tops = written(tops.select("bucket", "top.hub", "top.hub_size"), "hubs")
+    top = F.max(F.struct("central", F.col("size").alias("hub_size"), F.col("node").alias("hub"), F.col("pos").alias("hub_pos"))).alias("top")
+    tops = written(buckets.groupBy("bucket").agg(top).select("bucket", "top.hub", "top.hub_size", "top.hub_pos"), "hubs")
+    least = F.ceil((num * (F.col("size") + F.col("hub_size"))) / (num + den))
+    # Sizes allow a link, and so do the places of the bucket's shingle, should it be the first that they share.
     compatible = (den * F.least("size", "hub_size") >= num * F.greatest("size", "hub_size")) & (F.col("hub") != F.col("node"))
+    fits = compatible & (F.least(F.col("size") - F.col("pos"), F.col("hub_size") - F.col("hub_pos")) >= least)
     linked = (num + den) * F.col("shared") >= num * (F.col("size") + F.col("hub_size"))
-    pairs = _possible(buckets.join(tops, "bucket").where(compatible).select("hub", "node").distinct(), nodes, num, den)
-    sets = _sets_of(pairs, docs, n, None)
-    seen = written(_compare(pairs, sets).select("hub", "node", (1 - F.col("shared") / (F.col("size") + F.col("hub_size") - F.col("shared"))).alias("distance"), linked.alias("linked")), "compared")
+    possible = (num + den) * F.col("most") >= num * (F.col("size") + F.col("hub_size"))
+    apart = lambda shared: 1 - F.col(shared) / (F.col("size") + F.col("hub_size") - F.col(shared))
+    bounded = _bounded(buckets.join(tops, "bucket").where(fits).select("hub", "node").distinct(), nodes)
+    pairs = bounded.where(possible)
+    sets = _sets_of(pairs, docs, members, n, None)
+    seen = written(_compare(pairs, sets).select("hub", "node", apart("shared").alias("near"), apart("shared").alias("far"), linked.alias("linked")), "compared")
     roots = components(seen.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    distances = tops.join(seen.select("hub", "node", "distance"), "hub").select("bucket", "node", "distance").unionByName(tops.select("bucket", F.col("hub").alias("node"), F.lit(0.0).alias("distance")))
-    active = _open(buckets.drop("central"), roots).join(distances, ["bucket", "node"], "left")
+    # Each member's distance to its bucket's first hub lies between near and far: by comparison, by bound, or by the sizes.
+    known = seen.drop("linked").unionByName(bounded.where(~possible).select("hub", "node", apart("most").alias("near"), F.lit(1.0).alias("far")))
+    open_ = _open(buckets.drop("central"), roots).join(tops, "bucket")
+    active = open_.join(known, ["hub", "node"], "left")
+    self_ = F.col("hub") == F.col("node")
+    near = F.when(self_, 0.0).otherwise(F.coalesce("near", 1 - F.least("size", "hub_size") / F.greatest("size", "hub_size")))
+    far = F.when(self_, 0.0).otherwise(F.coalesce("far", F.lit(1.0)))
     # Members whose share of the hash lies below high / m become hubs; those below low / m have been.
-    active = active.withColumn("turn", F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) * F.col("m") / (1 << 30))
+    turn = F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) * F.col("m") / (1 << 30)
+    active = active.select("bucket", "node", "pos", "size", "m", "root", near.alias("near"), far.alias("far"), turn.alias("turn"))
 
     low, high = 0.0, float(GROWTH)
     while True:
         active = written(active, "active")
         if active.isEmpty():
             break
-        hubs = active.where((F.col("turn") >= low) & (F.col("turn") < high)).select("bucket", F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"), F.col("distance").alias("hub_distance"))
+        hubs = active.where((F.col("turn") >= low) & (F.col("turn") < high)).select("bucket", *[F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "pos", "size", "root", "near", "far")])
         reach = (den - num) / den + 1e-9
-        apart = F.coalesce(F.abs(F.col("distance") - F.col("hub_distance")) > reach, F.lit(False))
-        pairs = active.join(hubs, "bucket").where(compatible & (F.col("root") != F.col("hub_root")) & ~apart)
-        pairs = _possible(pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), nodes, num, den)
+        out = (F.col("near") - F.col("hub_far") > reach) | (F.col("hub_near") - F.col("far") > reach)
+        pairs = active.join(hubs, "bucket").where(fits & (F.col("root") != F.col("hub_root")) & ~out)
+        pairs = _bounded(pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), nodes).where(possible)
         if not pairs.isEmpty():
-            sets = _sets_of(pairs, docs, n, sets)
+            sets = _sets_of(pairs, docs, members, n, sets)
             found = written(_compare(pairs, sets).where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
             if not found.isEmpty():
                 roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
