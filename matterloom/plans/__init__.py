@@ -33,4 +33,4 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import chat, curation, media, programs, runs, sampling, search, statistics  # noqa: F401
+    from . import chat, curation, media, programs, reports, runs, sampling, search, statistics  # noqa: F401
