@@ -4,8 +4,8 @@ Every word gets the log-odds of standing in toxic rather than other text, with a
 to how often it occurs at all, less three standard errors, or those of its beginning if they are higher; a word without
 evidence has a small negative drift. Near copies count once: a document is told by the least hash of its three-word shingles. A linear-time scan finds all maximal-scoring segments of a document's words. A segment's score
 becomes an expectation under the extreme-value law of chance segments (lambda solves ``E[exp(lambda s)] = 1`` over
-the words of labelled clean text), and the evidence of a document's significant segments, added up, becomes a
-probability by a logistic curve.
+the words of labelled clean text), and the evidence of a document's significant segments, added up without
+its single strongest word, becomes a probability by a logistic curve.
 
 Plan: labels are drawn up to ``SAMPLE`` rows by hash (all, if there are no more) and broadcast, so the labelled texts
 are found without shuffling a text; they are written once. Words are counted by documents with partial sums; at most
@@ -112,8 +112,8 @@ class Model:
             known[w] = max(get(w, DRIFT), *(get(w[:n] + "*", DRIFT) for n in BEGINNINGS if len(w) >= n), DRIFT)
         return [known[w] for w in words]
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
-        """(begin, end, score, logarithm of the expectation) of the significant segments, in words."""
+    def segments(self, words: list[str]) -> list[tuple[int, int, float, float, float]]:
+        """(begin, end, score, logarithm of the expectation, score of the strongest word) of the significant segments, in words."""
         scores = np.array(self.scores(words))
         if not len(scores) or scores.max() <= 0:
             return []
@@ -125,11 +125,12 @@ class Model:
         for b, e, s in maximal_segments(runs):
             expected = math.log(self.k * len(words)) - self.lam * s
             if expected < math.log(SIGNIFICANT):
-                out.append((int(edge[b]), int(ends[e - 1]), s, expected))
+                out.append((int(edge[b]), int(ends[e - 1]), s, expected, float(scores[edge[b] : ends[e - 1]].max())))
         return out
 
-    def evidence(self, words: list[str]) -> float:
-        return sum(-expected for *_, expected in self.segments(words))
+    def evidence(self, segments: list[tuple[int, int, float, float, float]]) -> float:
+        """What the segments come to without their single strongest word, so that one chance word is no evidence."""
+        return max(0.0, -sum(x[3] for x in segments) - self.lam * max((x[4] for x in segments), default=0.0))
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * math.log1p(evidence) + self.bias))))
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     model.lam, model.k = chance_law(np.array([r.value / 100 for r in chance]), np.array([r.n for r in chance], float))
 
     def weigh(m: Model, ws: list[str], y: int, held: Counter) -> None:
-        held[int(y > 0), round(50 * math.log1p(m.evidence(ws)))] += 1
+        held[int(y > 0), round(50 * math.log1p(m.evidence(m.segments(ws))))] += 1
 
     seen = _mapped(train, model, "toxic long, value long, n long", weigh).collect()
     model.slope, model.bias = curve(np.array([r.value / 50 for r in seen]), np.array([r.toxic for r in seen], float), np.array([r.n for r in seen], float))
@@ -283,7 +284,7 @@ def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
         m = known.value
         for batch in slices(batches, text):
             found = [m.segments(words_of(t)) for t in strings(batch.column(text))]
-            score = [m.probability(-sum(s[3] for s in x)) for x in found]
+            score = [m.probability(m.evidence(x)) for x in found]
             columns = {f.name: batch.column(f.name) for f in kept}
             if not keep:
                 columns |= {"score": pa.array(score, pa.float64())}
@@ -307,7 +308,7 @@ def passages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             rows = []
             for i, t in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
                 places = [m.span() for m in WORD.finditer(t)]
-                for b, e, s, expected in known.value.segments([t[x:y].lower() for x, y in places]):
+                for b, e, s, expected, _ in known.value.segments([t[x:y].lower() for x, y in places]):
                     start, end = places[b][0], places[e - 1][1]
                     rows.append((i, start, end, s, math.exp(expected), t[start:end]))
             columns = list(zip(*rows, strict=True)) or [()] * 6
