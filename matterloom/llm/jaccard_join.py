@@ -143,17 +143,18 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELLS, np.int64)
+        cells = np.zeros(1 << CELLS, np.int32)
         names = ["doc_id", "size", "node", "ranges", "cell", "uses"]
         for batch in slices(batches, "text", rows=4000):
             sets = shingle_sets(batch.column("text"), n)
-            cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
+            found, times = np.unique((np.concatenate(sets) >> np.uint64(64 - CELLS)).astype(np.int32), return_counts=True)
+            cells[found] += times.astype(np.int32)
             nothing = pa.nulls(len(sets), pa.int64())
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node(s) if len(s) else None for s in sets], pa.int64()), pa.array([counts_by_range(s) for s in sets], pa.binary()), nothing, nothing], names)
         often = np.flatnonzero(cells >= max(6, 4 * cells.mean()))
         nothing = pa.nulls(len(often), pa.int64())
         kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-        yield pa.record_batch([pa.nulls(len(often), kind), nothing, nothing, pa.nulls(len(often), pa.binary()), pa.array(often, pa.int64()), pa.array(cells[often], pa.int64())], names)
+        yield pa.record_batch([pa.nulls(len(often), kind), nothing, nothing, pa.nulls(len(often), pa.binary()), pa.array(often, pa.int64()), pa.array(cells[often].astype(np.int64), pa.int64())], names)
 
     return docs.mapInArrow(run, f"doc_id {id_type}, size long, node long, ranges binary, cell long, uses long")
 
