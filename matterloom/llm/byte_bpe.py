@@ -34,10 +34,12 @@ from .common import slices, strings
 #: A piece of text ends before a space that something else than white space follows; no match of the pattern crosses that.
 PIECE = re.compile(r"(?= \S)")
 ODD = re.compile(r" (?=\s|\Z)")
+#: Stands between pieces while they are told apart; texts that hold it are cut by the pattern.
+MARK = "\x00"
 #: Pieces and words that a worker remembers, in two generations.
-KEPT = 350_000
+KEPT = 250_000
 #: Bytes of the words that one recursive query takes, and the rows that its steps may come to.
-GROUP, ROWS = 400_000, 6_000_000
+GROUP, ROWS = 250_000, 3_000_000
 #: Bytes of the windows of a word that is longer, and how far they overlap.
 WIDE, OVER = 480, 96
 
@@ -68,27 +70,38 @@ class Coder:
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        self._table("merges", a=left, b=right, merged=merged)
-        self.db.register("arrow", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "tok": pa.array(list(self.ranks), pa.binary())}))
-        self.db.execute("CREATE TABLE vocab AS FROM arrow")
-        self.db.unregister("arrow")
+        kinds = pa.int32()
+        self.merges = pa.table({"a": pa.array(left, kinds), "b": pa.array(right, kinds), "merged": pa.array(merged, kinds)})
+        self.vocab = pa.table({"id": pa.array(list(self.ranks.values()), kinds), "tok": pa.array(list(self.ranks), pa.binary())})
+        self._connect, self._db = duckdb.connect, None
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.sizes[list(self.ranks.values())] = [len(t) for t in self.ranks]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _table(self, name: str, **columns: list[int]) -> None:
-        self.db.register("arrow", pa.table({k: pa.array(v, pa.int32()) for k, v in columns.items()}))
-        self.db.execute(f"CREATE TABLE {name} AS FROM arrow")
-        self.db.unregister("arrow")
+    @property
+    def db(self):
+        """The worker's database with the merge table and the vocabulary."""
+        if self._db is None:
+            self._db = self._connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+            for name in ("merges", "vocab"):
+                self._db.register("arrow", getattr(self, name))
+                self._db.execute(f"CREATE TABLE {name} AS FROM arrow")
+                self._db.unregister("arrow")
+        return self._db
+
+    def close(self) -> None:
+        """Give the database's memory back; the next task opens it again."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
@@ -159,27 +172,41 @@ class Coder:
                 new[piece] = b"".join([new[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        """Ids of each text, as little-endian unsigned 32-bit integers. Each distinct piece of the texts is looked up once."""
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        split, missing = [], {}
+        cut = []
         for t in texts:
-            if ODD.search(t):
-                pieces = [p for p in PIECE.split(t) if p]
+            if MARK in t or ODD.search(t):
+                cut.append(None)
             else:
-                first, *rest = t.split(" ")
-                pieces = [first] * bool(first) + [" " + p for p in rest]
-            split.append(pieces)
-            for p in pieces:
-                if p not in new:
-                    if (ids := old.get(p)) is not None:
-                        new[p] = ids
-                    else:
-                        missing[p] = None
+                cut.append(t.replace(" ", MARK + " "))
+        lists = pa.compute.split_pattern(pa.array(cut, pa.string()).fill_null(""), MARK)
+        coded = lists.flatten().dictionary_encode()
+        odd = {k: [p for p in PIECE.split(texts[k]) if p] for k, c in enumerate(cut) if c is None}
+        pieces = coded.dictionary.to_pylist()
+        missing: dict[str, None] = {}
+        for p in dict.fromkeys([*pieces, *(p for x in odd.values() for p in x)]):
+            if p not in new:
+                if (ids := old.get(p)) is not None:
+                    new[p] = ids
+                else:
+                    missing[p] = None
         if missing:
             self._learn(missing)
-        return [b"".join([new[p] for p in pieces]) for pieces in split]
+        table = [new[p] for p in pieces]
+        sizes = np.array([len(x) // 4 for x in table], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(table), "<u4")
+        index = coded.indices.to_numpy()
+        ends = np.cumsum(sizes[index])
+        ids = flat[np.repeat(starts[index] - ends + sizes[index], sizes[index]) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = (np.r_[0, ends][lists.offsets.to_numpy()] * 4).tolist()
+        out = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for k, x in odd.items():
+            out[k] = b"".join([new[p] for p in x])
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids."""
@@ -214,8 +241,9 @@ def _mapped(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for batch in slices(batches, "text", rows=2000, size=4 << 20):
+        for batch in slices(batches, "text", rows=4000, size=6 << 20):
             yield pa.record_batch([batch.column("doc_id"), *make(code, strings(batch.column("text")))], names)
+        code.close()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, {schema}")
 

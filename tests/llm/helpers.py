@@ -18,6 +18,7 @@ FIXED = [
     "x" * 700,
     "tab\tand nbsp em\x1csep\x85nel",
     "▁literal ▁▁mark",
+    "nul\x00 in \x00 a text",
 ]
 
 
