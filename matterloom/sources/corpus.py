@@ -39,12 +39,13 @@ def programs(spark: SparkSession, root: str, variations: bool = True, generated:
     return code.join(renders, ["mat_name", "data_name"])
 
 
-def material_of(path: Column) -> Column:
-    """A material's name from its analysis path: the folder for generated and procedural sources, else the file's stem (A2)."""
+def material_of(path: Column, by_folder: tuple[str, ...] = ("mat_llm",)) -> Column:
+    """A material's name from its analysis path: the folder for sources that begin with one of the given names (generated ones, and
+    procedural ones where the corpus has them), else the file's stem (A2)."""
     source = F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1)
     inside = F.regexp_extract(path, r"([^/]+/[^/]+)/[^/]+$", 1)
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]+/[^/]+)$", 1), r"\.[^.]+$", "")
-    return F.when(source.startswith("infinigen") | source.startswith("mat_llm"), inside).otherwise(stem)
+    return F.coalesce(*[F.when(source.startswith(name), inside) for name in by_folder], stem)
 
 
 def analyses(spark: SparkSession, root: str) -> DataFrame:
