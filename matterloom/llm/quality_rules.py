@@ -2,7 +2,7 @@
 
 Lines are normalised (ASCII letters lowered, digits made 0, white space collapsed) and hashed together with their host.
 For every host and line the distinct documents are counted; copies of a document count once, because a document is
-told by the two least hashes of its other lines. Lines above ``LIMIT`` documents are removed everywhere on that host.
+told by a digest of its whole set of normalised lines. Documents that differ in any line are distinct. Lines above ``LIMIT`` documents are removed everywhere on that host.
 
 Plan: one pass sends (line, document) hashes, distinct first within a task and then by shuffle, so that a line that
 a third of all documents hold is reduced before it is dealt out, and counted by partial sums. If the frequent lines
@@ -84,10 +84,9 @@ def base(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
 
 
-def others(own: set[int]) -> list[int]:
-    """For each of a document's lines, a number made of the two least hashes of its other lines (0 where there are none)."""
-    a, b, c = [*sorted(own)[:3], 0, 0, 0][:3]
-    return [(b << 1) ^ c if x == a else (a << 1) ^ (c if x == b else b) for x in own]
+def document_hash(own: set[int]) -> int:
+    """The digest of a document's whole set of lines, as a signed 64-bit number."""
+    return int.from_bytes(hashlib.md5(np.array(sorted(own), np.int64).tobytes()).digest()[:8], "little", signed=True)
 
 
 def line_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -99,7 +98,7 @@ def line_documents(docs: DataFrame, text: str = "text", host: str = "source") ->
             for t, h in zip(strings(batch.column("text")), batch.column("host").to_pylist(), strict=True):
                 own = {line_hash(h, w) for x in t.encode().split(b"\n") if (w := line_words(x))}
                 lines.extend(own)
-                told.extend(others(own))
+                told.extend([document_hash(own)] * len(own))
             yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(told, pa.int64())], ["line", "document"])
 
     pairs = docs.select(F.col(text).alias("text"), F.col(host).alias("host")).mapInArrow(run, "line long, document long").distinct()

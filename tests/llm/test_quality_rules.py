@@ -68,3 +68,17 @@ def test_sql(spark):
 
 def test_empty_table(spark):
     assert q.apply_rules(frame(spark, ["a"]).limit(0)).collect() == []
+
+
+def test_documents_that_share_lines_are_distinct(spark):
+    # Twenty hosts of sixty documents that share k lines and have one of their own; each document stands twice.
+    rows = []
+    for k in (3, 10):
+        for host in range(20):
+            shared = [f"{w} shared by all of host" for w in "abcdefghij"[:k]]
+            for i in range(60):
+                own = " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in ("own", "line", "of", "document"))
+                rows += [(len(rows), "\n".join([*shared, own]), f"{k}-{host}")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r.documents for r in q.line_documents(docs).where("documents > 1").collect()] == [60] * (20 * 13)
+    assert {r.n_removed - 6 * int(r.source.split("-")[0]) for r in q.apply_rules(docs, clean=True).collect()} == {0}
