@@ -31,9 +31,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that with the smallest doc_id. A document without a doc_id
-    is in no group that has one, or else goes."""
-    linked = jaccard_join.link_components(docs)
+    """One document of each group of linked ones stays: that with the smallest doc_id. Documents link at a similarity of 0.8
+    of their five-word shingles. A document without a doc_id is in no group that has one, or else goes."""
+    linked = jaccard_join.link_components(docs, n=5, num=4, den=5)
     stays = linked.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 

@@ -11,6 +11,7 @@ import corpus_pipeline
 from matterloom.llm import byte_bpe, mixing, quality_rules
 
 from .test_jaccard_join import brute as jaccard_brute
+from .test_jaccard_join import shingles
 from .test_quality_rules import brute as rules_brute
 
 HOME = "Home | About | Contact us and read the terms"
@@ -81,3 +82,32 @@ def test_stages(spark, tmp_path):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(r.doc_id for r in coded)
+
+
+def near_groups(texts):
+    """Groups of texts by brute force, linked at a similarity of 0.8 of their five-word shingles."""
+    sets, groups = [shingles(t, 5) for t in texts], []
+    for k, s in enumerate(sets):
+        met = [g for g in groups if any(s and 5 * len(s & sets[j]) >= 4 * len(s | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in met] + [{k}.union(*met)]
+    return groups
+
+
+def near_copies():
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    out = []
+    for n in (1000, 1000, 400, 120, 60, 30):
+        base = r.choices(words, k=n)
+        out += [base, base + r.choices(words, k=3 * n // 20), base + r.choices(words, k=n // 2)]
+        for every in (52, 50, 47, 33, 10):
+            out.append([r.choice(words) if k % every == every // 2 else w for k, w in enumerate(base)])
+    return [" ".join(x) for x in out]
+
+
+def test_near_copies_of_five_words(spark):
+    texts = near_copies()
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect()}
+    assert got == {min(g) for g in near_groups(texts)}
+    assert 0 in got and not got & {1, 3, 4}
