@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matterloom.llm import byte_bpe, jaccard_join, mixing, quality_rules, toxicity
-from matterloom.llm.common import written
+from matterloom.llm.common import with_rows, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,11 +31,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that with the smallest doc_id. Documents link at a similarity of 0.8
-    of their five-word shingles. A document without a doc_id is in no group that has one, or else goes."""
-    linked = jaccard_join.link_components(docs, n=5, num=4, den=5)
-    stays = linked.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of linked documents stays: that with the smallest doc_id, or any where none has one. Documents
+    link at a similarity of 0.8 of their five-word shingles. Rows are told by keys of their own, so different texts stay
+    whatever their doc_ids are; a text without words is like nothing else and stays."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    keyed = written(docs.mapInArrow(with_rows, f"{schema}, _row long"), "rows")
+    linked = jaccard_join.link_components(keyed, doc_id="_row", n=5, num=4, den=5).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first")
+    stays = keyed.select("_row", "doc_id").join(linked, "_row").groupBy("component_id").agg(first).select("first._row")
+    return keyed.join(stays, "_row", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,13 @@ def row_keys() -> Iterator[int]:
         n += 1
 
 
+def with_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a column ``_row`` of :func:`row_keys`."""
+    keys = row_keys()
+    for batch in batches:
+        yield pa.record_batch([*batch.columns, pa.array([next(keys) for _ in range(batch.num_rows)], pa.int64())], [*batch.schema.names, "_row"])
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

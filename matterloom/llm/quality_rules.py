@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_keys, slices, strings, written
+from .common import slices, strings, with_rows, written
 
 #: A line is removed where more distinct documents of a host than this have it.
 LIMIT = 20
@@ -162,7 +162,7 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
         measured = keep.mapInArrow(finish, schema)
     else:
         # The frequent lines outside the broadcast ones meet the documents' lines by shuffle, then the documents.
-        keyed = written(keep.mapInArrow(_with_rows, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in keep.schema)}, _row long"), "rows")
+        keyed = written(keep.mapInArrow(with_rows, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in keep.schema)}, _row long"), "rows")
 
         def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
@@ -182,12 +182,6 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     return measured if clean else measured.select(F.col(doc_id).alias("doc_id"), *results, "base_failed", "kept")
 
 
-def _with_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys = row_keys()
-    for batch in batches:
-        yield pa.record_batch([*batch.columns, pa.array([next(keys) for _ in range(batch.num_rows)], pa.int64())], [*batch.schema.names, "_row"])
-
-
 def rules_sql(table: str = "documents", limit: int = LIMIT, left: float = LEFT) -> str:
     """The same figures as DuckDB SQL."""
     word = "[^\\x20\\x09-\\x0D]+"

@@ -111,3 +111,13 @@ def test_near_copies_of_five_words(spark):
     got = {r.doc_id for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect()}
     assert got == {min(g) for g in near_groups(texts)}
     assert 0 in got and not got & {1, 3, 4}
+
+
+def test_null_and_repeated_ids(spark):
+    texts = near_copies()[::8]
+    copy = texts[0] + " end"
+    rows = [(None, texts[0]), (None, copy), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (3, texts[3] + " end"), (9, texts[4]), (None, texts[4]), (None, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect())
+    named = Counter({(None, texts[1]): 1, (7, texts[2]): 1, (3, texts[3] + " end"): 1, (9, texts[4]): 1, (None, None): 1, (5, ""): 1})
+    assert got in (named + Counter([(None, texts[0])]), named + Counter([(None, copy)]))
