@@ -59,7 +59,21 @@ def fresh(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drain what is there into a table in memory, and return it."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drain what is there into a Parquet table beside ``checkpoint``, and return it as a DataFrame that reads the files, so that no
+    rows go through the driver. Each batch is a version; of complete mode the last one counts, of other modes all. A batch that
+    comes again overwrites its own."""
+    spark, folder = stream.sparkSession, f"{checkpoint.rstrip('/')}-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/v={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    versions = sorted(int(x.getPath().getName()[2:]) for x in files.listStatus(path)) if files.exists(path) else []
+    if mode == "complete":
+        versions = versions[-1:]
+    if not versions:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/v={v}" for v in versions])

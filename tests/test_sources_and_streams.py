@@ -102,6 +102,18 @@ def test_upserts_and_crashes(spark, tmp_path):
     assert rows(jobs.fresh(spark.range(4).toDF("k"), spark.range(2).toDF("k"), ["k"]), "k") == [(2,), (3,)]
 
 
+def test_results_of_streams_are_files(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([("a", k), (f"b{k}", k)], "key string, n int").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("key string, n int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    whole = jobs.run_once(stream.groupBy("key").count(), "counts", "complete", f"{tmp_path}/c3")
+    assert rows(whole, "key", "count") == [("a", 3), ("b0", 1), ("b1", 1), ("b2", 1)] and whole.inputFiles()
+    each = jobs.run_once(stream, "all_rows", "append", f"{tmp_path}/c4")
+    assert rows(each, "n") == [(0,), (0,), (1,), (1,), (2,), (2,)] and each.inputFiles()
+    again = jobs.run_once(stream, "all_rows", "append", f"{tmp_path}/c4")
+    assert again.count() == 6
+
+
 def test_palette(spark):
     r = np.random.default_rng(3)
     data = [((0.2 if k % 3 else 0.7) + x, 0.5 + x / 2, 0.5 - x / 3) for k, x in enumerate(r.normal(0, 0.02, 300))]
