@@ -107,3 +107,21 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(100, k) for k in range(101, 140)] + [(-5, 120), (60, 61)]
     got = {r.node: r.root for r in j.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(1, 51)) and all(got[k] == -5 for k in range(100, 140)) and got[61] == 60
+
+
+def test_popularity_of_subsets_is_that_of_their_rarest_member():
+    r = np.random.default_rng(5)
+    for n in (1, 4, 7):
+        uses = r.integers(0, 5, n).astype(np.int32)
+        sizes = list(range(max(1, n - 3), n + 1))
+        want = [min(uses[k] for k in range(n) if k not in gone) for c in sizes for gone in combinations(range(n), n - c)]
+        assert j.subset_popularity(uses, sizes).tolist() == want
+
+
+def test_hot_buckets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(j, "MEMBERS", 3)
+    rows = corpus(4, 8)
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)
+    assert sorted((tuple(x) for x in j.link_components(docs).collect()), key=repr) == brute(rows)
+    small = docs.selectExpr("cast(doc_id as smallint) as doc_id", "text")
+    assert sorted((tuple(x) for x in j.link_components(small).collect()), key=repr) == brute(rows)
