@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matterloom.llm import byte_bpe, jaccard_join, mixing, quality_rules, toxicity
-from matterloom.llm.common import with_rows, written
+from matterloom.llm.common import drop, with_rows, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Keys of rows (8 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST = 1_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,12 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     keyed = written(docs.mapInArrow(with_rows, f"{schema}, _row long"), "rows")
     linked = jaccard_join.link_components(keyed, doc_id="_row", n=5, num=4, den=5).select(F.col("doc_id").alias("_row"), "component_id")
+    linked = written(keyed.select("_row", "doc_id").join(linked, "_row"), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("first")
-    stays = keyed.select("_row", "doc_id").join(linked, "_row").groupBy("component_id").agg(first).select("first._row")
-    return keyed.join(stays, "_row", "left_semi").select(*COLUMNS)
+    stays = linked.groupBy("component_id").agg(first).select("first._row")
+    goes = written(linked.select("_row").join(stays, "_row", "left_anti"), "goes")
+    drop(linked)
+    return keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST else goes, "_row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

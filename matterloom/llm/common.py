@@ -6,6 +6,7 @@ executor can reach, so a lost executor costs a re-read and never a lost block.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,13 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
-def _test_dir() -> str:
+def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="matterloom-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_test_dir()}"
+    """The cluster's shared folder. Where the session names none, a folder of our own serves a local session, as in tests;
+    on a cluster other machines would not see it, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{_local_dir()}"
 
 
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -59,6 +66,19 @@ def with_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, pa.array([next(keys) for _ in range(batch.num_rows)], pa.int64())], [*batch.schema.names, "_row"])
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """Return freed memory to the system, since a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -70,7 +90,8 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice holds at most ``rows`` rows and about ``size`` bytes of text (a single row may be larger)."""
+    """Cut Arrow batches so that one slice holds at most ``rows`` rows and about ``size`` bytes of text (a single row may be
+    larger). After the last one, what the task has freed goes back to the system."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         at = 0
@@ -81,3 +102,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 512, size:
                 end += 1
             yield batch.slice(at, end - at)
             at = end
+    give_back()

@@ -295,7 +295,8 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     hubs = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "met-hubs")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    nodes = pairs.join(hubs, "hub").select("hub", "node", "size", "hub_size", part).join(sets, "node").withColumn("is_node", F.lit(True))
+    ids = written(pairs.select("node").distinct(), "met")
+    nodes = pairs.join(hubs, "hub").select("hub", "node", "size", "hub_size", part).join(_among(sets, "node", ids, ids.count()), "node").withColumn("is_node", F.lit(True))
     nothing = [F.lit(None).cast("long").alias(c) for c in ("node", "size", "hub_size")]
     own = _among(sets, "node", hubs, hubs.count()).withColumnRenamed("node", "hub").join(hubs, "hub")
     own = own.select("hub", *nothing, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shingles", F.lit(False).alias("is_node"))
