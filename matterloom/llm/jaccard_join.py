@@ -434,7 +434,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         low, high = high, high * GROWTH
     drop(nodes)
     whole = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = whole.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below has no aggregation in its stage and adaptive execution can split a large component.
+    ids = written(whole.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     return whole.join(ids, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
