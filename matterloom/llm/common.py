@@ -33,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir()}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared folder, not made yet."""
+    return f"{shared_dir(spark).rstrip('/')}/matterloom/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back with its schema."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/matterloom/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._matterloom_path = path

@@ -1,10 +1,10 @@
 """Token ids as binary files: canonical, length-limited Huffman codes from global counts, written in
 independent blocks with bit-offset checkpoints, and decoded by table.
 
-File format: a Parquet table of blocks. A block holds whole documents in ascending doc_id order (nulls first):
+File format: a folder of two Parquet tables. ``blocks`` holds whole documents in ascending doc_id order (nulls first):
 their ids, their numbers of ids, the number of ids in its part before it, the code stream, and the bit offset of every
-``STEP``-th id. The code book (a length for each id) is stored beside it. Any block can be decoded by itself,
-and the checkpoints let one NumPy step decode one id in every lane of the block.
+``step``-th id. ``book`` is the code book, a code length for each id. :func:`read_file` needs the folder's path alone; any block can be
+decoded by itself, and the checkpoints let one NumPy step decode one id in every lane of the block.
 
 Plan: encode once and keep the ids in the shared folder; count ids with map-side sums (at most one row per
 vocabulary entry reaches the driver); range-partition by doc_id; code and write; read back, decode, digest.
@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop, slices, written
+from .common import drop, new_path, slices, written
 
 STEP = 256
 BLOCK = 1 << 18
@@ -240,16 +241,16 @@ def count_ids(encoded: DataFrame, kind: str) -> np.ndarray:
     return counts
 
 
-BLOCKS = "part int, block int, before long, n long, doc_ids {ids}, sizes array<long>, stream binary, checkpoints array<long>"
+BLOCKS = "part int, block int, before long, n long, step int, doc_ids {ids}, sizes array<long>, stream binary, checkpoints array<long>"
 
 
-def write_blocks(encoded: DataFrame, lengths: np.ndarray, kind: str, block: int = BLOCK, step: int = STEP) -> DataFrame:
-    """Sort by doc_id over the whole table, code, and write the file of blocks. Ties in doc_id order by the ids,
-    and a doc_id that many rows share may span partitions."""
+def write_file(encoded: DataFrame, lengths: np.ndarray, kind: str, path: str, block: int = BLOCK, step: int = STEP) -> None:
+    """Sort by doc_id over the whole table, code, and write blocks and code book below ``path``. Ties in doc_id order by the
+    ids, and a doc_id that many rows share may span partitions."""
     spark = encoded.sparkSession
     book = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
     id_type = encoded.schema["doc_id"].dataType.simpleString()
-    arrow = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type])
+    arrow = pa.list_(to_arrow_type(encoded.schema["doc_id"].dataType))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = book.value
@@ -260,8 +261,8 @@ def write_blocks(encoded: DataFrame, lengths: np.ndarray, kind: str, block: int
             flat = np.concatenate(data)
             stream, marks = encode_ids(flat, lengths, codes, step)
             return pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([ids], arrow), pa.array([[len(x) for x in data]], pa.list_(pa.int64())), pa.array([stream], pa.binary()), pa.array([marks.astype(np.int64)], pa.list_(pa.int64()))],
-                ["part", "block", "before", "n", "doc_ids", "sizes", "stream", "checkpoints"],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([step], pa.int32()), pa.array([ids], arrow), pa.array([[len(x) for x in data]], pa.list_(pa.int64())), pa.array([stream], pa.binary()), pa.array([marks.astype(np.int64)], pa.list_(pa.int64()))],
+                ["part", "block", "before", "n", "step", "doc_ids", "sizes", "stream", "checkpoints"],
             )
 
         for batch in batches:
@@ -277,31 +278,40 @@ def write_blocks(encoded: DataFrame, lengths: np.ndarray, kind: str, block: int
 
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     ordered = encoded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    return written(ordered.mapInArrow(pack, BLOCKS.format(ids=f"array<{id_type}>")), "id-blocks", "uncompressed")
+    ordered.mapInArrow(pack, BLOCKS.format(ids=f"array<{id_type}>")).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    used = np.flatnonzero(lengths)
+    spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "id int, bits int").coalesce(1).write.parquet(f"{path}/book")
 
 
-def read_blocks(blocks: DataFrame, lengths: np.ndarray, step: int = STEP) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the file."""
-    spark = blocks.sparkSession
-    table = spark.sparkContext.broadcast(lengths)
+def read_book(spark: SparkSession, path: str) -> np.ndarray:
+    """The code length of each id, 0 for those that don't occur; one row per vocabulary entry at most comes to the driver."""
+    rows = spark.read.schema("id int, bits int").parquet(f"{path}/book").collect()
+    lengths = np.zeros(max([r.id for r in rows], default=-1) + 1, np.uint8)
+    for r in rows:
+        lengths[r.id] = r.bits
+    return lengths
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the file that :func:`write_file` made at ``path``."""
+    blocks = spark.read.parquet(f"{path}/blocks")
+    table = spark.sparkContext.broadcast(read_book(spark, path))
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    arrow = blocks.schema["doc_ids"].dataType.elementType
+    arrow = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
         book = decode_table(table.value)
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda c: batch.column(c)[r]  # noqa: B023, E731
                 sizes = np.array(get("sizes").as_py(), np.int64)
-                flat = decode_ids(get("stream").as_py(), np.array(get("checkpoints").as_py(), np.int64), get("n").as_py(), book, step)
+                flat = decode_ids(get("stream").as_py(), np.array(get("checkpoints").as_py(), np.int64), get("n").as_py(), book, get("step").as_py())
                 ends = np.cumsum(sizes)
                 raw = memoryview(flat.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 starts = get("before").as_py() + ends - sizes
                 yield pa.record_batch(
-                    [pa.array([get("part").as_py()] * len(sizes), pa.int32()), get("doc_ids").values.cast(to_arrow_type(arrow)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array([get("part").as_py()] * len(sizes), pa.int32()), get("doc_ids").values.cast(arrow), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
                     ["part", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
@@ -317,6 +327,7 @@ def token_output(docs: DataFrame, path: str, end: int = 2, doc_id: str = "doc_id
     kind = "<u4" if encoder(path).wide else "<u2"
     encoded = written(encode_documents(docs, path, end, doc_id, text), "ids")
     lengths = code_lengths(count_ids(encoded, kind))
-    blocks = write_blocks(encoded, lengths, kind)
+    folder = new_path(docs.sparkSession, "token-ids")
+    write_file(encoded, lengths, kind, folder)
     drop(encoded)
-    return read_blocks(blocks, lengths)
+    return read_file(docs.sparkSession, folder)

@@ -88,16 +88,36 @@ def test_stream_round_trip(ids, step):
     assert (token_output.decode_ids(stream, marks, len(ids), table, step) == ids).all()
 
 
-def test_many_blocks(spark):
+def test_ids_of_other_types(spark):
+    path = P.path("word_bpe_49k.json")
+    docs = frame(spark, ["a", "b c", None], [5, -7, None])
+    for kind in ("smallint", "decimal(12,2)", "string", "date"):
+        cast = "date_add(date'2020-01-01', cast(doc_id as int))" if kind == "date" else f"cast(doc_id as {kind})"
+        got = token_output.token_output(docs.selectExpr(f"{cast} as doc_id", "text"), path)
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        assert [r.n_tokens for r in got.orderBy("start").collect()] == ([1, 3, 2] if kind != "string" else [1, 3, 2])
+
+
+def test_a_new_session_reads_the_file(spark, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    values = texts(10)
+    encoded = token_output.encode_documents(frame(spark, values), path, 2)
+    token_output.write_file(encoded, token_output.code_lengths(token_output.count_ids(encoded, "<u2")), "<u2", f"file://{tmp_path}/ids", block=40, step=16)
+    got = token_output.read_file(spark.newSession(), f"file://{tmp_path}/ids").collect()
+    want = {r.doc_id: zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in encoded.collect()}
+    assert {r.doc_id: r.ids_crc32 for r in got} == want and len(got) == len(values)
+
+
+def test_many_blocks(spark, tmp_path):
     from pyspark.sql import functions as F
 
     path = P.path("word_bpe_49k.json")
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word ', id, ' '), 1 + cast(id % 17 as int))").alias("text"))
     encoded = token_output.encode_documents(docs, path, 2)
     lengths = token_output.code_lengths(token_output.count_ids(encoded, "<u2"))
-    blocks = token_output.write_blocks(encoded, lengths, "<u2", block=50, step=8)
-    assert blocks.count() > 20
-    got = token_output.read_blocks(blocks, lengths, 8).orderBy("doc_id").collect()
+    token_output.write_file(encoded, lengths, "<u2", f"file://{tmp_path}/ids", block=50, step=8)
+    assert spark.read.parquet(f"file://{tmp_path}/ids/blocks").count() > 20
+    got = token_output.read_file(spark, f"file://{tmp_path}/ids").orderBy("doc_id").collect()
     assert [r.doc_id for r in got] == list(range(300))
     for a, b in zip(got, got[1:], strict=False):
         assert a.start + a.n_tokens == b.start
