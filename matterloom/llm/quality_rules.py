@@ -2,7 +2,8 @@
 
 Lines are normalised (ASCII letters lowered, digits made 0, white space collapsed) and hashed together with their host.
 For every host and line the distinct documents are counted; copies of a document count once, because a document is
-told by a digest of its whole set of normalised lines. Documents that differ in any line are distinct. Lines above ``LIMIT`` documents are removed everywhere on that host.
+told by a digest of its whole set of normalised lines. Documents that differ in any line are distinct. Lines above
+``LIMIT`` documents are removed everywhere on that host.
 
 Plan: one pass sends (line, document) hashes, distinct first within a task and then by shuffle, so that a line that
 a third of all documents hold is reduced before it is dealt out, and counted by partial sums. If the frequent lines
@@ -194,9 +195,9 @@ def rules_sql(table: str = "documents", limit: int = LIMIT, left: float = LEFT)
     rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
     ln AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d),
     lines AS (SELECT r, line, len(regexp_extract_all(line, '{word}')) AS n, ('0x' || substr(md5(host || chr(10) || {plain}), 1, 15))::BIGINT AS h FROM ln WHERE regexp_matches(line, '{word}')),
-    own AS (SELECT r, list_sort(list(DISTINCT h))[1:3] AS least FROM lines GROUP BY r),
-    told AS (SELECT DISTINCT h, [x FOR x IN least IF x <> h][1:2] AS m FROM lines JOIN own USING (r)),
-    often AS (SELECT h FROM told GROUP BY h HAVING count(DISTINCT m) > {limit}),
+    own AS (SELECT r, list_sort(list(DISTINCT h)) AS document FROM lines GROUP BY r),
+    told AS (SELECT DISTINCT h, document FROM lines JOIN own USING (r)),
+    often AS (SELECT h FROM told GROUP BY h HAVING count(*) > {limit}),
     dup AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines, (coalesce(sum(n) FILTER (WHERE h IN (FROM often)), 0))::BIGINT AS n_removed FROM lines GROUP BY r),
     m AS (SELECT d.doc_id, len(regexp_extract_all(text, '{word}'))::BIGINT AS n_words,
         length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,

@@ -19,9 +19,8 @@ def brute(rows, limit, left):
     norm = lambda x: " ".join(WORD.findall(x)).translate(PLAIN)
     for _, t, s in rows:
         own = {norm(x) for x in (t or "").split("\n")} - {""}
-        hashes = {x: q.line_hash(s, x.encode().split()) for x in own}
         for x in own:
-            lines.setdefault((s, x), set()).add(tuple(sorted(h for y, h in hashes.items() if y != x)[:2]))
+            lines.setdefault((s, x), set()).add(frozenset(own))
     for i, t, s in rows:
         t = t or ""
         words = WORD.findall(t)
@@ -70,6 +69,15 @@ def test_empty_table(spark):
     assert q.apply_rules(frame(spark, ["a"]).limit(0)).collect() == []
 
 
+def test_a_thousand_documents_of_twelve_shared_lines(spark):
+    shared = "\n".join(f"{w} of the template" for w in "abcdefghijkl")
+    rows = [(i, f"{shared}\nown {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "a") for i in range(1000)]
+    # A document of one line counts like any other; its exact copies count once.
+    rows += [(2000 + i, "a of the template", "a") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.documents for r in q.line_documents(docs).where("documents > 1").collect()) == [1000] * 11 + [1001]
+
+
 def test_documents_that_share_lines_are_distinct(spark):
     # Twenty hosts of sixty documents that share k lines and have one of their own; each document stands twice.
     rows = []
