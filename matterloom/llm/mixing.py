@@ -2,9 +2,10 @@
 
 Every source gets a target in words. Whole passes over a source are taken as often as they fit; what remains is a
 budget below the source's size. Documents are counted by exact length, and a plan says how many documents of each
-length the budget takes: first each length's share, rounded down, then the longest that still fit, and for the last part
+length the budget takes: each length's share of all but a small part of it, and for that part
 a bounded-knapsack dynamic program over lengths and their remaining counts, which comes as near the budget as it can.
-The documents themselves are the seeded ones: in each length, those with the least hash of seed, doc_id and text.
+The documents themselves are the seeded ones: in each length, those with the least hash of seed, doc_id and text, and of
+a number for rows in which both are the same.
 
 Plan: sizes and hashes are written once, without the texts, and counted by (source, length) with partial sums, so
 that a hot source or length is reduced before it is dealt out. The plan of a source is made from its histogram of
@@ -14,7 +15,7 @@ only the slice on the border is looked into. The decisions (one row for each len
 broadcast if they are at most ``BROADCAST``, else by a join that adaptive execution can split.
 
 Defined results: null or empty text has size 0 and is never taken; a null source is the last one; repeated rows keep
-one result row each, and rows with the same doc_id and text are taken alike; an empty table gives an empty result; a source of size 0 has
+one result row each, and any of those with the same doc_id and text may be the ones taken; an empty table gives an empty result; a source of size 0 has
 target 0; columns whose names clash with results are replaced.
 """
 
@@ -25,13 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_rows, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 SEED = 17
 #: Documents that a slice of the hash should hold.
 SLICE = 256
+#: Words that the dynamic program is left at least.
+ROOM = 4096
 #: The dynamic program is given budgets up to this; what is above it is filled before.
 EXACT = 1 << 17
 #: Rows of a table of decisions that is broadcast at most.
@@ -58,57 +61,84 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
-    """How many documents of each length to take so that their sizes come to ``budget``, or as near as can be."""
+    """How many documents of each length to take so that their sizes come to ``budget``, or as near as can be. Every
+    length gets its share of the budget, rounded so that neighbouring lengths make up for each other, but for a small
+    part that the dynamic program fills exactly. Of more than half of all, what stays out is fitted instead."""
     take = np.zeros(len(lengths), np.int64)
-    usable = lengths > 0
-    total = int((lengths * counts)[usable].sum())
+    counts = np.where(lengths > 0, counts, 0)
+    total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return take
     if budget >= total:
-        return np.where(usable, counts, 0)
-    # Leave the program something to choose from: its part of the budget is filled from what the shares leave over.
-    room = min(budget, exact // 2)
-    take[usable] = [int(c) * (budget - room) // total for c in counts[usable]]
+        return counts
+    if 2 * budget > total:
+        return counts - fit(lengths, counts, total - budget, exact)
+    usual = int(lengths[np.searchsorted(np.cumsum(lengths * counts), total * 0.95)])  # 95 % of all words are in texts no longer
+    room = min(budget, exact // 2, max(ROOM, 2 * usual))
+    order = np.argsort(lengths, kind="stable")
+    shares = np.cumsum(counts[order].astype(float)) * ((budget - room) / total)
+    take[order] = np.diff(np.floor(shares + 0.5), prepend=0).astype(np.int64)
+    take = np.minimum(take, counts)
     rest = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest <= room:
+    while rest < 0:  # very long texts that were rounded up
+        have = np.flatnonzero(take)
+        enough = have[lengths[have] >= -rest]
+        i = enough[np.argmin(lengths[enough])] if len(enough) else have[np.argmax(lengths[have])]
+        take[i] -= 1
+        rest += int(lengths[i])
+    for i in order[::-1]:  # or down
+        if rest <= 2 * room:
             break
-        if lengths[i] > 0:
-            more = min(int(counts[i] - take[i]), max(0, rest - room // 2) // int(lengths[i]))
-            take[i] += more
-            rest -= more * int(lengths[i])
-    return take + knapsack(lengths, np.where(usable, counts - take, 0), rest, exact)
+        more = min(int(counts[i] - take[i]), max(0, rest - room) // int(lengths[i]) if lengths[i] else 0)
+        take[i] += more
+        rest -= more * int(lengths[i])
+    left = counts - take
+    # First from a few times each length's share of the rest, so that no length fills it alone; from all of them if that misses.
+    few = np.minimum(left, np.ceil(4 * left * (rest / max(1, int((lengths * left).sum())))).astype(np.int64) + 1)
+    more = knapsack(lengths, few, rest, exact)
+    if int((lengths * more).sum()) != rest:
+        more = knapsack(lengths, left, rest, exact)
+    return take + more
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
-    """Bounded knapsack over sums up to a little above ``budget``: the nearest reachable sum, lower at a tie."""
+    """Bounded knapsack over sums up to a little above ``budget``: the nearest reachable sum, lower at a tie. One pass for
+    each length: a sum is reached if, in steps of the length, a sum reached before is at most as many steps below it as
+    there are documents. Lengths come in a seeded order, until the budget or the nearest sum that there can be is met."""
     take = np.zeros(len(lengths), np.int64)
-    if budget <= 0:
+    usable = np.flatnonzero((lengths > 0) & (counts > 0))
+    if budget <= 0 or not len(usable):
         return take
     top = budget + min(budget, exact)  # a sum above the budget may be nearer
     first = np.full(top + 1, -1, np.int32)  # the length that first reached a sum
+    steps = np.zeros(top + 1, np.int32)  # and how many of it that took
     reached = np.zeros(top + 1, bool)
     reached[0] = True
-    for i in np.argsort(lengths, kind="stable"):
+    unit = int(np.gcd.reduce(lengths[usable]))
+    nearest = (2 * budget + unit - 1) // (2 * unit) * unit
+    nearest -= unit if nearest > top else 0
+    for i in usable[np.argsort((lengths[usable] * 0x9E3779B1) & 0xFFFFFFFF, kind="stable")]:
         size, left = int(lengths[i]), int(counts[i])
-        if size == 0 or left == 0 or size > top:
+        if size > top:
             continue
-        # Sums first reached with one more document of this length, from those first reached with one less.
-        edge = reached.copy()
-        for _ in range(min(left, top // size)):
-            edge = np.r_[np.zeros(size, bool), edge[:-size]] & ~reached
-            if not edge.any():
-                break
-            reached |= edge
-            first[edge] = i
-        if reached[budget]:
+        rows = -(-(top + 1) // size)
+        grid = np.zeros(rows * size, bool)
+        grid[: top + 1] = reached
+        grid = grid.reshape(rows, size)
+        row = np.arange(rows, dtype=np.int32)[:, None]
+        gap = row - np.maximum.accumulate(np.where(grid, row, np.int32(-(2**30))), axis=0)
+        new = (~grid & (gap <= left)).reshape(-1)[: top + 1]
+        first[new] = i
+        steps[new] = gap.reshape(-1)[: top + 1][new]
+        reached |= new
+        if reached[nearest]:
             break
     sums = np.flatnonzero(reached)
     at = int(sums[np.argmin(np.abs(sums - budget) * 2 + (sums > budget))])
     while at > 0:
-        i = first[at]
-        take[i] += 1
-        at -= int(lengths[i])
+        i, n = first[at], int(steps[at])
+        take[i] += n
+        at -= n * int(lengths[i])
     return take
 
 
@@ -117,14 +147,35 @@ def _near(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def _told_apart(docs: DataFrame, doc_id: str, text: str, seed: int, broadcast: int) -> DataFrame:
+    """``docs``, with a column ``_copy`` that numbers rows of the same doc_id and text, if there are such. The numbers come
+    from counts for each task of the table, so rows that are all alike never meet in one task."""
+    told = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)).alias("_told")
+    again = written(docs.select(told).groupBy("_told").agg(F.count("*").alias("n")).where("n > 1").select("_told"), "again")
+    if again.isEmpty():
+        return docs
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    keyed = written(docs.mapInArrow(with_rows, f"{schema}, _row long"), "rows")
+    rows = keyed.select(told, "_row", F.shiftright("_row", 40).alias("_task")).join(_near(again, broadcast), "_told")
+    tasks = rows.groupBy("_told", "_task").agg(F.count("*").alias("n"))
+    before = (F.sum("n").over(Window.partitionBy("_told").orderBy("_task")) - F.col("n")).alias("before")
+    number = F.row_number().over(Window.partitionBy("_told", "_task").orderBy("_row")) - 1
+    copies = rows.withColumn("number", number).join(tasks.select("_told", "_task", before), ["_told", "_task"])
+    copies = written(copies.select("_row", (F.col("before") + F.col("number")).alias("_copy")).where("_copy > 0"), "copies")
+    return keyed.join(_near(copies, broadcast), "_row", "left").drop("_row")
+
+
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MAX_COPIES, seed: int = SEED, broadcast: int = BROADCAST, keep: bool = False
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted). With ``keep``, the columns of ``docs``, and
     ``copies``, how often the mix takes the document."""
+    docs = _told_apart(docs, doc_id, text, seed, broadcast)
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     hashed = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text))
+    if "_copy" in docs.columns:
+        hashed = F.when(F.col("_copy") > 0, F.xxhash64(hashed, "_copy")).otherwise(hashed)
     sized = written(docs.select(F.col(doc_id).alias("doc_id"), words.alias("_size"), key.alias("_key"), F.col(source).alias("_source"), hashed.alias("_hash")), "sizes")
 
     by_length = written(sized.groupBy("_key", "_size").agg(F.count("*").alias("_n"), F.max("_source").alias("_source")), "lengths")
@@ -167,7 +218,7 @@ def mix(
     taken = F.when(F.col("_extra") == F.col("_n"), 1).when((slice_ < F.col("_border")) | ((slice_ == F.col("_border")) & (F.col("_hash") <= F.col("_cut"))), 1).otherwise(0)
     copies = F.when(F.col("_size") > 0, F.col("_passes") + taken).otherwise(0).cast("int")
     if keep:
-        names = [c for c in docs.columns if c != "copies"]
+        names = [c for c in docs.columns if c not in ("copies", "_copy")]
         rows = docs.select(*names, words.alias("_size"), key.alias("_key"), hashed.alias("_hash"))
         return rows.join(_near(decided, broadcast), on).select(*names, copies.alias("copies"))
     rows = sized.join(_near(decided, broadcast), on)

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,27 @@ def test_large_budgets_are_met_exactly():
         assert abs(got - budget) <= (20 if budget < 50 or budget > 10**8 else 0), budget
 
 
+def test_few_lengths_take_one_pass_each_and_no_length_is_preferred():
+    for sizes in ([1, 9000], [2, 6, 10, 14, 9000]):
+        sizes = np.array(sizes)
+        began = time.perf_counter()
+        take = mixing.fit(sizes, np.full(len(sizes), 200_000), 777_777_778)
+        assert time.perf_counter() - began < 0.5 and abs(int(take @ sizes) - 777_777_778) <= 1
+    sizes = np.arange(100, 9100)
+    take = mixing.fit(sizes, np.ones(len(sizes), np.int64), int(0.3 * sizes.sum()))
+    assert int(take @ sizes) == int(0.3 * sizes.sum())
+    assert all(abs(x.mean() - 0.3) < 0.03 for x in np.array_split(take, 4))
+
+
+def test_repeated_rows_meet_the_target(spark):
+    rows = [(1, "a b c d e f g h i j", "a")] * 3000 + [(2, " ".join(["w"] * 20_000), "b"), (3, "w w", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs, most=2).where("doc_id = 1").groupBy("target").agg({"taken": "sum", "doc_id": "count"}).first()
+    assert got["count(doc_id)"] == 3000 and abs(got["sum(taken)"] - got.target) <= 10, got
+    kept = mixing.mix(docs, keep=True, most=2)
+    assert kept.columns == [*docs.columns, "copies"] and kept.count() == len(rows)
+
+
 @pytest.mark.parametrize("broadcast", [0, mixing.BROADCAST])
 def test_mix(spark, broadcast, monkeypatch):
     monkeypatch.setattr(mixing, "SLICE", 8)
