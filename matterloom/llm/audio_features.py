@@ -2,8 +2,9 @@
 
 A payload of bytes is stored losslessly as a WAV file of unsigned 8-bit samples (one byte a sample). The stored
 bytes are read back and turned into features: polyphase resampling, overlapped log-mel filterbanks, and speech-like
-segments by hysteresis on frame energy. Features come as rows of one fixed shape, ``FRAMES x MELS`` float32, with the
-time span of each (:func:`to_arrow_tensors` gives them Arrow's fixed-shape tensor type).
+segments by hysteresis on frame energy. Features are stored as an Arrow stream for each recording, whose column
+``tensor`` has Arrow's fixed-shape tensor type, ``FRAMES x MELS`` float32, beside the time span of each piece
+(``start_s``, ``end_s``); they are read back too before anything is told of them.
 
 Everything happens inside one task per batch of rows, in blocks of samples, so memory does not grow with a recording
 beyond the recording itself; nothing is shuffled.
@@ -33,7 +34,7 @@ RATE = 16_000
 UP, DOWN = 1, 2
 WINDOW, HOP = 256, 128
 MELS, FRAMES = 24, 64
-#: A segment starts where the smoothed level is above the first and lasts until it is below the second (dB under the recording's loudest frame).
+#: A segment starts where a frame's level is above the first and lasts until it is below the second (dB under the recording's loudest frame).
 ENTER_DB, LEAVE_DB = -6.0, -12.0
 PAD = 64
 BLOCK = 2048
@@ -115,10 +116,11 @@ def mel_bank(rate: int, mels: int = MELS, window: int = WINDOW) -> np.ndarray:
 
 
 def log_mel(samples: bytes, rate: int = RATE, up: int = UP, down: int = DOWN) -> tuple[np.ndarray, np.ndarray]:
-    """Per frame: log-mel energies, and the level in dB. Frames overlap by half; a short recording has one."""
+    """Per frame: log-mel energies, and the level in dB. Frames overlap by half, and the last is filled up with zeros, so that
+    every sample is in one; a short recording has one."""
     x = np.frombuffer(samples, np.uint8)
     length = -(-len(x) * up // down)
-    frames = max(1, 1 + (length - WINDOW) // HOP)
+    frames = max(1, 1 - (WINDOW - length) // HOP)
     bank, shape = mel_bank(rate * up // down), np.hanning(WINDOW)
     mels, levels = np.empty((frames, MELS), np.float32), np.empty(frames)
     for at in range(0, frames, BLOCK):
@@ -159,9 +161,8 @@ def features(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
     return tensors, spans
 
 
-def to_arrow_tensors(tensors: np.ndarray) -> pa.ExtensionArray:
-    """Arrow's fixed-shape tensor array of the pieces."""
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
+STREAM = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", TENSOR)])
 
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,25 +177,29 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, f"doc_id {id_type}, n_bytes long, media binary")
 
 
-def extract(stored: DataFrame) -> DataFrame:
-    """(doc_id, piece, start_s, end_s, tensor): one row for each fixed-shape piece; ``tensor`` is row-major
-    ``FRAMES x MELS`` (its Arrow storage)."""
-    id_type = stored.schema["doc_id"].dataType.simpleString()
+def tensor_stream(tensors: np.ndarray, spans: np.ndarray) -> bytes:
+    """An Arrow stream of one batch: tensors and their time spans."""
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(tensors).reshape(-1)), FRAMES * MELS)
+    batch = pa.record_batch([pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.ExtensionArray.from_storage(TENSOR, storage)], STREAM)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STREAM) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media"):
-            for i, media in enumerate(batch.column("media")):
-                tensors, spans = features(*from_wav(media.as_py()))
-                n = len(spans)
-                if n:
-                    storage = to_arrow_tensors(tensors).storage.cast(pa.list_(pa.float32()))
-                    yield pa.record_batch([batch.column("doc_id").take(pa.array([i] * n)), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), storage], ["doc_id", "piece", "start_s", "end_s", "tensor"])
 
-    return stored.select("doc_id", "media").mapInArrow(run, f"doc_id {id_type}, piece int, start_s double, end_s double, tensor array<float>")
+def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The tensors and spans of :func:`tensor_stream`."""
+    batch = pa.ipc.open_stream(stream).read_next_batch()
+    tensor = batch.column("tensor")
+    shape = (len(tensor), *tensor.type.shape)
+    return tensor.storage.flatten().to_numpy().reshape(shape), np.stack([batch.column("start_s").to_numpy(), batch.column("end_s").to_numpy()], 1)
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """The digest columns of every stored recording, computed from the bytes read back."""
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def extract(stored: DataFrame) -> DataFrame:
+    """(doc_id, digests of the stored bytes, n_pieces, tensors): every recording's features as an Arrow stream."""
     id_type = stored.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +209,52 @@ def digests(stored: DataFrame) -> DataFrame:
                 media = cell.as_py()
                 data, rate = from_wav(media)
                 tensors, spans = features(data, rate)
-                feature = hashlib.sha256(to_arrow_tensors(tensors).storage.flatten().to_numpy().tobytes() if len(spans) else b"")
-                feature.update(spans.tobytes())
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(spans)}:{feature.hexdigest()}"))
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), len(spans), tensor_stream(tensors, spans)))
             cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pieces", "tensors"]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", *names])
+
+    return stored.mapInArrow(run, f"doc_id {id_type}, {DIGESTS}, n_pieces int, tensors binary")
+
+
+def pieces(extracted: DataFrame) -> DataFrame:
+    """(doc_id, piece, start_s, end_s, tensor): one row for each fixed-shape piece; ``tensor`` is row-major ``FRAMES x MELS``."""
+    id_type = extracted.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, stream in enumerate(batch.column("tensors")):
+                tensors, spans = read_tensors(stream.as_py())
+                n = len(spans)
+                if n:
+                    rows = pa.ListArray.from_arrays(np.arange(n + 1) * FRAMES * MELS, pa.array(tensors.reshape(-1)))
+                    yield pa.record_batch([batch.column("doc_id").take(pa.array([i] * n)), pa.array(range(n), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), rows], ["doc_id", "piece", "start_s", "end_s", "tensor"])
+
+    return extracted.select("doc_id", "tensors").mapInArrow(run, f"doc_id {id_type}, piece int, start_s double, end_s double, tensor array<float>")
+
+
+def digests(extracted: DataFrame) -> DataFrame:
+    """The digest columns of every recording; ``feature`` is taken from the tensors and spans that are read back."""
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+    id_type = extracted.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "tensors"):
+            told = []
+            for cell in batch.column("tensors"):
+                tensors, spans = read_tensors(cell.as_py())
+                feature = hashlib.sha256(np.ascontiguousarray(tensors, "<f4").tobytes())
+                feature.update(np.ascontiguousarray(spans, "<f8").tobytes())
+                told.append(f"{len(spans)}:{feature.hexdigest()}")
+            yield pa.record_batch([*(batch.column(c) for c in ["doc_id", *names]), pa.array(told, pa.string())], ["doc_id", *names, "feature"])
 
-    return stored.mapInArrow(run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return extracted.drop("n_pieces").mapInArrow(run, f"doc_id {id_type}, {DIGESTS}, feature string")
 
 
 def audio_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text's payload in the shared folder, read it back, and return its digests and feature."""
-    return digests(written(store(docs, doc_id, text), "media"))
+    """Store every text's payload in the shared folder, read it back, store its tensors, and return digests of what is read back from both."""
+    media = written(store(docs, doc_id, text), "media")
+    tensors = written(extract(media), "tensors")
+    drop(media)
+    return digests(tensors)
