@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import time
 from html import unescape
 
 import pyarrow.parquet as pq
@@ -49,6 +51,76 @@ def test_host_paths_decide(spark):
     assert h.extract_text(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "deep words",
+        "<p>some <a b'c ' " * 60_000,
+        "<p title=\"abc>four " * 1 + "<b x='1" * 140_000,
+        "<i>" * 50_000 + "<div>" + "</b>" * 100_000 + "x",
+        "<ul><li>" + "<div>" * 20_000 + "<li>a</li></section>" * 20_000,
+        "<header><h1>" * 30_000 + "x",
+        "<b>" + "<div><i>" * 20_000 + "</b>" * 20_000 + "x",
+    ],
+)
+def test_time_is_in_proportion_to_length(page):
+    began = time.perf_counter()
+    h.extract(page, ["/nowhere"])
+    assert time.perf_counter() - began < 4
+
+
+def test_nothing_but_marked_parts_go():
+    page = """<body><article><section id="related-work"><p>what others did</p></section><div class="share-price">42 euros</div>
+    <div class="share-buttons">Tweet</div><div id=commentList><p>reader</p></div><p title="abc>four <i>five</i></p><p class=x>six</article>"""
+    assert h.extract(page, []) == "what others did 42 euros four five six"
+    assert h.extract('<article><p title="abc>four', []) == "four"
+    assert h.extract("<p a=\"x>y\" b='>' c=d>words", []) == "words"
+
+
+def test_votes_against_a_plain_count(spark):
+    """Winning paths of hosts with several templates, counted page by page with paths written out."""
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choice("one two three four five".split()) for _ in range(n))
+    rows, votes = [], {}
+    for i in range(400):
+        host = r.choice(["a.example", "b.example"])
+        k = r.randrange(12) if host == "a.example" else i + 100
+        name = "".join(chr(97 + int(c)) for c in str(k))
+        rows.append((i, f"https://{host}/{i}", f'<html><body><div class="{name} n{i}"><p>{words(30)}</p></div><div class=tail><a href=x>{words(20)}</a></div></body></html>'))
+        nodes, _ = h.read_page(rows[-1][2])
+        won = max((n for n in nodes if n.tag in h.CONTAINERS and n.content), key=lambda n: (h.score(n), n.level))
+        path, at = [], won
+        while at.parent is not None:
+            path, at = [at.tag] + path, at.parent
+        if won.tag == "div":
+            path[-1] = f"div.{'.'.join(sorted([name, 'n']))}"
+        votes.setdefault(host, {}).setdefault("".join(f">{x}" for x in path), []).append(round(1000 * math.log1p(h.score(won))))
+    want = {}
+    for host, by in votes.items():
+        whole = sum(map(sum, by.values()))
+        won = sorted((-sum(v), h.signed(h.path_key(p))) for p, v in by.items() if len(v) > 1 and sum(v) >= h.SHARE * whole)
+        if won:
+            want[host] = [k for _, k in won]
+    pages = spark.createDataFrame([*rows, (900, None, rows[0][2]), (901, "odd", rows[0][2])], "page_id int, url string, html string")
+    got = {x._host: x._paths for x in h.host_paths(pages).collect()}
+    assert got == want and any(len(p) > 8 for p in got.values()) and "" not in got
+
+
+def test_two_templates_of_a_host(spark):
+    r = random.Random(2)
+    words = lambda n: " ".join(r.choice("one two three four five".split()) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        body = words(50)
+        few = f"<body><div><p>see also</p></div><section class=story><p>{body}</p></section></body>"
+        rows.append((i, "http://c.example/x", few if i % 4 == 0 else f"<body><div><p>{body}</p></div></body>"))
+        want[i] = body
+    rows += [(50 + i, None, f'<body><div class="c{chr(97 + i)}"><p>{words(30)}</p></div></body>') for i in range(5)]
+    got = {x.page_id: x.text for x in h.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    # A few words on the path of most pages do not hide the article.
+    assert all(got[i].removeprefix("see also ") == want[i] for i in want) and all(len(got[50 + i].split()) == 30 for i in range(5))
+
+
 def test_given_pages_against_a_plain_rule():
     """These pages have one article and close what they open around it, so its text can be cut out by patterns."""
     pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
