@@ -1,16 +1,19 @@
 """Toxicity by maximum-scoring segments.
 
 Every word gets the log-odds of standing in toxic rather than other text, with an informative Dirichlet prior in proportion
-to how often it occurs at all, less three standard errors, or those of its beginning if they are higher; a word without
-evidence has a small negative drift. Near copies count once: a document is told by the least hash of its three-word shingles. A linear-time scan finds all maximal-scoring segments of a document's words. A segment's score
-becomes an expectation under the extreme-value law of chance segments (lambda solves ``E[exp(lambda s)] = 1`` over
-the words of labelled clean text), and the evidence of a document's significant segments, added up without
-its single strongest word, becomes a probability by a logistic curve.
+to how often it occurs at all, drawn towards 0 by three standard errors; words that lean to clean text get negative ones.
+The beginnings of a word count if they are higher. A small negative drift is added to every word. Near copies count once: a document is
+told by the least hash of its three-word shingles. A linear-time scan finds all maximal-scoring segments of a document's words.
+A segment's score becomes an expectation under the extreme-value law of chance segments: lambda solves
+``E[exp(lambda s)] = 1`` over the words of labelled clean text, and K is the one under which the best segments of that
+text's documents are likeliest. The evidence of a document's significant segments, added up, becomes a probability by a
+logistic curve. Words are scored on one part of the labelled texts (by a hash of the family of near copies), and lambda, K and the curve
+are fitted on the other (one in ``CALIBRATE``), so that the curve is not fooled by scores that fit their own texts.
 
 Plan: labels are drawn up to ``SAMPLE`` rows by hash (all, if there are no more) and broadcast, so the labelled texts
-are found without shuffling a text; they are written once. Words are counted by documents with partial sums; at most
-``WORDS`` words and as many beginnings, those with most evidence, come to the driver. The curve is fitted to counts
-by rounded evidence. Scoring is a map over all documents.
+are found by a join that shuffles no text; they are written once. Words are counted by documents with partial sums; at most
+``WORDS`` words of either kind and as many beginnings, those with most evidence, come to the driver. Law and curve are fitted
+to sums and counts. Scoring is a map over all documents.
 
 Defined results: null or empty text has no words and gets the score of no evidence; without labels of both kinds
 every score is 0; a doc_id with several labels is toxic if one says so; null doc_ids are never learned from and are
@@ -41,8 +44,8 @@ WORDS = 1 << 16
 PRIOR = 0.03
 ERRORS = 3.0
 DRIFT = -0.1
-#: Log-odds below this are no evidence.
-LEAST = 0.7
+#: One in so many families of labelled texts calibrates what the others have taught.
+CALIBRATE = 8
 BEGINNINGS = (6, 5, 4)
 #: A segment counts if fewer than this many as good are expected by chance in a document.
 SIGNIFICANT = 0.05
@@ -65,11 +68,13 @@ def features(words: set[str]) -> set[str]:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Log-odds with a Dirichlet prior of mass ``PRIOR`` times the number of documents, less ``ERRORS`` standard errors; 0 at least."""
+    """Log-odds with a Dirichlet prior of mass ``PRIOR`` times the number of documents, drawn towards 0 by ``ERRORS`` standard errors."""
     prior = PRIOR * (toxic + clean)
     t, c = toxic + prior * n_toxic / (n_toxic + n_clean), clean + prior * n_clean / (n_toxic + n_clean)
     delta = np.log(t / (n_toxic * (1 + PRIOR) - t + 1)) - np.log(c / (n_clean * (1 + PRIOR) - c + 1))
-    return np.maximum(0, delta - ERRORS * np.sqrt(1 / t + 1 / (clean + prior)))
+    few = np.where(delta > 0, clean + prior, toxic + prior)
+    many = np.where(delta > 0, t, c)
+    return np.sign(delta) * np.maximum(0, np.abs(delta) - ERRORS * np.sqrt(1 / many + 1 / few))
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -109,11 +114,11 @@ class Model:
         get = self.words.get
         known: dict[str, float] = {}
         for w in set(words):
-            known[w] = max(get(w, DRIFT), *(get(w[:n] + "*", DRIFT) for n in BEGINNINGS if len(w) >= n), DRIFT)
+            known[w] = DRIFT + max(get(w, 0.0), *(get(w[:n] + "*", -math.inf) for n in BEGINNINGS if len(w) >= n), -math.inf)
         return [known[w] for w in words]
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float, float, float]]:
-        """(begin, end, score, logarithm of the expectation, score of the strongest word) of the significant segments, in words."""
+    def maximal(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """(begin, end, score) of all maximal-scoring segments, in words."""
         scores = np.array(self.scores(words))
         if not len(scores) or scores.max() <= 0:
             return []
@@ -121,16 +126,19 @@ class Model:
         edge = np.flatnonzero(np.r_[True, (scores[1:] > 0) != (scores[:-1] > 0)])
         runs = np.add.reduceat(scores, edge).tolist()
         ends = np.r_[edge[1:], len(scores)]
-        out = []
-        for b, e, s in maximal_segments(runs):
-            expected = math.log(self.k * len(words)) - self.lam * s
-            if expected < math.log(SIGNIFICANT):
-                out.append((int(edge[b]), int(ends[e - 1]), s, expected, float(scores[edge[b] : ends[e - 1]].max())))
-        return out
+        return [(int(edge[b]), int(ends[e - 1]), s) for b, e, s in maximal_segments(runs)]
 
-    def evidence(self, segments: list[tuple[int, int, float, float, float]]) -> float:
-        """What the segments come to without their single strongest word, so that one chance word is no evidence."""
-        return max(0.0, -sum(x[3] for x in segments) - self.lam * max((x[4] for x in segments), default=0.0))
+    def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
+        """(begin, end, score, logarithm of the expectation) of the significant segments, in words."""
+        if not words:
+            return []
+        chance = math.log(self.k * len(words))
+        found = [(b, e, s, chance - self.lam * s) for b, e, s in self.maximal(words)]
+        return [x for x in found if x[3] < math.log(SIGNIFICANT)]
+
+    def evidence(self, segments: list[tuple[int, int, float, float]]) -> float:
+        """What the significant segments come to: minus the sum of the logarithms of their expectations."""
+        return -sum(x[3] for x in segments)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * math.log1p(evidence) + self.bias))))
@@ -142,23 +150,20 @@ def held_out(doc_id) -> F.Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int = SAMPLE) -> DataFrame:
     """(text, toxic, family) of the labelled documents that are not held out; of the labels, at most about ``most`` rows by hash."""
-    spark = docs.sparkSession
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
     total = rows.count()
     if total > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / total))
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = spark.sparkContext.broadcast({r.doc_id: int(r.toxic) for r in rows.collect()})
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        for batch in batches:
-            found = [table.get(i) for i in batch.column("doc_id").to_pylist()]
-            at = [k for k, x in enumerate(found) if x is not None]
-            texts = batch.column("text").take(pa.array(at, pa.int64()))
-            yield pa.record_batch([texts, pa.array([found[k] for k in at], pa.int32()), pa.array([family(words_of(t)) for t in strings(texts)], pa.int64())], ["text", "toxic", "family"])
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            families = pa.array([family(words_of(t)) for t in strings(batch.column("text"))], pa.int64())
+            yield pa.record_batch([batch.column("text"), batch.column("toxic"), families], ["text", "toxic", "family"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(pick, "text string, toxic int, family long")
+    # At most about ``most`` rows of two numbers are broadcast.
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    return found.mapInArrow(tell, "text string, toxic int, family long")
 
 
 def family(words: list[str]) -> int:
@@ -190,71 +195,91 @@ def count_features(train: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _mapped(train: DataFrame, model: Model, schema: str, make) -> DataFrame:
-    known = train.sparkSession.sparkContext.broadcast(model)
+def _mapped(texts: DataFrame, model: Model, make) -> DataFrame:
+    """(toxic, value, n, weight): sums over what ``make`` adds up for each text."""
+    known = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        weights: Counter = Counter()
         for batch in slices(batches, "text"):
             for t, y in zip(strings(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                make(known.value, words_of(t), y, held)
-        yield pa.record_batch([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["toxic", "value", "n"])
+                make(known.value, words_of(t), y, held, weights)
+        yield pa.record_batch(
+            [pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array(list(held.values()), pa.int64()), pa.array([weights[k] for k in held], pa.float64())],
+            ["toxic", "value", "n", "weight"],
+        )
 
-    return train.mapInArrow(run, schema).groupBy("toxic", "value").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "toxic long, value long, n long, weight double").groupBy("toxic", "value").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
     """Learn word scores, the law of chance segments, and the curve from the labelled documents that are not held out."""
-    train = written(labelled(docs, labels, doc_id, text, label, most), "labelled")
-    sizes = {bool(r.toxic): r.n for r in train.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
+    train = written(labelled(docs, labels, doc_id, text, label, most).withColumn("calibrates", F.pmod(F.xxhash64("family"), F.lit(CALIBRATE)) == 0), "labelled")
+    sizes = {(bool(r.toxic), r.calibrates): r.n for r in train.groupBy((F.col("toxic") > 0).alias("toxic"), "calibrates").agg(F.count("*").alias("n")).collect()}
+    if len({y for y, _ in sizes}) < 2:
         return Model()
-    counts = written(count_features(train).where(F.col("toxic") >= 2), "features")
+    # With too few texts for two parts, the same ones teach and calibrate.
+    teach, test = (train.where("NOT calibrates"), train.where("calibrates")) if len(sizes) == 4 else (train, train)
+    counts = written(count_features(teach), "features")
+    n = {y: sum(v for (x, c), v in sizes.items() if x == y and not (c and len(sizes) == 4)) for y in (True, False)}
     words: dict[str, float] = {}
-    share = sizes[True] / (sizes[True] + sizes[False])
+    share = n[True] / (n[True] + n[False])
     excess = F.col("toxic") - share * (F.col("toxic") + F.col("clean"))
-    for kind in (~F.col("feature").endswith("*"), F.col("feature").endswith("*")):
-        top = counts.where(kind).where(excess > 0).orderBy(F.desc(excess / F.sqrt(F.col("toxic") + F.col("clean"))), "feature").limit(WORDS).collect()
+    beginning = F.col("feature").endswith("*")
+    for kind in (~beginning & (excess > 0) & (F.col("toxic") > 1), ~beginning & (excess < 0), beginning & (excess > 0) & (F.col("toxic") > 1)):
+        top = counts.where(kind).orderBy(F.desc(F.abs(excess) / F.sqrt(F.col("toxic") + F.col("clean"))), "feature").limit(WORDS).collect()
         if top:
-            scores = log_odds(np.array([r.toxic for r in top], float), np.array([r.clean for r in top], float), sizes[True], sizes[False])
-            words |= {r.feature: float(s) for r, s in zip(top, scores, strict=True) if s > LEAST}
+            scores = log_odds(np.array([r.toxic for r in top], float), np.array([r.clean for r in top], float), n[True], n[False])
+            words |= {r.feature: float(s) for r, s in zip(top, scores, strict=True) if s}
     model = Model(words)
-    if not words:
+    if not any(s > -DRIFT for s in words.values()):
         return model
 
-    def tally(m: Model, ws: list[str], y: int, held: Counter) -> None:
+    def tally(m: Model, ws: list[str], y: int, held: Counter, weights: Counter) -> None:
         if y <= 0:
             held.update((0, round(100 * s)) for s in m.scores(ws))
 
-    chance = _mapped(train, model, "toxic long, value long, n long", tally).collect()
-    model.lam, model.k = chance_law(np.array([r.value / 100 for r in chance]), np.array([r.n for r in chance], float))
+    chance = _mapped(test, model, tally).collect()
+    model.lam = chance_law(np.array([r.value / 100 for r in chance]), np.array([r.n for r in chance], float))
+
+    def longest(m: Model, ws: list[str], y: int, held: Counter, weights: Counter) -> None:
+        if y <= 0 and ws:
+            high = max((x[2] for x in m.maximal(ws)), default=0.0)
+            held[0, int(high > 0)] += 1
+            weights[0, int(high > 0)] += len(ws) * math.exp(-m.lam * high)
 
-    def weigh(m: Model, ws: list[str], y: int, held: Counter) -> None:
+    model.k = chance_constant({r.value: (r.n, r.weight) for r in _mapped(test, model, longest).collect()})
+
+    def weigh(m: Model, ws: list[str], y: int, held: Counter, weights: Counter) -> None:
         held[int(y > 0), round(50 * math.log1p(m.evidence(m.segments(ws))))] += 1
 
-    seen = _mapped(train, model, "toxic long, value long, n long", weigh).collect()
+    seen = _mapped(test, model, weigh).collect()
     model.slope, model.bias = curve(np.array([r.value / 50 for r in seen]), np.array([r.toxic for r in seen], float), np.array([r.n for r in seen], float))
     return model
 
 
-def chance_law(scores: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Lambda and K of the extreme-value law for independent draws from the given scores."""
-    p = n / n.sum()
-    if scores.max() <= 0:
-        return 1.0, 0.1
-    # One draw of the highest score is added, so that a mean below 0 and a chance above it are always there.
-    high = scores.max()
-    p = np.r_[p * n.sum(), 1.0] / (n.sum() + 1)
-    s = np.r_[scores, high]
-    if p @ s >= 0:
-        s = s - (p @ s) - 0.01
+def chance_law(scores: np.ndarray, n: np.ndarray) -> float:
+    """Lambda of the extreme-value law for independent draws from the given scores."""
+    if not len(scores):
+        return 1.0
+    # One draw of a positive score is added, so that a chance above 0 is always there; where the scores of clean text do
+    # not fall on average, there is no law of chance segments, and lambda is next to 0.
+    s, p = np.r_[scores, max(scores.max(), 1.0)], np.r_[n, 1.0] / (n.sum() + 1)
     lo, hi = 1e-6, 1.0
     while p @ np.exp(hi * s) < 1 and hi < 64:
         hi *= 2
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if p @ np.exp(mid * s) < 1 else (lo, mid)
-    return lo, max(1e-3, float(p[s > 0].sum()))
+    return lo
+
+
+def chance_constant(best: dict[int, tuple[int, float]]) -> float:
+    """K, under which the best segments of clean documents are likeliest, given their number and the sum of ``m exp(-lambda s)``
+    (m: words, s: best score) for documents with (1) and without (0) a positive word. Of the latter it is known that s is not above 0."""
+    with_, total = best.get(1, (0, 0.0))[0], sum(w for _, w in best.values())
+    return (with_ + 0.5) / (total + 1.0)
 
 
 def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -308,7 +333,7 @@ def passages(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
             rows = []
             for i, t in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
                 places = [m.span() for m in WORD.finditer(t)]
-                for b, e, s, expected, _ in known.value.segments([t[x:y].lower() for x, y in places]):
+                for b, e, s, expected in known.value.segments([t[x:y].lower() for x, y in places]):
                     start, end = places[b][0], places[e - 1][1]
                     rows.append((i, start, end, s, math.exp(expected), t[start:end]))
             columns = list(zip(*rows, strict=True)) or [()] * 6

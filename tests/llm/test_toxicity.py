@@ -33,8 +33,51 @@ def test_segments_are_the_maximal_ones(scores):
 
 
 def test_chance_law():
-    lam, k = t.chance_law(np.array([1.0, -1.0]), np.array([1e9, 3e9]))
-    assert abs(lam - np.log(3)) < 1e-4 and abs(k - 0.25) < 1e-4
+    assert abs(t.chance_law(np.array([1.0, -1.0]), np.array([1e9, 3e9])) - np.log(3)) < 1e-4
+    assert t.chance_law(np.array([1.0, -1.0]), np.array([3e9, 1e9])) < 1e-3 and t.chance_law(np.array([]), np.array([])) == 1.0
+
+
+def test_chance_constant_is_that_of_drawn_scores():
+    r = np.random.default_rng(5)
+    lam, k = 0.8, 0.05
+    m = r.integers(20, 400, 40_000)
+    s = np.maximum(0, (np.log(k * m) - np.log(-np.log(r.random(len(m))))) / lam)
+    parts = {v: (int((on := (s > 0) == bool(v)).sum()), float((m * np.exp(-lam * s))[on].sum())) for v in (0, 1)}
+    assert abs(t.chance_constant(parts) - k) < 0.002
+    # No other constant makes them likelier.
+    likely = lambda c: np.where(s > 0, np.log(c * m * lam) - lam * s - c * m * np.exp(-lam * s), -c * m).sum()
+    assert likely(t.chance_constant(parts)) >= max(likely(k * 0.9), likely(k * 1.1))
+
+
+def test_log_odds_have_two_sides():
+    got = t.log_odds(np.array([40.0, 0.0, 10.0]), np.array([0.0, 400.0, 90.0]), 100, 900)
+    assert got[0] > 1 and got[1] < -0.5 and got[2] == 0
+    by_hand = np.log((40 + 0.12) / (103 - 40.12 + 1)) - np.log(1.08 / (927 - 1.08 + 1)) - 3 * np.sqrt(1 / 40.12 + 1 / 1.2)
+    assert abs(got[0] - by_hand) < 1e-9
+
+
+def test_evidence_is_the_sum_over_significant_segments():
+    r = random.Random(2)
+    model = t.Model({f"w{i}": r.choice([-1.0, 0.0, 2.5, 4.0]) for i in range(30)}, lam=1.3, k=0.1, slope=1.0, bias=-2.0)
+    for _ in range(40):
+        words = [f"w{r.randrange(60)}" for _ in range(r.randint(0, 60))]
+        scores = [t.DRIFT + model.words.get(w, 0.0) for w in words]
+        logs = [np.log(0.1 * len(words)) - 1.3 * s for s in brute_segments(scores)]
+        want = -sum(x for x in logs if x < np.log(t.SIGNIFICANT))
+        got = model.evidence(model.segments(words))
+        assert abs(got - want) < 1e-6
+        assert abs(model.probability(got) - 1 / (1 + np.exp(2 - np.log1p(got)))) < 1e-9
+    # One word is a passage too.
+    strong = t.Model({"x": 30.0}, lam=1.0, k=0.1, slope=3.0, bias=-3.0)
+    assert strong.probability(strong.evidence(strong.segments(["a"] * 20 + ["x"]))) > 0.99
+
+
+def test_curve_is_the_likeliest():
+    x, y, n = np.array([0.0, 1.0, 2.0, 3.0]), np.array([0.0, 0.0, 1.0, 1.0]), np.array([90.0, 20.0, 15.0, 30.0])
+    x, y, n = np.r_[x, x], np.r_[y, 1 - y], np.r_[n, 3.0, 6.0, 4.0, 1.0]
+    cost = lambda a, b: -(n @ np.where(y > 0, np.log(1 / (1 + np.exp(-a * x - b))), np.log(1 - 1 / (1 + np.exp(-a * x - b))))) + 0.025 * a * a + 0.0005 * b * b
+    a, b = t.curve(x, y, n)
+    assert all(cost(a, b) <= cost(a + da, b + db) for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
 
 
 def corpus(n=700, seed=3):
