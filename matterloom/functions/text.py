@@ -16,7 +16,12 @@ CRASH_RULES = (
     ("srun: error", "srun error"),
 )
 NO_REASON = "Could not summarize cause"
-MIME = {"image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/webp": ".webp", "image/gif": ".gif"}
+#: Extensions of image types; all others get ``.bin``.
+MIME = {"image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/bmp": ".bmp", "image/tiff": ".tiff"}
+#: A scheduler's line.
+JOB_LINE = r"^([0-9]+) +(\S+) +(\S+) +([0-9]+) +([A-Z_]+) +(node[0-9]+) +(\S+).*$"
+#: White space that stands around a response: that of Unicode, and the separators of ASCII.
+AROUND = r"[\p{IsWhite_Space}\x1c-\x1f]+"
 GB = {"G": 1.0, "M": 1e3, "K": 1e6}
 
 
@@ -103,11 +108,11 @@ def memory_gb(text: Column) -> Column:
 
 
 def job_line(line: Column) -> Column:
-    """A scheduler's line as a struct of id, name, resources, elapsed, state, node and start."""
-    pattern = r"^(\d+) +(\S+) +(\S+) +(\d+) +(\S+) +(\S+) +(\S+)$"
-    get = lambda k: F.regexp_extract(line, pattern, k)
+    """A scheduler's line as a struct of id, name, resources, elapsed, state, node and start; more may follow on the line. Null
+    if it is none."""
+    get = lambda k: F.regexp_extract(line, JOB_LINE, k)
     return F.when(
-        line.rlike(pattern),
+        line.rlike(JOB_LINE),
         F.struct(get(1).cast("long").alias("job_id"), get(2).alias("name"), F.str_to_map(get(3), F.lit(","), F.lit("=")).alias("resources"), get(4).cast("long").alias("elapsed"), get(5).alias("state"), get(6).alias("node"), F.to_timestamp(get(7)).alias("start")),
     )
 
@@ -128,11 +133,12 @@ def content_key(script: Column, image: Column, query: Column, rank: Column) -> C
 
 
 def extract_code(response: Column) -> Column:
-    """The looser extractor: what stands after the first fence, without a leading language word, up to the next fence."""
-    after = F.substring_index(response, FENCE, 1)
-    rest = F.substring(response, F.length(after) + 4, F.length(response))
-    rest = F.regexp_replace(rest, r"^python", "")
-    return F.trim(F.when(F.instr(response, FENCE) > 0, F.substring_index(rest, FENCE, 1)).otherwise(response))
+    """The looser extractor: the response without white space around it; what stands after the first fence, if there is one,
+    without a leading language word, up to the next fence."""
+    whole = F.regexp_replace(response, f"^{AROUND}|{AROUND}$", "")
+    at = F.instr(whole, FENCE)
+    rest = F.when(at > 0, F.substring(whole, at + 3, F.length(whole))).otherwise(whole)
+    return F.substring_index(F.regexp_replace(rest, r"^python", ""), FENCE, 1)
 
 
 def response_reason(response: Column, function: str = "def shader_material(") -> Column:

@@ -21,8 +21,7 @@ def stage_shares(times: DataFrame, scene: str, step: str, stage: str, seconds: s
     return rows.groupBy(step, stage).agg(
         F.count("*").alias("n"),
         F.round(F.avg(seconds), digits).alias("mean"),
-        F.round(F.percentile(seconds, F.lit(0.5)), digits).alias("median"),
-        F.round(F.percentile(seconds, F.lit(0.95)), digits).alias("p95"),
+        *[F.round(F.percentile(seconds, F.lit(p)), digits).alias(name) for p, name in ((0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))],
         F.round(F.sum(seconds), digits).alias("total"),
         F.round(100 * F.sum(seconds) / F.sum("scene_s"), digits).alias("percent_scene"),
         F.round(100 * F.sum(seconds) / F.sum("step_s"), digits).alias("percent_step"),

@@ -58,6 +58,12 @@ def split(rows: DataFrame, key: str, seed: int, ratios: tuple[float, float, floa
     return free.drop("_rank", "_free").unionByName(fixed.drop("_free"))
 
 
+def with_generated(parts: DataFrame, generated: DataFrame, key: str, leaked: DataFrame | None = None) -> DataFrame:
+    """A split, and generated materials in its training part alone, but for those that leak a held-out one (G1)."""
+    added = generated if leaked is None else generated.join(leaked.select(key).distinct(), key, "left_anti")
+    return parts.select(key, "split").unionByName(added.select(key, F.lit("train").alias("split")))
+
+
 def length_batches(rows: DataFrame, key: str, length: str, seed: int, batch: int = 4, mega: int = 50) -> DataFrame:
     """Batches of similar length: a seeded shuffle is cut into groups of ``batch * mega``, each sorted by length, longest first."""
     ranked_rows = hash_ranked(rows, key, seed).withColumn("mega", F.floor(F.col("rank") / (batch * mega)))

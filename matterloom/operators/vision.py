@@ -29,7 +29,7 @@ def mapped(rows: DataFrame, keys: list[str], schema: str, make: Callable[..., li
 def pixels(height: int, width: int, data: bytes) -> np.ndarray:
     """An image of the image source (rows of BGR or BGRA bytes) as RGB from 0 to 1, without alpha (A4)."""
     raw = np.frombuffer(data, np.uint8).reshape(height, width, -1)
-    return (raw if raw.shape[2] == 1 else raw[..., 2::-1]).astype(np.float32) / 255
+    return (raw if raw.shape[2] == 1 else raw[..., 2::-1]) / 255.0
 
 
 def render_figures(images: DataFrame, keys: list[str]) -> DataFrame:

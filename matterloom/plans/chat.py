@@ -61,8 +61,8 @@ def label_mask(t):
     return rows.select("conv_id", "turn", F.aggregate("labels", F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"))
 
 
-@query("""SELECT replace(source || '-' || lang || ' ' || doc_id || '-var_00001', ' ', '_') AS id, '```python' || chr(10) || substr(text, 1, 20) || chr(10) || '```' AS answer FROM documents""")
+@query("""SELECT replace(source || '-' || lang || ' ' || doc_id || '-var_00001', ' ', '_') AS id, '```python' || chr(10) || text || chr(10) || '```' AS answer FROM documents""")
 def chat_examples(t):
     data_id = fx.example_id(F.col("source"), F.concat("lang", F.lit(" "), "doc_id"), F.lit("var_00001"))
-    made = t.documents.select(chat.example(data_id, F.lit("x.jpg"), F.lit("Write it"), F.substring("text", 1, 20)).alias("e"))
+    made = t.documents.select(chat.example(data_id, F.lit("x.jpg"), F.lit("Write it"), F.col("text")).alias("e"))
     return made.select("e.id", F.col("e.conversations")[1]["value"].alias("answer"))

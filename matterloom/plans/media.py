@@ -35,8 +35,8 @@ def _streamed(t, name):
 
 @query("SELECT user_id, state, n FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n FROM events GROUP BY ALL)")
 def stream_job_states(t):
-    stream = _streamed(t, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("n"))
-    return jobs.run_once(stream, f"states_{uuid.uuid4().hex}", "complete", _checkpoint(t))
+    stream = jobs.latest_states(_streamed(t, "events"), ["user_id"], "event_type", ["ts", "event_id"], n=F.count("*"))
+    return jobs.run_once(stream.withColumnRenamed("event_type", "state"), f"states_{uuid.uuid4().hex}", "complete", _checkpoint(t))
 
 
 @query("""WITH t AS (SELECT user_id AS case_id, event_id AS trial_id, event_type IN ('click', 'purchase') AS passed FROM events), b AS (SELECT *, row_number() OVER w AS seen, coalesce(sum(passed::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sample_id FROM t WINDOW w AS (PARTITION BY case_id ORDER BY trial_id))
@@ -47,15 +47,18 @@ def stream_quota(t):
 
 
 def _checkpoint(t):
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='matterloom-')}"
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        # A folder of our own serves a local session, as in tests; other machines of a cluster would not see it.
+        master = t.spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='matterloom-')}"
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("""SELECT label, round(sum(hits) / sum(n) * 100, 6) AS percent FROM (SELECT label, unnest(embedding) > 0.1 AS hit, 1 AS n, hit::INT AS hits FROM embeddings) GROUP BY ALL""")
 def tag_pixel_share(t):
     # A vector stands for a mask of 64 pixels.
-    def make(v):
-        return [(int(sum(x > 0.1 for x in v)), len(v))]
-
-    rows = vision.mapped(t.embeddings, ["label"], "hits long, n long", make, ["embedding"])
+    rows = t.embeddings.select("label", F.size(F.filter("embedding", lambda x: x > 0.1)).alias("hits"), F.size("embedding").alias("n"))
     return rows.groupBy("label").agg(F.round(F.sum("hits") / F.sum("n") * 100, 6).alias("percent"))

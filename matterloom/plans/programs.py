@@ -41,26 +41,36 @@ def _fenced(t):
     return t.conversations.select("conv_id", "turn", out.alias("response"))
 
 
-@query(f"""SELECT conv_id, turn, trim(CASE WHEN contains(r, '```') THEN split_part(regexp_replace(substr(r, strpos(r, '```') + 3), '^python', ''), '```', 1) ELSE r END, ' ') AS code FROM (SELECT conv_id, turn, {FENCED} AS r FROM conversations)""")
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, regexp_replace({FENCED}, '^{SPACE}|{SPACE}$', '', 'g') AS r FROM conversations)
+  SELECT conv_id, turn, split_part(regexp_replace(CASE WHEN contains(r, '```') THEN substr(r, strpos(r, '```') + 3) ELSE r END, '^python', ''), '```', 1) AS code FROM r""")
 def extract_code(t):
     return _fenced(t).select("conv_id", "turn", fx.extract_code(F.col("response")).alias("code"))
 
 
-@query("SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN NULL WHEN 2 THEN 'Function not defined' ELSE 'No code block found' END AS reason FROM conversations")
+@query(f"""WITH r AS (SELECT conv_id, turn, {FENCED} AS r FROM conversations)
+  SELECT conv_id, turn, CASE WHEN NOT regexp_matches(r, '```python[^\\n]*\\n') THEN 'No code block found' WHEN NOT contains(regexp_extract(r, '```python[^\\n]*\\n((?s:.*?))(```|\\z)', 1), 'def shader_material(') THEN 'Function not defined' END AS reason FROM r""")
 def response_gate(t):
     return _fenced(t).select("conv_id", "turn", fx.response_reason(F.col("response")).alias("reason"))
 
 
-@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 3 = 1 THEN '.png' ELSE '.bin' END AS extension, CASE WHEN page_id % 3 = 0 THEN NULL ELSE octet_length(encode(url)) END AS size FROM pages""")
+KINDS = "image/png image/jpeg image/jpg image/webp image/bmp image/tiff image/gif text/html".split()
+
+
+@query(f"""WITH l AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN url ELSE 'data:' || {KINDS}[page_id % 9] || ';base64,' || base64(encode(html)) END AS link FROM pages), d AS (SELECT page_id, link, regexp_extract(link, '^data:([^;,]+);base64,', 1) AS mime FROM l)
+  SELECT page_id, CASE WHEN mime = '' THEN NULL WHEN mime IN ('image/jpeg', 'image/jpg') THEN '.jpg' WHEN mime IN ('image/png', 'image/webp', 'image/bmp', 'image/tiff') THEN '.' || split_part(mime, '/', 2) ELSE '.bin' END AS extension,
+  CASE WHEN mime <> '' THEN octet_length(from_base64(split_part(link, ',', 2))) END AS size, CASE WHEN mime <> '' THEN md5(decode(from_base64(split_part(link, ',', 2)))) END AS digest FROM d""")
 def data_url_decode(t):
-    mime = F.when(F.col("page_id") % 3 == 1, "image/png").otherwise("image/tiff")
-    link = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(F.encode("url", "utf-8"))))
+    mime = F.element_at(F.array(*map(F.lit, KINDS)), F.when(F.col("page_id") % 9 > 0, (F.col("page_id") % 9).cast("int")).otherwise(1))
+    link = F.when(F.col("page_id") % 9 == 0, F.col("url")).otherwise(F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(F.encode("html", "utf-8"))))
     got = t.pages.select("page_id", fx.data_url(link).alias("d"))
-    return got.select("page_id", "d.extension", F.octet_length("d.data").cast("long").alias("size"))
+    return got.select("page_id", "d.extension", F.octet_length("d.data").cast("long").alias("size"), F.md5("d.data").alias("digest"))
 
 
 def _programs(t):
-    # Statements of three kinds made from a document's first lines; the links come first, so that the sections have to be put in order.
+    # Statements of three kinds, and the lines of the document's whole text as comments; the links come first, so that the sections have to be put in order.
     n = F.col("doc_id")
     a, b = F.concat(F.lit("n"), n), F.concat(F.lit("m"), n)
     text = F.concat_ws(
@@ -71,13 +81,15 @@ def _programs(t):
         F.concat(b, F.lit(" = nodes.new('Group')")),
         F.concat(b, F.lit(".inputs[1].default_value = "), "n_chars"),
         F.concat(b, F.lit(".node_tree = node_groups['"), "source", F.lit("']")),
+        F.concat(F.lit("# "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n# "))),
     )
     return t.documents.select("doc_id", text.alias("code"))
 
 
 @query("""SELECT doc_id, UNNEST([
   {'pos': 0, 'kind': 'link', 'a': 'n' || doc_id, 'b': '0', 'c': 'm' || doc_id, 'd': (doc_id % 5)::VARCHAR}, {'pos': 2, 'kind': 'node', 'a': 'n' || doc_id, 'b': 'Type_' || lang, 'c': NULL, 'd': NULL}, {'pos': 3, 'kind': 'node', 'a': 'm' || doc_id, 'b': 'Group', 'c': NULL, 'd': NULL},
-  {'pos': 4, 'kind': 'param', 'a': 'm' || doc_id, 'b': '1', 'c': n_chars::VARCHAR, 'd': NULL}, {'pos': 5, 'kind': 'other', 'a': NULL, 'b': NULL, 'c': NULL, 'd': NULL}]::STRUCT(pos BIGINT, kind VARCHAR, a VARCHAR, b VARCHAR, c VARCHAR, d VARCHAR)[], max_depth := 2) FROM documents""")
+  {'pos': 4, 'kind': 'param', 'a': 'm' || doc_id, 'b': '1', 'c': n_chars::VARCHAR, 'd': NULL}, {'pos': 5, 'kind': 'other', 'a': NULL, 'b': NULL, 'c': NULL, 'd': NULL}]::STRUCT(pos BIGINT, kind VARCHAR, a VARCHAR, b VARCHAR, c VARCHAR, d VARCHAR)[], max_depth := 2) FROM documents
+  UNION ALL SELECT doc_id, 5 + unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)), 'other', NULL, NULL, NULL, NULL FROM documents""")
 def program_rows(t):
     return program.rows(_programs(t), "doc_id", "code")
 
@@ -87,7 +99,7 @@ def program_roundtrip(t):
     return program.programs(program.rows(_programs(t), "doc_id", "code"), "doc_id")
 
 
-@query("SELECT source AS \"group\", count(*) AS programs FROM documents GROUP BY ALL")
+@query("""WITH p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all('m' || doc_id || '.node_tree = node_groups[''' || source || ''']' || chr(10) || coalesce(text, ''), 'node_groups\\[''([^'']+)''\\]', 1))) AS "group" FROM documents) SELECT "group", count(*) AS programs FROM p GROUP BY ALL""")
 def group_references(t):
     return program.group_references(_programs(t), "doc_id", "code").groupBy("group").agg(F.count("*").alias("programs"))
 

@@ -29,9 +29,13 @@ def step_memory(t):
     return reports.memory_by_step(reports.job_memory(jobs, memory, finished), t.spark.sql("SELECT * FROM VALUES ('click'), ('view'), ('w_1') AS s(step)"))
 
 
-@query("SELECT o_orderkey, 0::BIGINT AS pos, o_orderkey * 1000 + 7 AS faces, o_orderkey * 2000 AS triangles FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey > 0")
+@query("""WITH l AS (SELECT o_orderkey, replace(CASE WHEN o_orderkey % 2 = 0 THEN format('x Faces:{:,}Tris:{:,} y', o_orderkey * 1000 + 7, o_orderkey * 2000) ELSE 'none' END || CASE WHEN o_orderkey % 3 = 0 THEN format('Faces:{:,}Tris:{:,}', o_orderkey, o_custkey) ELSE 'Faces:Tris:5' END, ',', '') AS text FROM orders),
+  p AS (SELECT o_orderkey, regexp_extract_all(text, 'Faces:[0-9]+Tris:[0-9]+') AS found FROM l), q AS (SELECT o_orderkey, unnest(found) AS f, generate_subscripts(found, 1) - 1 AS pos FROM p)
+  SELECT o_orderkey, pos, regexp_extract(f, 'Faces:([0-9]+)', 1)::BIGINT AS faces, regexp_extract(f, 'Tris:([0-9]+)', 1)::BIGINT AS triangles FROM q""")
 def polygon_counts(t):
-    text = F.when((F.col("o_orderkey") % 2 == 0) & (F.col("o_orderkey") > 0), F.concat(F.lit("x Faces:"), F.format_number(F.col("o_orderkey") * 1000 + 7, 0), F.lit("Tris:"), F.format_number(F.col("o_orderkey") * 2000, 0), F.lit(" y"))).otherwise("none")
+    n = lambda c: F.format_number(c, 0)
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x Faces:"), n(F.col("o_orderkey") * 1000 + 7), F.lit("Tris:"), n(F.col("o_orderkey") * 2000), F.lit(" y"))).otherwise("none")
+    text = F.concat(text, F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Faces:"), n(F.col("o_orderkey")), F.lit("Tris:"), n(F.col("o_custkey")))).otherwise("Faces:Tris:5"))
     return reports.polygons(t.orders.select("o_orderkey", text.alias("text")), "o_orderkey", "text")
 
 
@@ -46,10 +50,11 @@ def predicted_examples(t):
     return reports.with_predictions(t.customer.select("c_name", "c_custkey"), predictions, "c_name", "Customer#0*[1-9]+", 25)
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 6 = 0 AND doc_id % 4 <> 0 AND doc_id % 9 <> 0")
+@query("""WITH o AS (SELECT doc_id, text || CASE WHEN lang = 'en' THEN 'Error: Python: x ' ELSE 'ok ' END || CASE WHEN n_chars % 4 = 0 THEN 'Unsupported node type ' ELSE '' END || text || CASE WHEN n_chars % 9 = 0 THEN 'Oversized node graph' ELSE '' END AS output FROM documents)
+  SELECT doc_id FROM o WHERE contains(output, 'Error: Python:') AND NOT contains(output, 'Unsupported node type') AND NOT contains(output, 'Oversized node graph')""")
 def unexpected_errors(t):
-    d = F.col("doc_id")
-    out = F.concat(F.when(d % 6 == 0, "Error: Python: x ").otherwise("ok "), F.when(d % 4 == 0, "Unsupported node type ").otherwise(""), F.when(d % 9 == 0, "Oversized node graph").otherwise(""))
+    n = F.col("n_chars")
+    out = F.concat("text", F.when(F.col("lang") == "en", "Error: Python: x ").otherwise("ok "), F.when(n % 4 == 0, "Unsupported node type ").otherwise(""), "text", F.when(n % 9 == 0, "Oversized node graph").otherwise(""))
     return reports.unexpected(t.documents.select("doc_id", out.alias("output")), "output").select("doc_id")
 
 

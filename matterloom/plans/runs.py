@@ -99,7 +99,7 @@ def stage_deltas(t):
 
 
 @query("""WITH e AS (SELECT user_id, event_type AS step, event_id % 4 AS stage, value FROM events), r AS (SELECT *, sum(value) OVER (PARTITION BY user_id) AS scene_s, sum(value) OVER (PARTITION BY user_id, step) AS step_s FROM e)
-  SELECT step, stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(value), 6) AS total,
+  SELECT step, stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(sum(value), 6) AS total,
   round(100 * sum(value) / sum(scene_s), 6) AS percent_scene, round(100 * sum(value) / sum(step_s), 6) AS percent_step, round(count(*) / (SELECT count(DISTINCT user_id) FROM events), 6) AS chance FROM r GROUP BY ALL""")
 def stage_stats(t):
     rows = t.events.select("user_id", F.col("event_type").alias("step"), (F.col("event_id") % 4).alias("stage"), "value")
@@ -152,9 +152,14 @@ def duration_parse(t):
     return t.events.select("event_id", fx.seconds(text).alias("seconds"), fx.clock(F.floor(F.col("value") * 10)).alias("clock"))
 
 
-@query(r"""SELECT event_id AS job_id, 'job_' || user_id AS name, floor(value)::BIGINT AS elapsed, event_type AS state, CASE WHEN event_id % 3 = 0 THEN round(event_id / 1e6, 9) WHEN event_id % 3 = 1 THEN round(event_id / 1e3, 9) ELSE -1.0 END AS memory_gb FROM events WHERE event_id % 13 <> 0""")
+@query(r"""WITH l AS (SELECT CASE WHEN event_id % 13 = 0 THEN 'no line of a job' ELSE concat_ws(' ', event_id, 'job_' || user_id, 'cpu=4,node=1,mem=' || event_id || CASE event_id % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'M' ELSE '?' END, floor(value)::BIGINT,
+    CASE WHEN event_id % 7 = 0 THEN event_type ELSE upper(event_type) END, CASE WHEN event_id % 11 = 0 THEN 'gpu' ELSE 'node' END || user_id, '2023-07-01T10:00:00') || CASE WHEN event_id % 5 = 0 THEN ' 12 more' ELSE '' END END AS line FROM events),
+  p AS (SELECT regexp_extract(line, '^([0-9]+) +(\S+) +(\S+) +([0-9]+) +([A-Z_]+) +(node[0-9]+) +(\S+).*$', ['id', 'name', 'has', 'elapsed', 'state', 'node', 'start']) AS j FROM l),
+  m AS (SELECT j, regexp_extract(j.has, '(?:^|,)mem=([0-9.]+)([GMK])$', ['n', 'unit']) AS m FROM p WHERE j.id <> '')
+  SELECT j.id::BIGINT AS job_id, j.name AS name, j.elapsed::BIGINT AS elapsed, j.state AS state, j.node AS node, CASE m.unit WHEN 'K' THEN round(TRY_CAST(m.n AS DOUBLE) / 1e6, 9) WHEN 'M' THEN round(TRY_CAST(m.n AS DOUBLE) / 1e3, 9) WHEN 'G' THEN TRY_CAST(m.n AS DOUBLE) ELSE -1.0 END AS memory_gb FROM m""")
 def job_line_parse(t):
     memory = F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "K").when(F.col("event_id") % 3 == 1, "M").otherwise("?"))
-    line = F.when(F.col("event_id") % 13 == 0, F.lit("no line of a job")).otherwise(F.concat_ws(" ", "event_id", F.concat(F.lit("job_"), "user_id"), F.concat(F.lit("cpu=4,node=1,mem="), memory), F.floor("value").cast("string"), "event_type", F.lit("node007"), F.lit("2023-07-01T10:00:00")))
+    line = F.when(F.col("event_id") % 13 == 0, F.lit("no line of a job")).otherwise(F.concat_ws(" ", "event_id", F.concat(F.lit("job_"), "user_id"), F.concat(F.lit("cpu=4,node=1,mem="), memory), F.floor("value").cast("string"), F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise(F.upper("event_type")), F.concat(F.when(F.col("event_id") % 11 == 0, "gpu").otherwise("node"), "user_id"), F.lit("2023-07-01T10:00:00")))
+    line = F.when((F.col("event_id") % 5 == 0) & (F.col("event_id") % 13 != 0), F.concat(line, F.lit(" 12 more"))).otherwise(line)
     job = fx.job_line(line)
-    return t.events.select(job.alias("j")).where("j IS NOT NULL").select("j.job_id", "j.name", "j.elapsed", "j.state", F.round(fx.memory_gb(F.try_element_at("j.resources", F.lit("mem"))), 9).alias("memory_gb"))
+    return t.events.select(job.alias("j")).where("j IS NOT NULL").select("j.job_id", "j.name", "j.elapsed", "j.state", "j.node", F.round(fx.memory_gb(F.try_element_at("j.resources", F.lit("mem"))), 9).alias("memory_gb"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def latest_states(events: DataFrame, keys: list[str], state: str, order: list[str]) -> DataFrame:
-    """The last state of each key, by an aggregate that a stream keeps up in update or complete mode (K1)."""
-    return events.groupBy(*keys).agg(F.max_by(state, F.struct(*order)).alias(state))
+def latest_states(events: DataFrame, keys: list[str], state: str, order: list[str], **more: Column) -> DataFrame:
+    """The last state of each key, and further aggregates by name, that a stream keeps up in update or complete mode (K1)."""
+    return events.groupBy(*keys).agg(F.max_by(state, F.struct(*order)).alias(state), *[c.alias(name) for name, c in more.items()])
 
 
 def upsert(path: str, keys: list[str]):

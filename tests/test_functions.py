@@ -32,6 +32,8 @@ def test_times_and_jobs(spark):
     job = value(spark, fx.job_line(F.lit("123 job_ab12_coarse cpu=4,mem=24G,node=1,gpu=1 3600 COMPLETED node007 2023-07-01T10:00:00")))
     assert (job.job_id, job.resources["mem"], job.elapsed, job.state, job.start.year) == (123, "24G", 3600, "COMPLETED", 2023)
     assert value(spark, fx.job_line(F.lit("nothing"))) is None
+    assert value(spark, fx.job_line(F.lit("1 a b 2 RUNNING node1 2023-07-01T10:00:00 and more"))).node == "node1"
+    assert value(spark, fx.job_line(F.lit("1 a b 2 running node1 x"))) is None and value(spark, fx.job_line(F.lit("1 a b 2 RUNNING gpu1 x"))) is None
     assert [value(spark, fx.memory_gb(F.lit(t).cast("string"))) for t in ("512000K", "24G", "1500M", None, "")] == [0.512, 24.0, 1.5, -1.0, -1.0]
 
 
@@ -48,7 +50,8 @@ def test_responses(spark):
     assert value(spark, fx.response_reason(F.lit("plain"))) == "No code block found"
     assert value(spark, fx.response_reason(F.lit("```python\nx = 1"))) == "Function not defined"
     assert value(spark, fx.response_reason(F.lit(block))) is None
-    assert value(spark, fx.extract_code(F.lit("just text"))) == "just text" and value(spark, fx.extract_code(F.lit("a ```python x``` b"))) == "x"
+    assert value(spark, fx.extract_code(F.lit("just text"))) == "just text" and value(spark, fx.extract_code(F.lit("a ```python x``` b"))) == " x"
+    assert value(spark, fx.extract_code(F.lit("\u2003 python y\n"))) == " y"
     assert value(spark, fx.bare_answer(F.lit("```python\nx = 1\n```"))) == "x = 1\n"
     assert value(spark, fx.pair_prompt(F.lit("import bpy\ndef shader_material(m):"), F.lit("y"))).startswith("```python\nimport bpy\n\n")
 
@@ -56,6 +59,8 @@ def test_responses(spark):
 def test_urls_and_keys(spark):
     assert tuple(value(spark, fx.data_url(F.lit("data:image/png;base64,aGk=")))) == (".png", b"hi")
     assert value(spark, fx.data_url(F.lit("data:x/y;base64,aGk="))).extension == ".bin"
+    kinds = {"jpeg": ".jpg", "jpg": ".jpg", "webp": ".webp", "bmp": ".bmp", "tiff": ".tiff", "gif": ".bin"}
+    assert {k: value(spark, fx.data_url(F.lit(f"data:image/{k};base64,aGk="))).extension for k in kinds} == kinds
     assert value(spark, fx.data_url(F.lit("data:image/png;base64,a"))) is None and value(spark, fx.data_url(F.lit("http://x"))) is None
     import hashlib
 
