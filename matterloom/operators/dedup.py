@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 #: References that are broadcast at most; more go in blocks of this size, each against all candidates.
 BLOCK = 50_000
+#: Held-out grams that are broadcast at most.
+GRAMS = 1_000_000
+#: Parts of the values whose means are compared besides the mean of all.
+QUARTERS = 4
+#: What sums of doubles may be off by.
+ROUNDING = 1e-9
 
 
 def leaks(candidates: DataFrame, references: DataFrame, key: str, vector: str, limit: float) -> DataFrame:
@@ -45,28 +51,41 @@ def leaks(candidates: DataFrame, references: DataFrame, key: str, vector: str, l
 
 
 def text_leaks(documents: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
-    """Documents that share word n-grams with held-out items: how many grams, and items (C5 on texts). Rows of the documents
-    are grams after a filter by the held-out ones, so what is counted is small."""
+    """Documents that share word n-grams with held-out items: how many grams, and items (C5 on texts). The held-out grams are
+    broadcast up to ``GRAMS``, so of the documents only grams that hit leave a task; beyond that both sides are shuffled."""
 
     def grams(rows: DataFrame, key: str) -> DataFrame:
         words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
         rows = rows.select(key, words.alias("w")).where(F.size("w") >= n)
-        return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("g")).distinct()
+        return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("g"))
 
-    items = grams(held_out, "item_id")
-    return grams(documents, "doc_id").join(items, "g").groupBy("doc_id").agg(F.countDistinct("g").alias("shared"), F.countDistinct("item_id").alias("items"))
+    items = grams(held_out, "item_id").distinct()
+    few = items.limit(GRAMS + 1).count() <= GRAMS
+    hits = grams(documents, "doc_id").join(F.broadcast(items) if few else items, "g")
+    return hits.groupBy("doc_id").agg(F.countDistinct("g").alias("shared"), F.countDistinct("item_id").alias("items"))
 
 
 def pixel_pairs(rows: DataFrame, threshold: float, share: float) -> DataFrame:
     """(a, b): rows of which more than ``share`` of the values differ by at most ``threshold`` (C6). Values lie within a span of
-    1, so means of a pair differ by at most ``threshold + (1 - share)``: rows meet only in cells of that width or the next."""
-    width = threshold + (1 - share)
-    mean = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size("pixels"))
-    placed = rows.select("id", "pixels", mean.alias("mean")).withColumn("cell", F.floor(F.col("mean") / width))
-    left = placed.select(F.col("id").alias("a"), F.col("pixels").alias("p"), F.col("mean").alias("m"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    right = placed.select(F.col("id").alias("b"), F.col("pixels").alias("q"), F.col("mean").alias("k"), "cell")
+    1, so means of a pair differ by at most ``threshold + (1 - share)``: rows meet only in cells of that width or the next.
+    A mean over a quarter of the values differs by at most ``threshold + 4 * (1 - share)``, which every pair is held against
+    too. Only ids and means are sent to the cells; the values are joined to the pairs that are left."""
+    width, quarter = threshold + (1 - share), threshold + QUARTERS * (1 - share)
+    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(values))
+    # Each quarter has all values of one residue, so that it is of the same size up to one value; bounds are meant for exact quarters.
+    part = lambda q: F.filter("pixels", lambda x, i: i % QUARTERS == q)
+    exact = F.size("pixels") % QUARTERS == 0
+    means = F.array(*[F.when(exact, mean(part(q))) for q in range(QUARTERS)])
+    placed = rows.where(F.size("pixels") > 0).select("id", mean(F.col("pixels")).alias("mean"), means.alias("parts")).withColumn("cell", F.floor(F.col("mean") / width))
+    left = placed.select(F.col("id").alias("a"), F.col("mean").alias("m"), F.col("parts").alias("s"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    right = placed.select(F.col("id").alias("b"), F.col("mean").alias("k"), F.col("parts").alias("t"), "cell")
+    near = left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("m") - F.col("k")) <= width + ROUNDING))
+    for q in range(QUARTERS):
+        near = near.where(F.coalesce(F.abs(F.col("s")[q] - F.col("t")[q]) <= quarter + ROUNDING, F.lit(True)))
+    values = rows.select("id", "pixels")
+    near = near.select("a", "b").join(values.toDF("a", "p"), "a").join(values.toDF("b", "q"), "b")
     same = F.size(F.filter(F.zip_with("p", "q", lambda x, y: F.abs(x - y) <= threshold), lambda x: x)) / F.size("p")
-    return left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("m") - F.col("k")) <= width)).where(same > share).select("a", "b")
+    return near.where(same > share).select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:

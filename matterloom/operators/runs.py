@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import percentiles
+
+#: Steps (a range of their order) of a scene that one task goes through; longer scenes go in parts.
+PART = 65_536
+
 
 def deltas(stages: DataFrame, keys: list[str], order: str, value: str, ran: str) -> DataFrame:
     """Change of a value between stages that ran, one after the other; no change and the first are left out."""
@@ -18,15 +22,16 @@ def stage_shares(times: DataFrame, scene: str, step: str, stage: str, seconds: s
     by_scene = times.groupBy(scene).agg(F.sum(seconds).alias("scene_s"))
     by_step = times.groupBy(scene, step).agg(F.sum(seconds).alias("step_s"))
     rows = times.join(by_step, [scene, step]).join(by_scene, scene)
-    return rows.groupBy(step, stage).agg(
+    levels = percentiles(times, [step, stage], seconds, {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, digits)
+    shares = rows.groupBy(step, stage).agg(
         F.count("*").alias("n"),
         F.round(F.avg(seconds), digits).alias("mean"),
-        *[F.round(F.percentile(seconds, F.lit(p)), digits).alias(name) for p, name in ((0.5, "median"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))],
         F.round(F.sum(seconds), digits).alias("total"),
         F.round(100 * F.sum(seconds) / F.sum("scene_s"), digits).alias("percent_scene"),
         F.round(100 * F.sum(seconds) / F.sum("step_s"), digits).alias("percent_step"),
         F.round(F.count("*") / finished, digits).alias("chance"),
     )
+    return shares.join(levels, [step, stage], "left")
 
 
 def last_states(events: DataFrame, keys: list[str], state: str, order: list[str]) -> DataFrame:
@@ -53,24 +58,31 @@ def next_scenes(states: DataFrame, scene: str, n: int) -> DataFrame:
     return states.where("state NOT IN ('done', 'crashed')").orderBy(F.desc(F.col("num_running") + F.col("num_done")), scene).limit(n)
 
 
-def gated(tasks: DataFrame, scene: str, order: str, succeeded: str, condition: str) -> DataFrame:
+def gated(tasks: DataFrame, scene: str, order: str, succeeded: str, condition: str, part: int = PART) -> DataFrame:
     """Which tasks run (E13): a condition of ``prev_succeeded`` or ``prev_failed`` is held against the last task that ran; a
-    skipped task leaves that state as it was. A failure is fatal unless the next task runs because of it. Chains of
-    fallbacks depend on one another, so each scene's few tasks are replayed in order."""
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        ran, fatal, last = [], [], True
-        for k, (ok, rule) in enumerate(zip(pdf[succeeded], pdf[condition], strict=True)):
-            runs = rule == "always" or last == (rule == "prev_succeeded")
-            ran.append(bool(runs))
-            if runs:
-                last = bool(ok)
-            fatal.append(bool(runs and not ok and not (k + 1 < len(pdf) and pdf[condition][k + 1] in ("prev_failed", "always"))))
-        return pdf.assign(ran=ran, fatal=fatal)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema) + ", ran boolean, fatal boolean"
-    return tasks.groupBy(scene).applyInPandas(replay, schema)
+    skipped task leaves that state as it was. A failure is fatal unless the next task runs because of it. Before the first
+    task the state is a success; a missing success is a failure, a missing condition is ``prev_failed``; ``order`` is a number of
+    its own for each task of a scene.
+
+    Each task either sets the state, whatever it was, or leaves it: one that always runs sets its outcome, one that runs after
+    a success can only set a failure, and the other way round. So the state is the last that was set. Scenes are cut into parts
+    by ``order``; a part takes over the state of those before it, and looks at the first condition of the next."""
+    ok = F.coalesce(F.col(succeeded), F.lit(False))
+    rule = F.coalesce(F.col(condition), F.lit("prev_failed"))
+    after_success = rule == "prev_succeeded"
+    sets = F.when(rule == "always", ok).when(after_success & ~ok, False).when(~after_success & ok, True)
+    rows = tasks.withColumns({"_part": F.floor(F.col(order) / part), "_kind": F.lit(1), "_sets": sets, "_saves": rule.isin("prev_failed", "always")})
+    ends = rows.groupBy(scene, "_part").agg(F.max_by("_sets", F.when(F.col("_sets").isNotNull(), F.col(order))).alias("last"), F.min_by("_saves", order).alias("first"))
+    parts = Window.partitionBy(scene).orderBy(F.col("_part").asc_nulls_last())
+    before = F.last("last", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(scene, "_part", before.alias("_sets"), F.lead("first").over(parts).alias("_saves"))
+    rows = rows.unionByName(ends.select(scene, "_part", "_sets", F.lit(0).alias("_kind")), allowMissingColumns=True)
+    rows = rows.unionByName(ends.select(scene, "_part", "_saves", F.lit(2).alias("_kind")), allowMissingColumns=True)
+    inside = Window.partitionBy(scene, "_part").orderBy("_kind", F.col(order).asc_nulls_last())
+    state = F.coalesce(F.last("_sets", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    rows = rows.withColumns({"_state": state, "_saved": F.coalesce(F.lead("_saves").over(inside), F.lit(False))}).where("_kind = 1")
+    rows = rows.withColumn("ran", (rule == "always") | (F.col("_state") == after_success))
+    return rows.withColumn("fatal", F.col("ran") & ~ok & ~F.col("_saved")).select(*tasks.columns, "ran", "fatal")
 
 
 def wide_report(long: DataFrame, key: str, metric: str, value: str, metrics: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_key
 
+#: Steps (a range of their numbers) of a search that one task goes through; longer searches go in parts.
+PART = 65_536
 #: Queries of one block; a block is broadcast to all tasks.
 BLOCK = 20_000
 
@@ -64,19 +66,30 @@ def cache_new(found: DataFrame, stored: DataFrame, key: str = "key") -> DataFram
     return fresh.groupBy(key).agg(F.min_by(F.struct("query", "rank", "score"), F.struct("query", "rank")).alias("h")).select(key, "h.query", "h.rank", "h.score")
 
 
-def replay(proposals: DataFrame, chance: float = 0.05) -> DataFrame:
+def _walk(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``now`` and ``before``: the least metric since the last forced step, with and without the step itself."""
+    steps = Window.partitionBy(*keys).orderBy(*order)
+    rows = rows.withColumn("_run", F.sum(F.col("_forced").cast("long")).over(steps.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "_run").orderBy(*order)
+    least = lambda end: F.min("_metric").over(run.rowsBetween(Window.unboundedPreceding, end))
+    return rows.withColumns({"_now": least(0), "_before": least(-1)})
+
+
+def replay(proposals: DataFrame, chance: float = 0.05, part: int = PART) -> DataFrame:
     """Accept/reject along each search (E11): a proposal is accepted if its metric is below the current one, or by its logged
-    draw; ``current`` is the metric afterwards. The order matters, so a search's few steps are replayed in a task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("it", ignore_index=True)
-        current, taken, after = np.inf, [], []
-        for m, u in zip(pdf["metric"], pdf["draw"], strict=True):
-            ok = bool(m < current or u < chance)
-            current = m if ok else current
-            taken.append(ok)
-            after.append(current)
-        return pdf.assign(accepted=taken, current=after)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in proposals.schema)
-    return proposals.groupBy("example").applyInPandas(run, schema + ", accepted boolean, current double")
+    draw; ``current`` is the metric afterwards, infinity before any is accepted. One without a metric is never accepted, one
+    without a draw not by chance. ``it`` is a number of its own for each step of a search.
+
+    A step accepted by its draw sets the current metric, any other lowers it at most, so it is the least since the last
+    such step. Searches are cut into parts by ``it``, and a part begins with what those before it leave."""
+    metric = F.when(~F.isnan("metric"), F.col("metric")).cast("double")
+    forced = F.coalesce(F.col("draw") < chance, F.lit(False)) & metric.isNotNull()
+    rows = proposals.withColumns({"_part": F.floor(F.col("it") / part), "_kind": F.lit(1), "_metric": metric, "_forced": forced})
+    keys, order = ["example", "_part"], ["_kind", "it"]
+    ends = _walk(rows.select(*keys, *order, "_metric", "_forced"), keys, order).groupBy(*keys).agg(F.max_by("_now", "it").alias("_metric"), (F.max("_run") > 0).alias("_forced"))
+    parts = Window.partitionBy("example").orderBy("_part")
+    left = _walk(ends, ["example"], ["_part"]).select(*keys, F.lag("_now").over(parts).alias("_metric"), F.lit(False).alias("_forced"), F.lit(0).alias("_kind"))
+    walked = _walk(rows.unionByName(left, allowMissingColumns=True), keys, order).where("_kind = 1")
+    least = lambda name: F.coalesce(name, F.lit(float("inf")))
+    accepted = F.col("_forced") | F.coalesce(F.col("_metric") < least("_before"), F.lit(False))
+    return walked.withColumns({"accepted": accepted, "current": least("_now")}).select(*proposals.columns, "accepted", "current")

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Accuracy of the sketch that narrows a percentile down: its ranks are wrong by a share of 1 / SKETCH at most.
+SKETCH = 10_000
+#: Groups whose bounds are broadcast at most; more are joined by shuffle.
+EDGES = 10_000
+
 
 def numeric_stats(rows: DataFrame, keys: list[str], value: str, default: float | Column, low: float, high: float, digits: int = 6) -> DataFrame:
     """Per key: count, observations at the default, outliers (outside the default range), range, mean, population deviation."""
@@ -73,8 +78,35 @@ def group_sizes(members: DataFrame, group: str, subgroup: str) -> DataFrame:
     return own.join(inner, group, "left").select(group, "size", (F.col("size") + F.coalesce("more", F.lit(0))).alias("full_size"), F.coalesce("subgroups", F.array().cast("array<string>")).alias("subgroups"))
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, levels: dict[str, float], digits: int = 6) -> DataFrame:
+    """Per key: exact percentiles with linear interpolation, one column for each of ``levels``; null without a value.
+
+    A sketch gives for each level two values between which it must lie; values below are only counted, and those between
+    are counted by value and ranked. So a group of a third of all rows sends a few thousandths of them, not all."""
+    v, n = F.col(value), F.count(value)
+    sketch = lambda p: F.percentile_approx(value, F.lit(min(1.0, max(0.0, p))), SKETCH)
+    few = n < SKETCH
+    least, most = F.min(value), F.max(value)
+    bounds = [F.struct(F.lit(name).alias("level"), (F.lit(p) * (n - 1)).alias("at"), F.when(few, least).otherwise(sketch(p - 2 / SKETCH)).alias("low"), F.when(few, most).otherwise(sketch(p + 2 / SKETCH)).alias("high")) for name, p in levels.items()]
+    edges = rows.groupBy(*keys).agg(F.array(*bounds).alias("_edges"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    small = edges.limit(EDGES + 1).count() <= EDGES
+    met = rows.select(*keys, value).where(v.isNotNull()).alias("r").join((F.broadcast(edges) if small else edges).alias("e"), same)
+    met = met.select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col(f"r.{value}").alias("v"), F.explode("e._edges").alias("x")).where("v <= x.high")
+    # What is below a level's bounds counts at one null value, which sorts first.
+    counted = met.select(*keys, "x.level", "x.at", F.when(F.col("v") >= F.col("x.low"), F.col("v")).alias("v")).groupBy(*keys, "level", "at", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "level", "at").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto)
+    pick = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v").cast("double")))
+    found = placed.groupBy(*keys, "level", "at").agg(pick(F.floor("at")).alias("a"), pick(F.ceil("at")).alias("b"))
+    mixed = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    return found.groupBy(*keys).agg(*[F.round(F.max(F.when(F.col("level") == name, mixed)), digits).alias(name) for name in levels])
+
+
 def spread(rows: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
     """Mean, least, median and high percentiles, with linear interpolation."""
-    p = F.percentile(value, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), p.alias("p"))
-    return out.select(*keys, "n", F.round("mean", digits).alias("mean"), F.round("least", digits).alias("least"), *[F.round(F.col("p")[k], digits).alias(name) for k, name in enumerate(("median", "p90", "p95", "p99"))])
+    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.min(value), digits).alias("least")).alias("o")
+    names = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    levels = percentiles(rows, keys, value, names, digits).alias("l")
+    both = out.join(levels, [F.col(f"o.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys], "left")
+    return both.select(*[F.col(f"o.{k}").alias(k) for k in keys], "n", "mean", "least", *names)

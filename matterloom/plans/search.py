@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
+from ..functions.hashing import int_hash_sql, uniform
 from ..operators import search
 from . import query
 
@@ -34,7 +34,10 @@ def search_cache_upsert(t):
     return search.cache_new(found, found.where("rank = 0"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS example, event_id AS it, value AS metric, {int_hash_sql("'4' || user_id || '/' || event_id")} / 4294967295 AS draw, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events),
+  g(example, it, metric, draw, pos, accepted, current) AS (SELECT example, it, metric, draw, pos, true, metric FROM e WHERE pos = 1
+    UNION ALL SELECT e.example, e.it, e.metric, e.draw, e.pos, e.metric < g.current OR e.draw < 0.05, CASE WHEN e.metric < g.current OR e.draw < 0.05 THEN e.metric ELSE g.current END FROM g JOIN e ON e.example = g.example AND e.pos = g.pos + 1)
+  SELECT example, it, metric, draw, accepted, current FROM g""")
 def accept_replay(t):
     rows = t.events.select(F.col("user_id").alias("example"), F.col("event_id").alias("it"), F.col("value").alias("metric"), uniform(4, F.col("user_id"), F.lit("/"), F.col("event_id")).alias("draw"))
     return search.replay(rows)
