@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop, slices, written
+from .common import drop, give_back, slices, written
 
 CELLS = 22  # bits of the table that estimates how frequent a shingle is
 LARGEST_LIGHT = 30
@@ -292,6 +292,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 shared.append(int((both[1:] == both[:-1]).sum()))
             rows = batch.select(names).take(pa.array(at, pa.int64()))
             yield pa.record_batch([*rows.columns, pa.array(shared, pa.int64())], [*names, "shared"])
+        give_back()
 
     hubs = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "met-hubs")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
@@ -300,8 +301,10 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     nothing = [F.lit(None).cast("long").alias(c) for c in ("node", "size", "hub_size")]
     own = _among(sets, "node", hubs, hubs.count()).withColumnRenamed("node", "hub").join(hubs, "hub")
     own = own.select("hub", *nothing, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shingles", F.lit(False).alias("is_node"))
+    # Few pairs are dealt without a number of partitions, so that adaptive execution merges the many small ones of a late round.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.unionByName(own).repartition(tasks, "hub", "part").sortWithinPartitions("hub", "part", "is_node")
+    many = (tasks,) if pairs.count() > tasks * MEMBERS else ()
+    dealt = nodes.unionByName(own).repartition(*many, "hub", "part").sortWithinPartitions("hub", "part", "is_node")
     return dealt.select("hub", "node", "size", "hub_size", "is_node", "shingles").mapInArrow(run, "hub long, node long, size long, hub_size long, shared long")
 
 
