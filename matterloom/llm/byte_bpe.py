@@ -1,8 +1,8 @@
 """Byte-level BPE by DuckDB recursive queries, one database inside each worker.
 
 Encoding: token-position rows of the words that a worker has not met lately join the merge table; a recursive query
-contracts each word's leftmost pair of least rank until no pair of it is in the table. A word that is itself a token
-is that token. Decoding: the ids, one row a position, join the vocabulary, and an ordered aggregation strings their
+contracts each word's leftmost pair of least rank until no pair of it is in the table; then the word's rows are marked
+as done and leave the recursion. A word that is itself a token is that token. Decoding: the ids, one row a position, join the vocabulary, and an ordered aggregation strings their
 bytes together.
 
 Spark deals out the rows; nothing is shuffled. A word's tokens do not depend on its neighbours, so a worker
@@ -44,14 +44,14 @@ GROUP, ROWS = 250_000, 3_000_000
 WIDE, OVER = 480, 96
 
 ENCODE = """
-WITH RECURSIVE t(step, w, p, tok) AS (
-  SELECT 0, w, p, tok FROM fresh
+WITH RECURSIVE t(w, p, tok, done) AS (
+  SELECT w, p, tok, false FROM fresh
   UNION ALL
-  (WITH pairs AS (SELECT step, w, p, tok, lead(w) OVER o AS next_w, lead(tok) OVER o AS next_tok, lead(p) OVER o AS next_p FROM t WINDOW o AS (ORDER BY p)),
-        ranked AS (SELECT pairs.*, m.merged, m.merged::BIGINT * 4294967296 + p AS key FROM pairs LEFT JOIN merges m ON m.a = tok AND m.b = next_tok AND next_w = w),
-        best AS (SELECT w, min(key) AS key, min(merged) AS merged, arg_min(next_p, key) AS gone FROM ranked WHERE merged IS NOT NULL GROUP BY w)
-   SELECT step + 1, r.w, r.p, CASE WHEN r.key = best.key THEN best.merged ELSE tok END FROM ranked r JOIN best USING (w) WHERE r.p <> best.gone))
-SELECT w, list(tok ORDER BY p) AS ids FROM (SELECT w, p, tok, step, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last GROUP BY w ORDER BY w
+  (WITH pairs AS (SELECT w, p, tok, lead(w) OVER o AS next_w, lead(tok) OVER o AS next_tok, lead(p) OVER o AS next_p FROM t WHERE NOT done WINDOW o AS (ORDER BY p)),
+        ranked AS (SELECT pairs.*, m.merged::BIGINT * 4294967296 + p AS key FROM pairs LEFT JOIN merges m ON m.a = tok AND m.b = next_tok AND next_w = w),
+        best AS (SELECT w, min(key) AS key, arg_min(next_p, key) AS gone FROM ranked GROUP BY w)
+   SELECT r.w, r.p, CASE WHEN r.key = best.key THEN (r.key >> 32)::INTEGER ELSE tok END, best.key IS NULL FROM ranked r JOIN best USING (w) WHERE r.p IS DISTINCT FROM best.gone))
+SELECT w, list(tok ORDER BY p) AS ids FROM t WHERE done GROUP BY w ORDER BY w
 """
 DECODE = "SELECT d, list(tok ORDER BY p) AS tokens FROM placed JOIN vocab USING (id) GROUP BY d ORDER BY d"
 
