@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, byte_bpe, html_text, jaccard_join, mixing, quality_rules, sharding, token_counts, token_output, toxicity
+from . import audio_features, byte_bpe, html_text, jaccard_join, mixing, quality_rules, sharding, token_counts, token_output, toxicity, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.word_bpe(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op8_jaccard_join, op9_sharding, op10_byte_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op8_jaccard_join, op9_sharding, op10_byte_bpe, op12_word_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
