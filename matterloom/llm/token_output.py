@@ -39,8 +39,8 @@ KEPT_WORDS = 450_000
 class WordEncoder:
     """Ids of whole texts by a tokenizers file whose pre-tokens never cross white space. Texts are cut at ASCII white
     space, each distinct word of a batch is looked up once, and a word goes through the library only when the worker
-    has not met it lately. A full stop, comma or the like after a letter is a pre-token of its own and is looked up
-    separately."""
+    has not met it lately. A full stop, comma or the like is looked up separately where it is a pre-token of its own, that is
+    after a letter that stays a letter when the file normalises it (U+0130 leaves a mark, which joins what follows)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,6 +55,17 @@ class WordEncoder:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self._apart: dict[str, bool] = {}
+
+    def apart(self, letter: str) -> bool:
+        """Whether a full stop or the like after this letter is a pre-token of its own."""
+        if (known := self._apart.get(letter)) is None:
+            word = f"a{letter}."
+            if self.library.normalizer is not None:
+                word = self.library.normalizer.normalize_str(word)
+            parts = self.library.pre_tokenizer.pre_tokenize_str(word)
+            self._apart[letter] = known = letter.isalpha() and len(parts) == 2 and parts[1][0] == "."
+        return known
 
     def _encode(self, words: list[str]) -> None:
         """Words of letters alone are one pre-token each, so many go through the library as one text, and are
@@ -82,7 +93,7 @@ class WordEncoder:
         for w in [w for w, ids in zip(words, got, strict=True) if ids is None]:
             if (seen := old.get(w)) is not None:
                 new[w] = seen
-            elif len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha():
+            elif len(w) > 1 and w[-1] in ".,!?;:" and self.apart(w[-2]):
                 stems[w] = (w[:-1], w[-1])
             else:
                 missing[w] = None

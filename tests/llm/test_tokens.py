@@ -48,6 +48,26 @@ def test_output_reads_back_what_the_library_gives(spark):
         start += len(want)
 
 
+def test_ids_of_letters_that_change_in_kind():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(9)
+    library, coder = Tokenizer.from_file(path), token_output.WordEncoder(path)
+    # Every letter before a full stop, and texts of letters that fall apart, marks and stops.
+    alone = [f"{chr(c)}. x{chr(c)}," for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    letters = "İıſẞΣς\u0301\u0307\u0323\u093c" + "".join(map(chr, [*range(0x958, 0x960), *range(0xFB1D, 0xFB4F)]))
+    fuzzed = ["".join(r.choice(letters if r.random() < 0.4 else "abcde .,!?;:'s") for _ in range(r.randint(1, 40))) for _ in range(20_000)]
+    for values in (alone, fuzzed):
+        for at in range(0, len(values), 4000):
+            part = values[at : at + 4000]
+            got = coder(pa.array(part), 2).to_pylist()
+            for v, raw, want in zip(part, got, library.encode_batch(part, add_special_tokens=False), strict=True):
+                assert np.frombuffer(raw, coder.kind).tolist() == [*want.ids, 2], repr(v)
+
+
 def test_output_of_null_ids_and_empty_table(spark):
     path = P.path("word_bpe_49k.json")
     got = token_output.token_output(frame(spark, ["a", "b c", "b c"], [5, None, None]), path).orderBy("start").collect()
