@@ -19,11 +19,11 @@ their surroundings, or another kind of model is refused.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import slices
 
 #: Words that a worker remembers, and as many pre-tokens, in two generations.
 KEPT = 200_000
-#: Characters of a pre-token that is remembered.
+#: Characters of a word or pre-token that is remembered.
 SHORT = 64
+#: Words that go through the file's rules as one text.
+JOINED = 2000
+WHITE = re.compile(r"\s")
+#: Symbols from which on the list's links are packed.
+LONG = 4096
 
 
 class Coder:
@@ -56,11 +61,14 @@ class Coder:
         self._normal, self._cut = library.normalizer, library.pre_tokenizer
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        #: The rank and the new symbol of each pair.
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank of each pair of symbols (the first times ``size``, and the second), and what the pair of a rank becomes.
+        self.size = max(self.vocab.values()) + 1
+        self.merges: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
+            self.merges[self.vocab[a] * self.size + self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in added}
         longest = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
@@ -71,37 +79,42 @@ class Coder:
 
     def merge(self, ids: list[int]) -> list[int]:
         """What a sequence of symbols comes to by merging its least-ranked pair, the leftmost first, until none is known."""
-        table, n = self.merges, len(ids)
-        queue = [(found[0] << 40) + at for at in range(n - 1) if (found := table.get((ids[at], ids[at + 1])))]
+        size, n = self.size, len(ids)
+        rank_of, made = self.merges.get, self.made
+        # An entry is a rank times the number of places, and a place.
+        queue = [rank * n + at for at, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (rank := rank_of(a * size + b)) is not None]
         if not queue:
             return ids
-        heapq.heapify(queue)
-        place = (1 << 40) - 1
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        heapify(queue)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        if n > LONG:
+            after, before = array("q", after), array("q", before)
         while queue:
-            entry = heapq.heappop(queue)
-            at = entry & place
+            rank, at = divmod(heappop(queue), n)
             left, right = ids[at], after[at]
-            if left < 0 or right >= n or (found := table.get((left, ids[right]))) is None or found[0] != entry >> 40:
+            if left < 0 or right == n or rank_of(left * size + ids[right]) != rank:
                 continue
-            ids[at], ids[right] = found[1], -1
+            ids[at] = new = made[rank]
+            ids[right] = -1
             after[at] = end = after[right]
             if end < n:
                 before[end] = at
-                if found := table.get((ids[at], ids[end])):
-                    heapq.heappush(queue, (found[0] << 40) + at)
-            start = before[at]
-            if start >= 0 and (found := table.get((ids[start], ids[at]))):
-                heapq.heappush(queue, (found[0] << 40) + start)
+                if (rank := rank_of(new * size + ids[end])) is not None:
+                    heappush(queue, rank * n + at)
+            if (start := before[at]) >= 0 and (rank := rank_of(ids[start] * size + new)) is not None:
+                heappush(queue, rank * n + start)
         return [i for i in ids if i >= 0]
 
     def _part(self, part: str) -> bytes:
         """Ids of a pre-token."""
         new, old = self.parts
-        ids = new.get(part) or old.get(part)
-        if ids is None:
-            symbols = [*part[:-1], part[-1] + self.suffix]
-            ids = np.array(self.merge([i for s in symbols if (i := self.vocab.get(s)) is not None]), "<u4").tobytes()
+        if (ids := new.get(part)) is not None:
+            return ids
+        if (ids := old.get(part)) is None:
+            symbols = [*part]
+            symbols[-1] += self.suffix
+            known = self.vocab
+            ids = array("I", self.merge([known[s] for s in symbols if s in known])).tobytes()
         if len(part) <= SHORT:
             new[part] = ids
         return ids
@@ -118,24 +131,51 @@ class Coder:
         pieces = self._special.split(word)
         return b"".join([self.special[p].to_bytes(4, "little") if k % 2 else self._plain(p) for k, p in enumerate(pieces) if p])
 
+    def _learnt(self, words: list[str]) -> list[bytes]:
+        """Ids of words that this generation has not met. Words without special strings and white space go through the file's rules
+        as one text, a space between, which no rule crosses; where that gives another number of words, one by one."""
+        out = list(map(self.words[1].get, words))
+        fresh = [k for k, ids in enumerate(out) if ids is None]
+        alone = [k for k in fresh if WHITE.search(words[k]) or (self._special is not None and self._special.search(words[k]))]
+        others = sorted(set(fresh) - set(alone)) if alone else fresh
+        for at in range(0, len(others), JOINED):
+            some = others[at : at + JOINED]
+            text = " ".join([words[k] for k in some])
+            if self._normal is not None:
+                text = self._normal.normalize_str(text)
+            pieces = text.split(" ")
+            if len(pieces) != len(some):
+                alone += some
+                continue
+            ends, end = [], -1
+            for p in pieces:
+                end += len(p) + 1
+                ends.append(end)
+            number, parts = 0, [[] for _ in some]
+            for part, (_, stop) in self._cut.pre_tokenize_str(text):
+                while stop > ends[number]:
+                    number += 1
+                parts[number].append(self._part(part))
+            for k, x in zip(some, parts, strict=True):
+                out[k] = b"".join(x)
+        for k in alone:
+            out[k] = self._word(words[k])
+        self.words[0].update((w, ids) for w, ids in zip(words, out, strict=True) if len(w) <= SHORT)
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin and end; null is empty."""
         if len(self.words[0]) > KEPT:
             self.words = {}, self.words[0]
         if len(self.parts[0]) > KEPT:
             self.parts = {}, self.parts[0]
-        new, old = self.words
         split = pa.compute.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = split.flatten().dictionary_encode()
-        table = []
-        for word in coded.dictionary.to_pylist():
-            ids = new.get(word)
-            if ids is None:
-                ids = old.get(word)
-                ids = self._word(word) if ids is None else ids
-                if len(word) <= SHORT:
-                    new[word] = ids
-            table.append(ids)
+        words = coded.dictionary.to_pylist()
+        table = list(map(self.words[0].get, words))
+        if missing := [w for w, ids in zip(words, table, strict=True) if ids is None]:
+            found = dict(zip(missing, self._learnt(missing), strict=True))
+            table = [found[w] if ids is None else ids for w, ids in zip(words, table, strict=True)]
         sizes = np.array([len(x) // 4 for x in table], np.int64)
         starts = np.cumsum(sizes) - sizes
         flat, word = np.frombuffer(b"".join(table), "<u4"), coded.indices.to_numpy(zero_copy_only=False)

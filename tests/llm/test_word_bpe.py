@@ -55,9 +55,9 @@ def test_merges_are_those_of_a_plain_search():
     r, code = random.Random(3), word_bpe.Coder(PATH)
 
     def plain(ids):
-        while pairs := [(code.merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in code.merges]:
-            _, k = min(pairs)
-            ids = [*ids[:k], code.merges[ids[k], ids[k + 1]][1], *ids[k + 2 :]]
+        while pairs := [(code.merges[p], k) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (p := a * code.size + b) in code.merges]:
+            found, k = min(pairs)
+            ids = [*ids[:k], code.made[found], *ids[k + 2 :]]
         return ids
 
     for letters in ("ab", "ae", "etaoin", "etaoinshrdlu"):
