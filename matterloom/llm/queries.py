@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import audio_features, byte_bpe, html_text, jaccard_join, mixing, quality_rules, sharding, token_counts, token_output, toxicity, word_bpe
+from . import audio_features, byte_bpe, hard_negatives, html_text, jaccard_join, mixing, quality_rules, sharding, token_counts, token_output, toxicity, whitening, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,10 +57,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.word_bpe(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, "vec_id", "embedding", "label", F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op8_jaccard_join, op9_sharding, op10_byte_bpe, op12_word_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_quality_rules, op4_mixing, op5_token_counts, op6_html_text, op7_audio_features, op8_jaccard_join, op9_sharding, op10_byte_bpe, op11_whitening, op12_word_bpe, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
