@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop, written
+from .vision import similar_pairs
+
 #: References that are broadcast at most; more go in blocks of this size, each against all candidates.
 BLOCK = 50_000
 #: Held-out grams that are broadcast at most.
 GRAMS = 1_000_000
-#: Parts of the values whose means are compared besides the mean of all.
-QUARTERS = 4
+#: Groups of pixels whose means are held against each other at most.
+GROUPS = 32
 #: What sums of doubles may be off by.
 ROUNDING = 1e-9
 
@@ -50,6 +53,20 @@ def leaks(candidates: DataFrame, references: DataFrame, key: str, vector: str, l
     return out.withColumn("distance", F.round("distance", 6))
 
 
+def image_leaks(candidates: DataFrame, references: DataFrame, key: str, vector: str, similarity: float, limit: float) -> DataFrame:
+    """Candidates that leak a held-out reference (C5): of the references whose structural similarity is at least ``similarity``, the
+    nearest by the mean absolute difference of ``vector`` (a perceptual descriptor) is within ``limit``; with that reference, its
+    distance, and how many references are similar. Images have height, width and data; a null vector is near nothing."""
+    similar = similar_pairs(candidates, references, key, similarity)[2]
+    of = lambda rows, name, v: rows.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias(v))
+    pairs = similar.join(of(candidates, "a", "v"), "a").join(of(references, "b", "w"), "b")
+    apart = F.aggregate(F.zip_with("v", "w", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    nearest = pairs.withColumn("distance", apart).groupBy(F.col("a").alias(key)).agg(
+        F.min_by("b", F.when(F.col("distance").isNotNull(), F.struct("distance", "b"))).alias("nearest"), F.round(F.min("distance"), 6).alias("distance"), F.count("*").alias("similar"), F.min("distance").alias("_exact")
+    )
+    return nearest.where(F.col("_exact") <= limit).drop("_exact")
+
+
 def text_leaks(documents: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
     """Documents that share word n-grams with held-out items: how many grams, and items (C5 on texts). The held-out grams are
     broadcast up to ``GRAMS``, so of the documents only grams that hit leave a task; beyond that both sides are shuffled."""
@@ -65,68 +82,105 @@ def text_leaks(documents: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.countDistinct("g").alias("shared"), F.countDistinct("item_id").alias("items"))
 
 
-def pixel_pairs(rows: DataFrame, threshold: float, share: float) -> DataFrame:
-    """(a, b): rows of which more than ``share`` of the values differ by at most ``threshold`` (C6). Values lie within a span of
-    1, so means of a pair differ by at most ``threshold + (1 - share)``: rows meet only in cells of that width or the next.
-    A mean over a quarter of the values differs by at most ``threshold + 4 * (1 - share)``, which every pair is held against
-    too. Only ids and means are sent to the cells; the values are joined to the pairs that are left."""
-    width, quarter = threshold + (1 - share), threshold + QUARTERS * (1 - share)
-    mean = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(values))
-    # Each quarter has all values of one residue, so that it is of the same size up to one value; bounds are meant for exact quarters.
-    part = lambda q: F.filter("pixels", lambda x, i: i % QUARTERS == q)
-    exact = F.size("pixels") % QUARTERS == 0
-    means = F.array(*[F.when(exact, mean(part(q))) for q in range(QUARTERS)])
-    placed = rows.where(F.size("pixels") > 0).select("id", mean(F.col("pixels")).alias("mean"), means.alias("parts")).withColumn("cell", F.floor(F.col("mean") / width))
-    left = placed.select(F.col("id").alias("a"), F.col("mean").alias("m"), F.col("parts").alias("s"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    right = placed.select(F.col("id").alias("b"), F.col("mean").alias("k"), F.col("parts").alias("t"), "cell")
-    near = left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("m") - F.col("k")) <= width + ROUNDING))
-    for q in range(QUARTERS):
-        near = near.where(F.coalesce(F.abs(F.col("s")[q] - F.col("t")[q]) <= quarter + ROUNDING, F.lit(True)))
+def pixel_pairs(rows: DataFrame, threshold: float, share: float, channels: int = 1) -> DataFrame:
+    """(a, b, same): rows a < b of which more than ``share`` of the pixels differ by at most ``threshold`` in every channel, and how many
+    do (C6). Values lie within a span of 1.
+
+    An index by pigeonholes: if at most m pixels may differ, then of g groups of pixels one has at most m / g that do (none, if
+    g > m), and the means of its halves differ by little more than ``threshold``. Rows meet where a group's pair of means is in the
+    same cell or the next; only ids and cells are sent there. The values are joined to the pairs that met, each once."""
+    n, epsilon = F.col("n"), ROUNDING
+    pixels = rows.where(F.size("pixels") >= channels).select("id", "pixels", F.floor(F.size("pixels") / channels).alias("n"))
+    most = pixels.withColumn("m", F.ceil(n * (1 - share)) - 1).where("m >= 0")
+    most = most.withColumn("g", F.least(F.col("m") + 1, F.lit(GROUPS), n))
+
+    def mean(start, length):
+        total = F.aggregate(F.slice("pixels", (start * channels + 1).cast("int"), (length * channels).cast("int")), F.lit(0.0), lambda s, x: s + x)
+        return F.when(length > 0, total / (length * channels)).otherwise(0.0)
+
+    def cells(j):
+        start, end = F.floor(j * n / F.col("g")), F.floor((j + 1) * n / F.col("g"))
+        half, wrong = F.floor((end - start) / 2), F.floor(F.col("m") / F.col("g"))
+        width = lambda length: threshold + wrong / F.greatest(length, F.lit(1)) + epsilon
+        return F.struct(j.cast("int").alias("j"), F.floor(mean(start, half) / width(half)).alias("p"), F.floor(mean(start + half, end - start - half) / width(end - start - half)).alias("q"))
+
+    placed = most.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("g").cast("int") - 1), cells)).alias("c")).select("id", "n", "c.*")
+    around = F.explode(F.flatten(F.array(*[F.array(*[F.struct((F.col("p") + x).alias("p"), (F.col("q") + y).alias("q")) for y in (-1, 0, 1)]) for x in (-1, 0, 1)])))
+    left = placed.select(F.col("id").alias("a"), "n", "j", around.alias("c")).select("a", "n", "j", "c.p", "c.q")
+    near = left.join(placed.withColumnRenamed("id", "b"), ["n", "j", "p", "q"]).where("a < b").select("a", "b").distinct()
     values = rows.select("id", "pixels")
-    near = near.select("a", "b").join(values.toDF("a", "p"), "a").join(values.toDF("b", "q"), "b")
-    same = F.size(F.filter(F.zip_with("p", "q", lambda x, y: F.abs(x - y) <= threshold), lambda x: x)) / F.size("p")
-    return near.where(same > share).select("a", "b")
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(id, root): the least id of each linked group, by passing labels on until none changes."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else both.cache()
-    roots = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
+    near = near.join(values.toDF("a", "x"), "a").join(values.toDF("b", "y"), "b")
+    close = F.zip_with("x", "y", lambda x, y: F.abs(x - y) <= threshold)
+    if channels > 1:
+        pixel = F.sequence(F.lit(0), F.floor(F.size("x") / channels).cast("int") - 1)
+        close = F.transform(pixel, lambda k: F.forall(F.slice(close, k * channels + 1, channels), lambda x: x))
+    near = near.select("a", "b", F.size(F.filter(close, lambda x: x)).alias("same"), F.floor(F.size("x") / channels).alias("n"))
+    return near.where(F.col("same") / n > share).select("a", "b", "same")
+
+
+def greedy(rows: DataFrame, threshold: float, share: float, channels: int = 1) -> DataFrame:
+    """The ids that stay (E6): in id order, a row whose most similar kept row is a duplicate replaces it if its ``cost`` is less, else
+    goes; equal similarities mean the earlier one. ``cost`` is a number, a missing one counts as the largest."""
+    pairs = pixel_pairs(rows, threshold, share, channels)
+    stays = settled(rows.select("id", F.coalesce(F.col("cost").cast("double"), F.lit(float("inf"))).alias("cost")), pairs)
+    return stays.where("stays").select("id")
+
+
+def settled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, stays, replaced_by): the outcome of taking ``rows`` (id, cost) one after the other, each held against the rows before it that
+    are kept and linked to it by ``pairs`` (a < b, same); see :func:`greedy`.
+
+    Settled by joins over the pairs, in rounds, without a group of linked rows in one task. Of an undecided row k and an earlier
+    linked row b: b *may* be kept when k comes unless it went or was replaced before k; it *is* for sure if besides no cheaper
+    row between them, linked to b, may still replace it. So k is in, if all that may be kept are dearer; out, if one is kept for
+    sure and none that may be kept is dearer; and all is known, also which row it replaces, once each that may be kept is for
+    sure. What is known is taken out of the pairs, and each round is written. The least undecided row is always settled, so
+    it ends; a round settles all rows whose earlier links are, so rounds are as many as the longest chain of rows that hang on
+    each other, not as rows."""
+    cost = rows.select("id", "cost")
+    pairs = pairs.join(cost.toDF("a", "cost_a"), "a").join(cost.toDF("b", "cost_b"), "b")
+    live = written(pairs, "pairs")
+    linked = live.select(F.col("b").alias("id")).unionByName(live.select(F.col("a").alias("id"))).distinct()
+    # kept: whether the row got in (null: not known yet); known: whether it is also known which row it replaced.
+    states = written(linked.select("id", F.lit(None).cast("boolean").alias("kept"), F.lit(False).alias("known"), F.lit(None).cast(rows.schema["id"].dataType).alias("gone")), "states")
     while True:
-        near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        moved = roots.join(near, "id").select("id", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.cache()
-        roots = moved.select("id", "root")
-        if not moved.where("moved").take(1):
-            return roots
-
-
-def greedy(rows: DataFrame, threshold: float, share: float) -> DataFrame:
-    """The ids that stay (E6): in id order, a row whose most similar kept row is a duplicate replaces it if its ``cost`` is less,
-    else goes. Only linked rows can meet, so the pass runs within each linked group."""
-    pairs = pixel_pairs(rows, threshold, share)
-    groups = components(pairs)
-    linked = rows.join(groups, "id")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        table = np.stack([np.asarray(p, np.float64) for p in pdf["pixels"]])
-        kept: list[int] = []
-        for k in range(len(pdf)):
-            if kept:
-                same = (np.abs(table[kept] - table[k]) <= threshold).mean(1)
-                best = int(np.argmax(same))
-                if same[best] > share:
-                    if pdf["cost"][k] < pdf["cost"][kept[best]]:
-                        kept[best] = k
-                    continue
-            kept.append(k)
-        return pd.DataFrame({"id": pdf["id"][sorted(kept)]})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    stay = linked.groupBy("root").applyInPandas(keep, f"id {kind}")
-    return rows.join(groups, "id", "left_anti").select("id").unionByName(stay)
+        # The first row that may yet replace b: cheaper, and its own replacement not known.
+        open_rows = states.where("NOT known").select(F.col("id").alias("b"))
+        waits = live.where("cost_b < cost_a").join(open_rows, "b").groupBy("a").agg(F.min("b").alias("wait"))
+        before = states.select(F.col("id").alias("a"), "kept", "gone").join(waits, "a", "left")
+        may = live.join(before, "a").where("coalesce(kept, true) AND (gone IS NULL OR gone > b)")
+        may = may.withColumn("sure", F.coalesce(F.col("kept"), F.lit(False)) & (F.col("wait").isNull() | (F.col("wait") >= F.col("b"))))
+        best = F.min_by(F.struct("a", "cost_a"), F.struct((-F.col("same")).alias("s"), "a"))
+        of = may.groupBy(F.col("b").alias("id")).agg(
+            F.every("sure").alias("all_sure"),
+            F.some("sure").alias("some_sure"),
+            F.every(F.col("cost_a") > F.col("cost_b")).alias("dearer"),
+            F.every(F.col("cost_a") <= F.col("cost_b")).alias("cheaper"),
+            best.alias("best"),
+            F.first("cost_b").alias("cost_b"),
+        )
+        met = states.join(of, "id", "left")
+        alone = F.col("best").isNull()
+        replaces = F.col("all_sure") & (F.col("best.cost_a") > F.col("cost_b"))
+        kept = F.when(alone | F.col("dearer"), True).when(F.col("some_sure") & F.col("cheaper"), False).when(F.col("all_sure"), replaces)
+        known = alone | F.col("all_sure") | (F.col("some_sure") & F.col("cheaper"))
+        met = met.select("id", F.coalesce("kept", kept).alias("kept"), (F.col("known") | F.coalesce(known, F.lit(False))).alias("known"), "gone", F.when(~F.col("known") & replaces, F.col("best.a")).alias("replaced"))
+        met = written(met, "met")
+        gone = met.where("replaced IS NOT NULL").groupBy(F.col("replaced").alias("id")).agg(F.min("id").alias("by"))
+        after = written(met.join(gone, "id", "left").select("id", "kept", "known", F.least("gone", "by").alias("gone")), "states")
+        drop(states, met)
+        states = after
+        if not states.where("NOT known").take(1):
+            break
+        # Pairs whose later row is settled tell no more; nor do those whose earlier row is out, or gone before the later came.
+        done = states.where("known").select(F.col("id").alias("b"))
+        out = states.where("NOT kept OR gone IS NOT NULL").select(F.col("id").alias("a"), F.when(F.col("kept"), F.col("gone")).alias("until"))
+        left = live.join(done, "b", "left_anti").join(out, "a", "left").join(states.where("NOT kept").select(F.col("id").alias("a")), "a", "left_anti").where("until IS NULL OR until > b").drop("until")
+        fewer = written(left, "pairs")
+        drop(live)
+        live = fewer
+    drop(live)
+    return rows.select("id").join(states, "id", "left").select("id", (F.coalesce("kept", F.lit(True)) & F.col("gone").isNull()).alias("stays"), F.col("gone").alias("replaced_by"))
 
 
 def accept_new(trials: DataFrame, threshold: float, share: float) -> DataFrame:

@@ -4,6 +4,8 @@ mask inside its task; only figures leave it."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
+from math import asinh, ceil, cosh, tanh
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .gates import DARK, FLAT, LIGHT
 
+#: What a similarity may be off by.
+ROUNDING = 1e-9
+
 
 def mapped(rows: DataFrame, keys: list[str], schema: str, make: Callable[..., list[tuple]], columns: list[str]) -> DataFrame:
     """Rows of ``make(*columns)`` for each row, after its keys."""
@@ -117,6 +122,118 @@ def ssim(x: np.ndarray, y: np.ndarray, span: float = 1.0, k: tuple[float, float]
     return float(np.mean(full)), float(np.mean(contrast))
 
 
+@cache
+def _tangent(steps: int) -> tuple[float, float]:
+    """Where the tangent of sech meets sech at the span (in 64ths), and its slope."""
+    span, low, high = steps / 64, 0.0, asinh(1)
+    for _ in range(50):
+        t = (low + high) / 2
+        low, high = (t, high) if -tanh(t) / cosh(t) > (1 / cosh(span) - 1 / cosh(t)) / (span - t) else (low, t)
+    return low, (1 / cosh(span) - 1 / cosh(low)) / (span - low)
+
+
+def _flat(x: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """A concave curve over sech on [0, span], at x: sech itself up to the point whose tangent meets sech at the span, then that tangent.
+    The span is taken up to the next 64th, which only lifts the curve."""
+    steps = np.ceil(span * 64).astype(np.int64)
+    curved = steps > 64 * asinh(1)
+    known, at = np.unique(np.where(curved, steps, 64), return_inverse=True)
+    t, slope = np.array([_tangent(int(k)) for k in known]).T[:, at.reshape(-1)].reshape(2, *x.shape)
+    return np.where(curved & (x > t), 1 / np.cosh(t) + (x - t) * slope, 1 / np.cosh(x))
+
+
+def _reach(least: float, span: float) -> float:
+    """How far apart means may be where the curve of :func:`_flat` is ``least`` or more."""
+    low, high = 0.0, span
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _flat(np.array([middle]), np.array([span]))[0] >= least else (low, middle)
+    return high
+
+
+def _log_maps(x: np.ndarray, span: float, k: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """asinh(mean / sqrt(c1)) and asinh(deviation / sqrt(c2)) of every window, a map a channel."""
+    g, (c1, c2) = _window(), ((k[0] * span) ** 2, (k[1] * span) ** 2)
+    means, deviations = [], []
+    for c in range(x.shape[2]):
+        a = x[..., c].astype(np.float64)
+        m = _blur(a, g)
+        means.append(np.arcsinh(m / np.sqrt(c1)))
+        deviations.append(np.arcsinh(np.sqrt(np.maximum(0, _blur(a * a, g) - m * m)) / np.sqrt(c2)))
+    return np.stack(means), np.stack(deviations)
+
+
+def ssim_index(images: DataFrame, keys: list[str], span: float = 1.0, k: tuple[float, float] = (0.01, 0.03), grid: int = 4) -> DataFrame:
+    """(keys, shape, mu, sigma, blocks): what :func:`ssim_bounds` needs of an image: the means of its log maps, and for each block of a
+    grid its windows and the mean, least and largest value of either map."""
+
+    def make(height: int, width: int, data: bytes) -> list[tuple]:
+        x = pixels(height, width, data)
+        maps = _log_maps(x, span, k)
+        blocks: list[float] = []
+        rows, columns = (np.array_split(np.arange(n), min(grid, n)) for n in maps[0].shape[1:])
+        for c in range(x.shape[2]):
+            for r in rows:
+                for q in columns:
+                    parts = [m[c, r[0] : r[-1] + 1, q[0] : q[-1] + 1] for m in maps]
+                    blocks += [float(parts[0].size), *(float(f(p)) for p in parts for f in (np.mean, np.min, np.max))]
+        return [(f"{height}x{width}x{x.shape[2]}", float(maps[0].mean()), float(maps[1].mean()), blocks)]
+
+    return mapped(images, keys, "shape string, mu double, sigma double, blocks array<double>", make, ["height", "width", "data"])
+
+
+def ssim_bounds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of the structural similarity of pairs of images, from the blocks of :func:`ssim_index`, a pair a row.
+
+    With a = sqrt(c) sinh(u) and b = sqrt(c) sinh(v), (2ab + c) / (a^2 + b^2 + c) = (1 - (cosh(u-v) - 1) / cosh(u+v)) / cosh(u-v), at
+    most sech(u - v). That holds for the means and, by Cauchy and Schwarz, for the deviations of a window, and a
+    window's similarity is at most the lesser. A block's mean of sech(u - v) is at most the concave curve over it at the
+    difference of the block's means, and at most its value at the least difference of the block's ranges."""
+    x, y = x.reshape(len(x), -1, 7), y.reshape(len(y), -1, 7)
+    best = np.ones(x.shape[:2])
+    for m in (1, 4):
+        (a, a0, a1), (b, b0, b1) = ((z[..., m + k] for k in range(3)) for z in (x, y))
+        means = np.abs(a - b)
+        apart = np.maximum(0, np.maximum(a0 - b1, b0 - a1))
+        best = np.minimum(best, np.minimum(1 / np.cosh(apart), _flat(means, np.maximum(means, np.maximum(a1 - b0, b1 - a0)))))
+    return (x[..., 0] * best).sum(1) / x[..., 0].sum(1) + ROUNDING
+
+
+def similar_pairs(candidates: DataFrame, references: DataFrame, key: str, least: float, span: float = 1.0, k: tuple[float, float] = (0.01, 0.03)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b) pairs of a candidate and a reference of the same shape that an index lets meet, those that the bound of :func:`ssim_bounds`
+    leaves, and of these the ones whose structural similarity is at least ``least``, with ``ssim`` (L3, C5). Images have height,
+    width and data.
+
+    If the similarity is at least ``least``, the means of the images' log maps are no further apart than :func:`_reach`, so images meet
+    where those are in the same cell or the next. Neither side is broadcast or collected; pixels are joined to pairs that the bound
+    leaves, and compared there."""
+    widths = [_reach(least - ROUNDING, float(np.arcsinh(top / (c * span)))) for top, c in ((span, k[0]), (span / 2, k[1]))]
+    cell = [F.floor(F.col(c) / (w + ROUNDING)).alias(f"c{n}") for n, (c, w) in enumerate(zip(("mu", "sigma"), widths, strict=True))]
+    a = ssim_index(candidates, [key], span, k).select(F.col(key).alias("a"), "shape", F.col("blocks").alias("x"), *cell)
+    around = F.explode(F.array(*[F.struct((cell[0] + i).alias("c0"), (cell[1] + j).alias("c1")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    b = ssim_index(references, [key], span, k).select(F.col(key).alias("b"), "shape", F.col("blocks").alias("y"), around.alias("c")).select("b", "shape", "y", "c.*")
+    met = a.join(b, ["shape", "c0", "c1"]).select("a", "b", "x", "y")
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # Pairs have the same shape, but a batch may hold several.
+            for _, part in pdf.groupby(pdf["x"].map(len)):
+                bounds = ssim_bounds(np.stack(part["x"].to_list()), np.stack(part["y"].to_list()))
+                yield part[["a", "b"]].assign(bound=bounds)[bounds >= least]
+
+    kind = met.schema["a"].dataType.simpleString()
+    left = met.mapInPandas(bounded, f"a {kind}, b {kind}, bound double")
+    image = lambda rows, name: rows.select(F.col(key).alias(name), F.struct("height", "width", "data").alias(f"image_{name}"))
+    pairs = left.join(image(candidates, "a"), "a").join(image(references, "b"), "b")
+    pairs = pairs.select("a", "b", *[F.col(f"image_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("height", "width", "data")])
+
+    def compared(height_a, width_a, data_a, height_b, width_b, data_b) -> list[tuple]:
+        value = ssim(pixels(height_a, width_a, data_a), pixels(height_b, width_b, data_b), span, k)[0]
+        return [(value,)] if value >= least else []
+
+    return met.select("a", "b"), left, mapped(pairs, ["a", "b"], "ssim double", compared, [f"{c}_{s}" for s in "ab" for c in ("height", "width", "data")])
+
+
 def multi_ssim(x: np.ndarray, y: np.ndarray, span: float = 1.0, weights: tuple[float, ...] = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)) -> float:
     """SSIM over five scales, each half of the one before (L3). Negative parts count as 0."""
     out = 1.0

@@ -197,6 +197,60 @@ def test_pixel_pairs_lose_none(spark):
     assert rows(dedup.pixel_pairs(df, 0.05, 0.6), "a", "b") == want
 
 
+@pytest.mark.parametrize(("share", "channels", "size"), [(0.9, 1, 64), (0.97, 3, 30), (0.3, 1, 7), (0.999, 1, 200), (0.5, 2, 2)])
+def test_pigeonholes_lose_no_pair(spark, share, channels, size):
+    r = np.random.default_rng(size)
+    base = r.random((6, size * channels))
+    table = np.repeat(base, 8, 0)
+    table += (r.random(table.shape) < (1 - share) * 0.6 / channels * r.random((48, 1))) * r.normal(0, 0.5, table.shape)
+    table = np.clip(table + r.uniform(-0.012, 0.012, table.shape), 0, 1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(table)] + [(90, None), (91, []), (92, [0.5])], "id long, pixels array<double>")
+    same = (np.abs(table[:, None] - table) <= 0.03).reshape(48, 48, size, channels).all(3).sum(2)
+    want = sorted(((a, b, int(same[a, b])) for a in range(48) for b in range(a + 1, 48) if same[a, b] / size > share), key=repr)
+    assert want and rows(dedup.pixel_pairs(df, 0.03, share, channels), "a", "b", "same") == want
+
+
+def in_turn(costs, same):
+    """(stays, replaced_by) of each row, one after the other."""
+    kept, by = [], {}
+    for k, cost in enumerate(costs):
+        linked = [b for b in kept if (b, k) in same]
+        if linked:
+            best = min(linked, key=lambda b: (-same[b, k], b))
+            if cost >= costs[best]:
+                continue
+            kept.remove(best)
+            by[best] = k
+        kept.append(k)
+    return [(k, k in kept, by.get(k)) for k in range(len(costs))]
+
+
+def test_greedy_in_rounds_is_greedy_in_turn(spark):
+    r = np.random.default_rng(4)
+    chain = 9
+    cases = [
+        # A chain in which each row replaces the one before; one in which none does; a clique; sparse and dense links at random.
+        (list(range(chain, 0, -1)), {(k, k + 1): 5 for k in range(chain - 1)}),
+        ([1] * chain, {(k, k + 1): 5 for k in range(chain - 1)}),
+        (r.integers(0, 30, 24).tolist(), {(a, b): 3 for a in range(24) for b in range(a + 1, 24)}),
+        *[(r.integers(0, 6, 60).tolist(), {(int(a), int(b)): int(r.integers(1, 4)) for a in range(60) for b in range(a + 1, 60) if r.random() < odds}) for odds in (0.02, 0.08, 0.3)],
+    ]
+    offset, costs, pairs, want = 0, [], [], []
+    for cost, same in cases:
+        costs += [(offset + k, float(c)) for k, c in enumerate(cost)]
+        pairs += [(offset + a, offset + b, s) for (a, b), s in same.items()]
+        want += [(offset + k, stays, None if by is None else offset + by) for k, stays, by in in_turn(cost, same)]
+        offset += 1000
+    got = dedup.settled(spark.createDataFrame(costs, "id long, cost double"), spark.createDataFrame(pairs, "a long, b long, same int"))
+    assert sorted(tuple(x) for x in got.collect()) == want
+
+
+def test_greedy_of_copies_and_missing_costs(spark):
+    df = spark.createDataFrame([(k, [0.3] * 8 if k % 2 else [0.8] * 8, None if k < 2 else 10 - k) for k in range(8)] + [(20, None, 1), (21, [], 1)], "id long, pixels array<double>, cost int")
+    assert rows(dedup.greedy(df, 0.01, 0.9), "id") == [(20,), (21,), (6,), (7,)]
+    assert dedup.greedy(df.limit(0), 0.01, 0.9).collect() == []
+
+
 def test_search_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(2)
     table = r.normal(size=(60, 8))
@@ -216,3 +270,39 @@ def test_variation_stays_in_range(spark):
     assert all(r.lo <= r.drawn <= r.hi and (r.key == "a" or r.drawn == r.value) for r in out) and len({r.drawn for r in out if r.key == "a"}) > 150
     drawn = [r.drawn for r in sampling.varied(df.where("key = 'a'").withColumn("n", F.lit(50)), 3000, 4, odds=1.0, confident=F.lit(True)).collect()]
     assert abs(np.mean(drawn) - 1) < 0.03 and abs(np.std(drawn) - 0.3) < 0.03
+
+
+def test_ssim_bound_holds_and_prunes(spark):
+    r = np.random.default_rng(8)
+    images = {}
+    for k in range(40):
+        kind, (h, w, c) = k % 5, (24, 20, 3) if k % 2 else (16, 16, 1)
+        smooth = np.kron(r.random((h // 4, w // 4, c)), np.ones((4, 4, 1)))
+        x = {0: r.random((h, w, c)), 1: smooth, 2: np.full((h, w, c), r.random()), 3: smooth * 0.1, 4: 0.5 + 0.05 * r.normal(size=(h, w, c))}[kind]
+        images[k] = (np.clip(x, 0, 1) * 255).astype(np.uint8)
+        if k >= 20:
+            images[k] = np.clip(images[k - 20] + r.normal(0, 1 + k % 7 * 6, images[k - 20].shape), 0, 255).astype(np.uint8)
+    df = spark.createDataFrame([(k, x.shape[0], x.shape[1], x[..., ::-1].tobytes()) for k, x in images.items()], "id long, height int, width int, data binary")
+    index = {x.id: x for x in vision.ssim_index(df, ["id"]).collect()}
+    value = {}
+    for a in images:
+        for b in images:
+            if images[a].shape == images[b].shape:
+                value[a, b] = vision.ssim(images[a] / 255.0, images[b] / 255.0)[0]
+                assert vision.ssim_bounds(np.array([index[a].blocks]), np.array([index[b].blocks]))[0] >= value[a, b] - 1e-9
+    for least in (0.3, 0.8, 0.95):
+        met, left, similar = vision.similar_pairs(df, df.where("id % 3 = 0"), "id", least)
+        want = {(a, b): v for (a, b), v in value.items() if b % 3 == 0 and v >= least}
+        assert {(x.a, x.b): round(x.ssim, 9) for x in similar.collect()} == {p: round(v, 9) for p, v in want.items()}
+        if least > 0.9:
+            counts = (40 * 14, met.count(), left.count(), len(want))
+            assert counts == tuple(sorted(counts, reverse=True)) and counts[2] < 0.5 * counts[0], counts
+
+
+def test_image_leaks_takes_the_nearest_of_the_similar(spark):
+    flat = lambda g: bytes([g]) * 256
+    rows_ = [(1, 16, 16, flat(100), [0.5]), (2, 16, 16, flat(200), [0.5]), (3, 16, 8, flat(100)[:128], [0.5]), (4, 16, 16, flat(101), None), (5, 16, 16, flat(101), [0.1])]
+    refs = [(10, 16, 16, flat(101), [0.9]), (11, 16, 16, flat(102), [0.6]), (12, 16, 16, flat(100), [0.6]), (13, 16, 16, flat(0), [0.5])]
+    schema = "id long, height int, width int, data binary, v array<double>"
+    got = dedup.image_leaks(spark.createDataFrame(rows_, schema), spark.createDataFrame(refs, schema), "id", "v", 0.99, 0.2)
+    assert rows(got, "id", "nearest", "distance", "similar") == [(1, 11, 0.1, 3)]
