@@ -55,6 +55,18 @@ def analyses(spark: SparkSession, root: str) -> DataFrame:
     return nodes.select("mat_name", "node_pos", "n.*")
 
 
+def signatures(spark: SparkSession, root: str) -> DataFrame:
+    """(sig_key, category, pos, name, dtype, default, min, max, enum) of the signature files below a folder (A3): ``<type>.json``, and
+    ``node_groups/<group>.json``. An attribute's ``value`` is its default."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    slot = "array<struct<name: string, type: string, default: variant, value: variant, min: double, max: double, enum: array<string>>>"
+    parsed = text.select(F.regexp_extract("path", r"((?:node_groups/)?[^/]+)\.json$", 1).alias("sig_key"), F.from_json("value", f"struct<input: {slot}, output: {slot}, attr: {slot}>").alias("sig"))
+    parts = [parsed.select("sig_key", F.lit(c).alias("category"), F.posexplode(f"sig.{c}").alias("pos", "s")) for c in ("input", "output", "attr")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    default = F.when(F.col("category") == "attr", F.col("s.value")).otherwise(F.col("s.default"))
+    return rows.select("sig_key", "category", "pos", F.col("s.name").alias("name"), F.col("s.type").alias("dtype"), default.alias("default"), "s.min", "s.max", "s.enum")
+
+
 def with_ranges(signatures: DataFrame, ranges: DataFrame) -> DataFrame:
     """Signatures with supplementary ranges laid over them (A3). ``ranges`` has sig_key, name and JSON text: two numbers are a range, strings
     are the allowed values, and ``"unused"`` is the range from 0 to 0."""
