@@ -86,6 +86,11 @@ def crash_reason(text: Column) -> Column:
     return F.coalesce(*rules, F.when(F.size(errors) > 0, F.array_join(errors, ",")), F.lit(NO_REASON))
 
 
+def crash_line(line: Column) -> Column:
+    """The reason that one line of a log gives for a crash, by the rules of :func:`crash_reason`; null if it gives none."""
+    return F.nullif(crash_reason(F.concat(line, F.lit("\n"))), F.lit(NO_REASON))
+
+
 def seconds(text: Column) -> Column:
     """Seconds of ``H:MM:SS`` or ``D day(s), H:MM:SS``; null if the text is neither."""
     pattern = r"^(?:(\d+) days?, )?(\d+):(\d\d):(\d\d)(?:\.\d+)?$"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import percentiles
@@ -89,3 +89,28 @@ def wide_report(long: DataFrame, key: str, metric: str, value: str, metrics: lis
     """One row for each key with a column for each of the given metrics."""
     return long.groupBy(key).pivot(metric, metrics).agg(F.first(value))
 
+
+def running(rows: DataFrame, keys: list[str], order: list[str], part: Column, last: dict[str, Column] | None = None, least: dict[str, Column] | None = None, upto: int = 0) -> DataFrame:
+    """``rows`` with what each has behind it within its keys: by name the last value that is not null, or the least, up to the row itself
+    (``upto`` 0) or the one before it (-1). An as-of join of rows to those before them.
+
+    ``part`` rises with ``order``: a key's rows are gone through part by part, and a part begins with what those before it leave, so a key
+    with a third of all rows is spread over tasks."""
+    columns = {**(last or {}), **(least or {})}
+    rows = rows.withColumns({"_part": part, "_kind": F.lit(1), **{f"_{n}": c for n, c in columns.items()}})
+    end = lambda n: F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.struct(*order))) if n in (last or {}) else F.min(f"_{n}")
+    over = lambda n, w: F.last(f"_{n}", ignorenulls=True).over(w) if n in (last or {}) else F.min(f"_{n}").over(w)
+    ends = rows.groupBy(*keys, "_part").agg(*[end(n).alias(f"_{n}") for n in columns])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_part", F.lit(0).alias("_kind"), *[over(n, before).alias(f"_{n}") for n in columns])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_kind", *order).rowsBetween(Window.unboundedPreceding, upto)
+    out = rows.unionByName(carried, allowMissingColumns=True).withColumns({n: over(n, inside) for n in columns})
+    return out.where("_kind = 1").drop("_part", "_kind", *[f"_{n}" for n in columns])
+
+
+def crash_records(lines: DataFrame, keys: list[str], order: list[str], part: Column, stage: Column, node: Column, reason: Column, fatal: Column) -> DataFrame:
+    """A record of each crash in the lines of a log (D24): (keys, order, stage, node, reason, fatal), the stage and the node being the last
+    that the log names before. ``stage``, ``node`` and ``reason`` are read from a line, null where it names none; a line whose
+    reason is not null is a crash."""
+    rows = running(lines.withColumns({"_reason": reason, "_fatal": fatal}), keys, order, part, last={"stage": stage, "node": node})
+    return rows.where("_reason IS NOT NULL").select(*keys, *order, "stage", "node", F.col("_reason").alias("reason"), F.col("_fatal").alias("fatal"))

@@ -266,16 +266,55 @@ def depth_agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return mapped(pairs, keys, "percent double", make, ["height", "width", "a", "b"])
 
 
+#: The first three corners of a box's six faces, and which way round each shows its front.
+FACES = [[0, 1, 3], [4, 5, 7], [0, 1, 5], [2, 3, 7], [0, 2, 6], [1, 3, 7]]
+FRONT = [-1, 1, 1, -1, -1, 1]
+
+
+def _seen(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Of each batch the instances in front of the camera, their corners in pixels, and the corners' depths."""
+    for pdf in batches:
+        pdf = pdf[pdf[["low", "high", "world", "camera", "matrix"]].notna().all(axis=1)]
+        if pdf.empty:
+            continue
+        low, high = (np.stack(pdf[c].to_list()).astype(float) for c in ("low", "high"))
+        bits = np.arange(8)[:, None] >> np.arange(3) & 1
+        corners = np.where(bits == 1, high[:, None], low[:, None])
+        square = lambda c, n: np.stack(pdf[c].to_list()).astype(float).reshape(-1, n, n)
+        world, camera, matrix = square("world", 4), square("camera", 4), square("matrix", 3)
+        at = np.concatenate([corners, np.ones((len(corners), 8, 1))], 2)
+        flat = np.einsum("nij,njk,nkl,ncl->nci", matrix, camera[:, :3], world, at, optimize=True)
+        depth = np.einsum("njk,nkl,ncl->ncj", camera[:, 2:3], world, at, optimize=True)[..., 0]
+        front = (depth > 0).all(1)
+        if not front.any():
+            continue
+        yield pdf[front], flat[front, :, :2] / flat[front, :, 2:], depth[front]
+
+
 def projected(instances: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, corner, x, y, depth): the corners of 3-D boxes in the camera's pixels (H26). ``instances`` has low and high corners, a row-major
-    4x4 matrix to the world, one to the camera, and the camera's 3x3 matrix. An instance with a corner behind the camera goes."""
+    4x4 matrix to the world, one to the camera, and the camera's 3x3 matrix. An instance with a corner behind the camera goes, as does
+    one with something missing."""
 
-    def make(low, high, world, camera, matrix) -> list[tuple]:
-        at = np.array([[(low, high)[i >> k & 1][k] for k in range(3)] + [1.0] for i in range(8)])
-        seen = at @ np.asarray(world, float).reshape(4, 4).T @ np.asarray(camera, float).reshape(4, 4).T
-        if (seen[:, 2] <= 0).any():
-            return []
-        flat = seen[:, :3] @ np.asarray(matrix, float).reshape(3, 3).T
-        return [(k, float(p[0] / p[2]), float(p[1] / p[2]), float(p[2])) for k, p in enumerate(flat)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, xy, depth in _seen(batches):
+            out = pdf[keys].loc[pdf.index.repeat(8)].reset_index(drop=True)
+            yield out.assign(corner=np.tile(np.arange(8, dtype=np.int32), len(pdf)), x=xy[..., 0].reshape(-1), y=xy[..., 1].reshape(-1), depth=depth.reshape(-1))
 
-    return mapped(instances, keys, "corner int, x double, y double, depth double", make, ["low", "high", "world", "camera", "matrix"])
+    kinds = ", ".join(f"{k} {instances.schema[k].dataType.simpleString()}" for k in keys)
+    return instances.select(*keys, "low", "high", "world", "camera", "matrix").mapInPandas(run, f"{kinds}, corner int, x double, y double, depth double")
+
+
+def visible_faces(instances: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, faces): of the boxes that :func:`projected` shows, the faces that turn their fronts to the camera (H26): those whose corners, in
+    whole pixels, go round the other way than they do seen from outside."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, xy, _ in _seen(batches):
+            p = np.trunc(xy)[:, FACES]
+            a, b = p[:, :, 1] - p[:, :, 0], p[:, :, 2] - p[:, :, 0]
+            turned = (a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]) * FRONT < 0
+            yield pdf[keys].assign(faces=[np.flatnonzero(t).astype(np.int32) for t in turned])
+
+    kinds = ", ".join(f"{k} {instances.schema[k].dataType.simpleString()}" for k in keys)
+    return instances.select(*keys, "low", "high", "world", "camera", "matrix").mapInPandas(run, f"{kinds}, faces array<int>")

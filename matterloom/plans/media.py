@@ -13,13 +13,30 @@ from ..streaming import jobs
 from . import query
 
 
-@query()
+# Every six values of a vector stand for a box: its low corner, and how far the high one is.
+BOXES = """WITH b AS (SELECT vec_id, box::INT AS box, list_transform(embedding[6 * box + 1 : 6 * box + 3], lambda x: x::DOUBLE) AS l, list_transform(embedding[6 * box + 4 : 6 * box + 6], lambda x: abs(x::DOUBLE)) AS s FROM embeddings, range(10) AS r(box)),
+  c AS (SELECT vec_id, box, list_transform(range(8), lambda i: l[1] + CASE WHEN i % 2 = 1 THEN s[1] ELSE 0 END) AS x, list_transform(range(8), lambda i: l[2] + CASE WHEN i // 2 % 2 = 1 THEN s[2] ELSE 0 END) AS y, list_transform(range(8), lambda i: l[3] + 0.3 + CASE WHEN i // 4 = 1 THEN s[3] ELSE 0 END) AS z FROM b),
+  p AS (SELECT vec_id, box, list_transform(range(1, 9), lambda i: (100 * x[i] + 50 * z[i]) / z[i]) AS x, list_transform(range(1, 9), lambda i: (100 * y[i] + 50 * z[i]) / z[i]) AS y FROM c WHERE list_min(z) > 0)"""
+
+
+def _boxes(t):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    pieces = t.embeddings.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.slice(e, k * 6 + 1, 6))).alias("box", "e"))
+    low, size = F.slice("e", 1, 3), F.slice("e", 4, 3)
+    eye = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    return pieces.select("vec_id", "box", low.alias("low"), F.zip_with(low, size, lambda a, b: a + F.abs(b)).alias("high"), F.lit([*eye[:11], 0.3, *eye[12:]]).alias("world"), F.lit(eye).alias("camera"), F.lit([100.0, 0.0, 50.0, 0.0, 100.0, 50.0, 0.0, 0.0, 1.0]).alias("matrix"))
+
+
+@query(BOXES + " SELECT vec_id, box, round(list_min(x), 4) AS x_min, round(list_max(x), 4) AS x_max, round(list_min(y), 4) AS y_min, round(list_max(y), 4) AS y_max FROM p")
 def range_cull_boxes(t):
-    e = F.col("embedding").cast("array<double>")
-    low, high = F.slice(e, 1, 3), F.zip_with(F.slice(e, 1, 3), F.slice(e, 4, 3), lambda a, b: a + F.abs(b))
-    rows = t.embeddings.select("vec_id", low.alias("low"), high.alias("high"), F.lit([1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.3, 0.0, 0.0, 0.0, 1.0]).alias("world"), F.lit([1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]).alias("camera"), F.lit([100.0, 0.0, 50.0, 0.0, 100.0, 50.0, 0.0, 0.0, 1.0]).alias("matrix"))
-    corners = vision.projected(rows, ["vec_id"])
-    return corners.groupBy("vec_id").agg(*[F.round(f(c), 4).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
+    corners = vision.projected(_boxes(t), ["vec_id", "box"])
+    return corners.groupBy("vec_id", "box").agg(*[F.round(f(c), 4).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
+
+
+@query(BOXES + f""", f AS (SELECT vec_id, box, list_transform(x, lambda v: trunc(v)) AS x, list_transform(y, lambda v: trunc(v)) AS y, {vision.FACES} AS f, {vision.FRONT} AS g FROM p)
+  SELECT vec_id, box, list_transform(list_filter(range(1, 7), lambda k: g[k] * ((x[f[k][2] + 1] - x[f[k][1] + 1]) * (y[f[k][3] + 1] - y[f[k][1] + 1]) - (y[f[k][2] + 1] - y[f[k][1] + 1]) * (x[f[k][3] + 1] - x[f[k][1] + 1])) < 0), lambda k: (k - 1)::INT) AS faces FROM f""")
+def visible_faces(t):
+    return vision.visible_faces(_boxes(t), ["vec_id", "box"])
 
 
 @query()

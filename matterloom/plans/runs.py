@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import runs, stats, trials
+from ..functions.hashing import int_hash_sql, uniform
+from ..operators import runs, search, stats, trials
 from . import query
 
 TRIALS = "t AS (SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS trial_id, event_type IN ('click', 'purchase') AS passed FROM events)"
@@ -163,3 +164,34 @@ def job_line_parse(t):
     line = F.when((F.col("event_id") % 5 == 0) & (F.col("event_id") % 13 != 0), F.concat(line, F.lit(" 12 more"))).otherwise(line)
     job = fx.job_line(line)
     return t.events.select(job.alias("j")).where("j IS NOT NULL").select("j.job_id", "j.name", "j.elapsed", "j.state", "j.node", F.round(fx.memory_gb(F.try_element_at("j.resources", F.lit("mem"))), 9).alias("memory_gb"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN 'stage_' || event_id % 5 END AS stage, CASE WHEN event_type = 'click' THEN 'node' || event_id % 7 END AS node,
+    CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'Out of GPU memory' WHEN 1 THEN 'Timed out' WHEN 2 THEN 'srun error' ELSE 'Error: mesh ' || event_id END END AS reason, event_id % 2 = 0 AS fatal FROM events),
+  a AS (SELECT user_id, event_id, last_value(stage IGNORE NULLS) OVER w AS stage, last_value(node IGNORE NULLS) OVER w AS node, reason, fatal FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+  SELECT * FROM a WHERE reason IS NOT NULL""")
+def crash_records(t):
+    k = F.col("event_id")
+    text = F.coalesce(
+        F.when(F.col("event_type") == "view", F.concat(F.lit("[stage_"), k % 5, F.lit("] started"))),
+        F.when(F.col("event_type") == "click", F.concat(F.lit("running on node"), k % 7)),
+        F.when(F.col("event_type") == "error", F.when(k % 4 == 0, "System is out of GPU memory").when(k % 4 == 1, "slurmstepd: CANCELLED DUE TO TIME LIMIT").when(k % 4 == 2, "srun: error: exit 1").otherwise(F.concat(F.lit("Error: mesh "), k))),
+        F.lit("Error: Not freed memory blocks: 2"),
+    )
+    lines = t.events.select("user_id", "event_id", text.alias("text"))
+    read = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    return runs.crash_records(lines, ["user_id"], ["event_id"], F.floor(k / 4096), read(r"^\[([^\]]+)\] started"), read(r"\b(node\d+)\b"), fx.crash_line(F.col("text")), k % 2 == 0)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS example, event_id AS it, value AS metric, {int_hash_sql("'4' || user_id || '/' || event_id")} / 4294967295 AS draw, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events),
+  g(example, it, pos, current, best, p0, p1, p2) AS (SELECT DISTINCT example, -1::BIGINT, 0::BIGINT, 90.0::DOUBLE, 90.0::DOUBLE, 'start', NULL::VARCHAR, NULL::VARCHAR FROM e
+    UNION ALL SELECT example, it, pos, CASE WHEN ok THEN metric ELSE current END, least(best, current), CASE WHEN ok AND it % 3 = 0 THEN it::VARCHAR ELSE p0 END, CASE WHEN ok AND it % 3 = 1 THEN it::VARCHAR ELSE p1 END, CASE WHEN ok AND it % 3 = 2 THEN it::VARCHAR ELSE p2 END
+    FROM (SELECT e.*, g.current, g.best, g.p0, g.p1, g.p2, e.metric < g.current OR e.draw < 0.05 AS ok FROM g JOIN e ON e.example = g.example AND e.pos = g.pos + 1))
+  SELECT example, it, current, best, concat_ws(',', 'p0=' || p0, 'p1=' || p1, 'p2=' || p2) AS state FROM g WHERE pos > 0 AND (it + 1) % 20 = 0""")
+def search_states(t):
+    steps = t.events.select(F.col("user_id").alias("example"), F.col("event_id").alias("it"), F.col("value").alias("metric"), uniform(4, F.col("user_id"), F.lit("/"), F.col("event_id")).alias("draw"))
+    changes = steps.select("example", "it", F.concat(F.lit("p"), F.col("it") % 3).alias("param"), F.col("it").cast("string").alias("value"))
+    first = steps.select("example").distinct().select("example", F.lit(-1).cast("long").alias("it"), F.lit("p0").alias("param"), F.lit("start").alias("value"))
+    out = search.search_states(steps, changes.unionByName(first), 90.0, 20, part=512)
+    text = F.array_join(F.transform(F.map_entries("state"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return out.withColumn("state", text)

@@ -120,6 +120,13 @@ def logs(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def log_lines(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:
+    """(path, block, line, text): the lines of logs that may be long, which are split (A10). ``block`` is where a line's part of the file
+    begins, and ``line`` rises within it, so (block, line) is the order of a log, and ``block`` its parts."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
+
+
 def log_times(texts: DataFrame, steps: DataFrame) -> DataFrame:
     """(path, step, name, seconds): times in logs that were finished (B17): a log belongs to the first step that begins its name; the total
     and stages under a second are left out. ``steps`` is the short table (pos, step)."""
