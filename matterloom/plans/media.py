@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import palette as colours
 from ..operators import vision
-from ..streaming import jobs
+from ..sources.shared import new_path
+from ..streaming import jobs, logs
 from . import query
 
 
@@ -64,14 +64,32 @@ def stream_quota(t):
 
 
 def _checkpoint(t):
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        # A folder of our own serves a local session, as in tests; other machines of a cluster would not see it.
-        master = t.spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='matterloom-')}"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_path(t.spark, "stream")
+
+
+SCENES = "e AS (SELECT user_id AS seed, 'task' || event_id % 3 AS task, event_type AS state, ts FROM events)"
+
+
+def _scene_events(t):
+    return _streamed(t, "events").select(F.col("user_id").alias("seed"), F.concat(F.lit("task"), F.col("event_id") % 3).alias("task"), F.col("event_type").alias("state"), "ts")
+
+
+@query(f"""WITH {SCENES} SELECT seed, 'crashed' AS kind, task, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM e WHERE state = 'error' GROUP BY ALL
+  UNION ALL SELECT seed, 'finished', 'task2', strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') FROM e WHERE state = 'purchase' AND task = 'task2' GROUP BY ALL""")
+def stream_scene_log(t):
+    log = logs.Deltas(new_path(t.spark, "scene-log"), ["seed", "kind", "task"], first=True)
+    stream = logs.scene_log(_scene_events(t), "task2", "purchase", "error")
+    stream.writeStream.foreachBatch(log.sink()).option("checkpointLocation", _checkpoint(t)).trigger(availableNow=True).start().awaitTermination()
+    # As a text, since the log's instants are of the session's time zone and the table's are of none.
+    return log.read(t.spark).withColumn("ts", F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(f"WITH {SCENES} SELECT seed, task, arg_max(state, ts) AS state FROM e GROUP BY ALL")
+def stream_upsert(t):
+    table = logs.Deltas(new_path(t.spark, "job-states"), ["seed", "task"], every=1)
+    stream = jobs.latest_states(_scene_events(t), ["seed", "task"], "state", ["ts"])
+    stream.writeStream.outputMode("update").foreachBatch(table.sink()).option("checkpointLocation", _checkpoint(t)).trigger(availableNow=True).start().awaitTermination()
+    return table.read(t.spark)
 
 
 @query("""SELECT label, round(sum(hits) / sum(n) * 100, 6) AS percent FROM (SELECT label, unnest(embedding) > 0.1 AS hit, 1 AS n, hit::INT AS hits FROM embeddings) GROUP BY ALL""")

@@ -9,23 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .logs import Deltas
+
 
 def latest_states(events: DataFrame, keys: list[str], state: str, order: list[str], **more: Column) -> DataFrame:
     """The last state of each key, and further aggregates by name, that a stream keeps up in update or complete mode (K1)."""
     return events.groupBy(*keys).agg(F.max_by(state, F.struct(*order)).alias(state), *[c.alias(name) for name, c in more.items()])
 
 
-def upsert(path: str, keys: list[str]):
-    """A sink for :func:`latest_states` (K1, K4): each batch's rows replace those of their keys. A batch that comes again gives the same table."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/v{number - 1}"
-        if number:
-            batch = spark.read.parquet(old).join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        batch.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return write
+def upsert(path: str, keys: list[str], every: int = 16):
+    """A sink for :func:`latest_states` (K1): each batch's rows stand for those of their keys, see :class:`..logs.Deltas`. A batch that comes
+    again gives the same table."""
+    return Deltas(path, keys, every=every).sink()
 
 
 def once(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,16 +34,17 @@ def accepted(trials: DataFrame, quota: int, most: int) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, passed = state.get if state.exists else (0, 0)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("trial_id").itertuples():
-            if seen >= most or passed >= quota:
-                break
-            seen += 1
-            if row.passed:
-                out.append((key[0], row.trial_id, passed))
-                passed += 1
-        state.update((seen, passed))
-        yield pd.DataFrame(out, columns=["case_id", "trial_id", "sample_id"])
+        left = most - seen
+        # Of a batch only the first trials that may still be seen are kept, a frame at a time.
+        first = pd.DataFrame({"trial_id": [], "passed": []})
+        for pdf in batches:
+            part = pdf[["trial_id", "passed"]]
+            first = (part if first.empty else pd.concat([first, part])).nsmallest(left, "trial_id") if left > 0 and passed < quota else first
+        ok = first["passed"].fillna(False).astype(bool)
+        before = passed + ok.cumsum() - ok
+        first, ok, before = first[before < quota], ok[before < quota], before[before < quota]
+        state.update((seen + len(first), passed + int(ok.sum())))
+        yield pd.DataFrame({"case_id": key[0], "trial_id": first["trial_id"][ok].astype("int64"), "sample_id": before[ok].astype("int64")})
 
     return trials.groupBy("case_id").applyInPandasWithState(run, "case_id long, trial_id long, sample_id long", "seen long, passed long", "append", GroupStateTimeout.NoTimeout)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from matterloom.operators import palette
 from matterloom.sources import corpus
-from matterloom.streaming import jobs
+from matterloom.streaming import jobs, logs
 
 
 def rows(df, *columns):
@@ -95,8 +95,7 @@ def test_upserts_and_crashes(spark, tmp_path):
     table = f"{tmp_path}/table"
     query = jobs.latest_states(stream, ["seed", "task"], "state", ["ts"]).writeStream.outputMode("update").foreachBatch(jobs.upsert(table, ["seed", "task"])).option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max(p.name for p in (tmp_path / "table").iterdir())
-    assert rows(spark.read.parquet(f"{table}/{last}"), "seed", "state") == [("a", "crashed"), ("b", "done")]
+    assert rows(logs.Deltas(table, ["seed", "task"]).read(spark), "seed", "state") == [("a", "crashed"), ("b", "done")]
     crashes = jobs.once(stream.where("state = 'crashed'"), ["seed", "task"])
     assert rows(jobs.run_once(crashes, "crashes", "append", f"{tmp_path}/c2"), "seed", "task") == [("a", "render")]
     assert rows(jobs.fresh(spark.range(4).toDF("k"), spark.range(2).toDF("k"), ["k"]), "k") == [(2,), (3,)]
@@ -122,3 +121,56 @@ def test_palette(spark):
     assert abs(fitted[0]["mean"][0] - 0.2) < 0.02 and abs(fitted[0]["weight"] - 2 / 3) < 0.05
     out = palette.drawn(spark.range(50), "id", fitted, 2).collect()
     assert all(0 <= c <= 1 for x in out for c in x.color)
+
+
+def test_a_log_has_each_entry_once_and_state_expires(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    batches = [
+        [("a", "render", "crashed", at(1)), ("a", "render", "crashed", at(0)), ("a", "upload", "done", at(2)), (None, "x", "done", at(2))],
+        [("a", "render", "crashed", at(3)), ("b", "coarse", "crashed", at(3)), ("a", "upload", "done", at(3))],
+        [("b", "coarse", "crashed", at(100)), ("b", "fine", "crashed", at(100))],
+        [("c", "upload", "done", at(101))],
+        [("c", "upload", "done", at(102)), ("b", "upload", "done", at(102))],
+    ]
+    schema = "seed string, task string, state string, ts timestamp"
+    want, sizes = {("a", "crashed", "render", at(0)), ("a", "finished", "upload", at(2)), ("b", "crashed", "coarse", at(3)), ("b", "crashed", "fine", at(100)), ("c", "finished", "upload", at(101)), ("b", "finished", "upload", at(102))}, []
+    log, checkpoint = logs.Deltas(f"{tmp_path}/log", ["seed", "kind", "task"], first=True, every=2), f"{tmp_path}/checkpoint"
+    assert log.read(spark) is None
+    sent = []
+
+    def write(batch, number):
+        log.sink()(batch, number)
+        # A batch that comes again, as after a lost driver, changes nothing.
+        once = sorted(map(tuple, log.read(spark).collect()))
+        log.sink()(batch, number)
+        assert sorted(map(tuple, log.read(spark).collect())) == once
+        sent.append(number)
+
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        query = logs.scene_log(stream, "upload", keep_ms=3_600_000).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "crashes").load(checkpoint)
+        sizes.append(state.count())
+    got = log.read(spark)
+    assert got.count() == len(want) and {(r.seed, r.kind, r.task, r.ts) for r in got.collect()} == want
+    assert len(sent) >= len(batches) and sizes[1] == 2 and sizes[-1] == 2, sizes  # a's crash went, b's two are left
+    assert len(list((tmp_path / "log/delta").iterdir())) <= 4 and len(list((tmp_path / "log/base").iterdir())) <= 2
+
+
+def test_quota_over_frames(spark, tmp_path):
+    data = [(c, k, (k * 7 + c) % 3 == 0) for c in (1, 2) for k in range(30)]
+    for n in range(3):
+        spark.createDataFrame([d for d in data if d[1] // 10 == n][::-1], "case_id long, trial_id long, passed boolean").coalesce(1).write.parquet(f"{tmp_path}/q/{n}")
+    stream = spark.readStream.schema("case_id long, trial_id long, passed boolean").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/q")
+    want = []
+    for c in (1, 2):
+        passed = 0
+        for _, k, ok in [d for d in data if d[0] == c][:20]:
+            if ok and passed < 5:
+                want.append((c, k, passed))
+                passed += 1
+    assert rows(jobs.run_once(jobs.accepted(stream, 5, 20), "quota_test", "append", f"{tmp_path}/cq"), "case_id", "trial_id", "sample_id") == sorted(want, key=repr)
