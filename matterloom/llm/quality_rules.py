@@ -1,8 +1,8 @@
 """Quality rules: lines that many documents of a host share go, and a document of which too little is left is rejected.
 
 Lines are normalised (ASCII letters lowered, digits made 0, white space collapsed) and hashed together with their host.
-For every host and line the distinct documents are counted; copies of a document count once, because a document is
-told by a digest of its whole set of normalised lines. Documents that differ in any line are distinct. Lines above
+For every host and line the distinct documents are counted; exact copies of a document count once, because a document is
+told by a digest of its raw text. Documents that differ in anything, be it a number, are distinct. Lines above
 ``LIMIT`` documents are removed everywhere on that host.
 
 Plan: one pass sends (line, document) hashes, distinct first within a task and then by shuffle, so that a line that
@@ -85,9 +85,9 @@ def base(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
 
 
-def document_hash(own: set[int]) -> int:
-    """The digest of a document's whole set of lines, as a signed 64-bit number."""
-    return int.from_bytes(hashlib.md5(np.array(sorted(own), np.int64).tobytes()).digest()[:8], "little", signed=True)
+def document_hash(text: bytes) -> int:
+    """The digest of a document's raw text, as a signed 64-bit number."""
+    return int.from_bytes(hashlib.md5(text).digest()[:8], "little", signed=True)
 
 
 def line_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -97,9 +97,10 @@ def line_documents(docs: DataFrame, text: str = "text", host: str = "source") ->
         for batch in slices(batches, "text", rows=5000):
             lines, told = [], []
             for t, h in zip(strings(batch.column("text")), batch.column("host").to_pylist(), strict=True):
-                own = {line_hash(h, w) for x in t.encode().split(b"\n") if (w := line_words(x))}
+                raw = t.encode()
+                own = {line_hash(h, w) for x in raw.split(b"\n") if (w := line_words(x))}
                 lines.extend(own)
-                told.extend([document_hash(own)] * len(own))
+                told.extend([document_hash(raw)] * len(own))
             yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(told, pa.int64())], ["line", "document"])
 
     pairs = docs.select(F.col(text).alias("text"), F.col(host).alias("host")).mapInArrow(run, "line long, document long").distinct()
@@ -193,10 +194,9 @@ def rules_sql(table: str = "documents", limit: int = LIMIT, left: float = LEFT)
     win AS (SELECT r, i, w || chr(10) || lead(w) OVER o || chr(10) || lead(w, 2) OVER o AS k FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
     twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win WHERE k IS NOT NULL) WHERE n > 1),
     rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
-    ln AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d),
-    lines AS (SELECT r, line, len(regexp_extract_all(line, '{word}')) AS n, ('0x' || substr(md5(host || chr(10) || {plain}), 1, 15))::BIGINT AS h FROM ln WHERE regexp_matches(line, '{word}')),
-    own AS (SELECT r, list_sort(list(DISTINCT h)) AS document FROM lines GROUP BY r),
-    told AS (SELECT DISTINCT h, document FROM lines JOIN own USING (r)),
+    ln AS (SELECT r, host, md5(text) AS document, unnest(string_split(text, chr(10))) AS line FROM d),
+    lines AS (SELECT r, document, line, len(regexp_extract_all(line, '{word}')) AS n, ('0x' || substr(md5(host || chr(10) || {plain}), 1, 15))::BIGINT AS h FROM ln WHERE regexp_matches(line, '{word}')),
+    told AS (SELECT DISTINCT h, document FROM lines),
     often AS (SELECT h FROM told GROUP BY h HAVING count(*) > {limit}),
     dup AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines, (coalesce(sum(n) FILTER (WHERE h IN (FROM often)), 0))::BIGINT AS n_removed FROM lines GROUP BY r),
     m AS (SELECT d.doc_id, len(regexp_extract_all(text, '{word}'))::BIGINT AS n_words,
