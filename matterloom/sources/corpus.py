@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import scene_files
+
 #: File names of programs, and of the renders beside them.
 PROGRAM = r"([^/]+/[^/]+)/(blender|var_\d{5})_full\.py$"
 RENDER = r"([^/]+/[^/]+)/(blender|var_\d{5})_render\.jpg$"
@@ -173,9 +175,27 @@ def selected(lines: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.format_string("case_%05d_gen_%02d", "case_id", "gen_id"))
 
 
+#: The endings of a generated item's files, and their names in the corpus.
+ROLES = {"full.py": "blender_full.py", "render.jpg": "transpiled_render.jpg", "analysis.json": "analysis_result.json"}
+
+
+def generated(spark: SparkSession, root: str) -> DataFrame:
+    """(case_id, gen_id, role, source): the files of generated items, ``case_<case>/gen_<item>_<role>``."""
+    pattern = r"(case_(\d+)/gen_(\d+)_(.+))$"
+    part = lambda k: F.regexp_extract("path", pattern, k)
+    files = listing(spark, root, "gen_*").where(F.col("path").rlike(pattern))
+    return files.select(part(2).cast("int").alias("case_id"), part(3).cast("int").alias("gen_id"), part(4).alias("role"), part(1).alias("source"))
+
+
+def promoted(files: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(case_id, gen_id, key, file, source): the files of generated items under their names in the corpus (A13): all items that have a
+    program, or the ``chosen`` ones. A file of another role is none of the corpus."""
+    items = files.where("role = 'full.py'").select("case_id", "gen_id") if chosen is None else chosen.select("case_id", "gen_id")
+    names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    rows = files.join(items.distinct(), ["case_id", "gen_id"], "left_semi").withColumn("file", F.try_element_at(names, F.col("role")))
+    return rows.where("file IS NOT NULL").select("case_id", "gen_id", F.format_string("case_%05d_gen_%02d", "case_id", "gen_id").alias("key"), "file", "source")
+
+
 def finished_tasks(spark: SparkSession, root: str) -> DataFrame:
-    """(seed, task) of completion markers (A16). Markers are empty files, which readers skip, so they come from Spark's listing."""
-    pattern = r"([^/]+)/logs/FINISH_(.*)$"
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "FINISH_*").load(root).inputFiles()
-    files = spark.createDataFrame([(n,) for n in names], "path string")
-    return files.select(F.regexp_extract("path", pattern, 1).alias("seed"), F.regexp_extract("path", pattern, 2).alias("task")).where("seed <> ''")
+    """(seed, task) of completion markers (A16): ``<seed>/logs/FINISH_<task>``, empty files, listed by the tasks."""
+    return scene_files(spark, root, "markers")

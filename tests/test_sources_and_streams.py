@@ -1,10 +1,11 @@
+import io
 import json
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from matterloom.operators import palette
-from matterloom.sources import corpus
+from matterloom.sources import corpus, files
 from matterloom.streaming import jobs, logs
 
 
@@ -174,3 +175,25 @@ def test_quota_over_frames(spark, tmp_path):
                 want.append((c, k, passed))
                 passed += 1
     assert rows(jobs.run_once(jobs.accepted(stream, 5, 20), "quota_test", "append", f"{tmp_path}/cq"), "case_id", "trial_id", "sample_id") == sorted(want, key=repr)
+
+
+def test_scene_files_are_dealt_out_and_pruned(spark, tmp_path):
+    made = [(f"s{k}/logs/FINISH_t{k % 2}", b"") for k in range(9)] + [("s3/logs/other", b""), ("s4/FINISH_no", b""), ("stray", b"x")]
+    mask = io.BytesIO()
+    np.save(mask, np.array([[1, 1, 7], [0, 1, 7]], np.int16))
+    made += [("s5/frames/a.npy", mask.getvalue()), ("s5/frames/a.txt", b""), ("s6/summary.json", json.dumps({"D": {"npy": {"0": {"1": {"7": "d.npy"}}}}, "Tags": {"7": "t.json"}}).encode())]
+    root = f"file://{tmp_path}/scenes"
+    files.write_files(spark.createDataFrame(made, "path string, content binary").repartition(3), root)
+    markers = files.scene_files(spark, root, "markers", group=2)
+    assert rows(markers, "seed", "task") == [(f"s{k}", f"t{k % 2}") for k in range(9)]
+    assert markers.rdd.getNumPartitions() == 5
+    one = markers.where("seed IN ('s3', 's4') AND task = 't1'")
+    assert one.rdd.getNumPartitions() == 1 and rows(one, "seed", "task") == [("s3", "t1")]
+    assert rows(files.scene_files(spark, root, "masks"), "seed", "path", "height", "width", "ids", "counts") == [("s5", "frames/a.npy", 2, 3, [0, 1, 7], [1, 3, 2])]
+    shapes = files.scene_files(spark, root, "masks", "seed", "height", "width")
+    assert shapes.columns == ["seed", "height", "width"] and rows(shapes, "height", "width") == [(2, 3)]
+    assert rows(files.scene_files(spark, root, "index"), "type", "frame", "path") == [("D", "7", "d.npy")]
+    assert files.scene_files(spark, f"{tmp_path}/none", "markers").collect() == []
+    reader = files.SceneReader(files.StructType.fromDDL(files.KINDS["masks"]) if hasattr(files.StructType, "fromDDL") else shapes.schema, {"path": root, "kind": "masks"})
+    left = list(reader.pushFilters([files.EqualTo(("seed",), "s5"), files.EqualTo(("height",), 2)]))
+    assert [f.attribute for f in left] == [("height",)] and [p.names for p in reader.partitions()] == [["s5"]]
