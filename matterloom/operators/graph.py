@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.shared import written
+
 
 def ordered(links: DataFrame, material: str, root: str, order: str = "pre") -> DataFrame:
     """(material, node, pos): nodes reachable from each material's root against the links' direction, by input slot: depth-first
@@ -72,20 +74,33 @@ def ordered(links: DataFrame, material: str, root: str, order: str = "pre") -> D
     return near.select(material, root, "from_node", "to_node").mapInArrow(run, f"{material} {types[material]}, node {types['from_node']}, pos long")
 
 
+def _marked(links: DataFrame, nodes: DataFrame, material: str, end: str, flag: str, *more: str) -> DataFrame:
+    """``links`` with ``flag``: whether the node at an end is one of ``nodes``."""
+    known = nodes.select(material, F.col("node").alias(end), *more, F.lit(True).alias(flag))
+    return links.join(known, [material, end], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def contracted(links: DataFrame, passing: DataFrame, material: str) -> DataFrame:
-    """Links with pass-through nodes taken out: each source meets each target (J3). Chains shorten by joins until none is left; ``passing`` has (material, node)."""
-    through = passing.select(material, F.col("node").alias("mid")).distinct()
-    while True:
-        into = links.join(through, (links[material] == through[material]) & (links.to_node == through.mid), "left_semi")
-        if into.isEmpty():
-            gone = links.join(through, (links[material] == through[material]) & (links.from_node == through.mid), "left_anti")
-            return gone
-        from_links = links.select(F.col(material).alias("_m"), F.col("from_node").alias("_mid"), F.col("to_node").alias("_to"), F.col("to_slot").alias("_slot"))
-        joined = into.join(from_links, (F.col(material) == F.col("_m")) & (F.col("to_node") == F.col("_mid")))
-        bridged = joined.select(material, "from_node", "from_slot", F.col("_to").alias("to_node"), F.col("_slot").alias("to_slot")).where("from_node <> to_node")
-        rest = links.join(through, (links[material] == through[material]) & (links.to_node == through.mid), "left_anti")
-        links = rest.unionByName(bridged).distinct()
-        links = links.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else links.cache()
+    """Links with pass-through nodes taken out: each source meets each target (J3). ``passing`` has (material, node).
+
+    Links that touch no pass-through node stay as they are, and are read once. From each other source only what has reached a
+    pass-through node goes on, a hop a round, until nothing new is reached; so a round moves the frontier and the links out of
+    pass-through nodes, and rounds are as many as the longest chain."""
+    through = passing.select(material, "node").distinct()
+    columns = [material, "from_node", "from_slot", "to_node", "to_slot"]
+    marked = written(_marked(_marked(links.select(*columns), through, material, "from_node", "_from"), through, material, "to_node", "_to"), "links")
+    out = marked.where("NOT _from AND NOT _to").select(*columns)
+    hops = marked.where("_from").select(material, F.col("from_node").alias("_mid"), F.col("to_node").alias("_next"), F.col("to_slot").alias("_slot"), F.col("_to").alias("_on"))
+    at = [material, "from_node", "from_slot", "_mid"]
+    frontier = written(marked.where("NOT _from AND _to").select(material, "from_node", "from_slot", F.col("to_node").alias("_mid")).distinct(), "frontier")
+    seen = frontier
+    while frontier.take(1):
+        step = frontier.join(hops, [material, "_mid"])
+        ends = written(step.where("NOT _on").select(material, "from_node", "from_slot", F.col("_next").alias("to_node"), F.col("_slot").alias("to_slot")).distinct(), "ends")
+        out = out.unionByName(ends.where("from_node <> to_node"))
+        frontier = written(step.where("_on").select(material, "from_node", "from_slot", F.col("_next").alias("_mid")).distinct().join(seen, at, "left_anti"), "frontier")
+        seen = seen.unionByName(frontier)
+    return out.distinct()
 
 
 def folded(links: DataFrame, constants: DataFrame, material: str) -> tuple[DataFrame, DataFrame]:
@@ -95,6 +110,52 @@ def folded(links: DataFrame, constants: DataFrame, material: str) -> tuple[DataF
     return links.join(known, [material, "from_node"], "left_anti"), params
 
 
+def folded_typed(links: DataFrame, constants: DataFrame, passing: DataFrame, material: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Constants folded into the sockets that they feed, as these sockets have them (J4): the links that are left, the parameter rows
+    (material, node, slot, value), and what does not fit (material, node, slot, kind, to_kind).
+
+    ``links`` has ``to_kind``, what its target socket takes: float, vector, color or shader. ``constants`` has (material, node, value, kind),
+    the value an array of numbers; ``passing`` has (material, node, kind): such a node hands a value on as its own kind. Constants go
+    hop by hop, a round each, until none goes on. A shader can't be set, so a constant that feeds one becomes an emission node,
+    one for each constant: its number is -1 - the constant's, which no other node has and every task gives alike; its colour (slot 0)
+    is the constant's."""
+    through = passing.select(material, "node", F.col("kind").alias("_as"))
+    marked = written(_marked(links, through, material, "to_node", "_on", "_as"), "links")
+    start = constants.select(material, F.col("node").alias("_origin"), F.col("node").alias("from_node"), "value", "kind")
+    at = [material, "_origin", "from_node", "value", "kind"]
+    frontier = written(start, "frontier")
+    seen, reached = frontier, None
+    while frontier.take(1):
+        step = written(frontier.join(marked, [material, "from_node"]), "step")
+        reached = step.where("NOT _on") if reached is None else reached.unionByName(step.where("NOT _on"))
+        lost = step.where("_on").withColumn("value", convert("kind", "_as"))
+        reached = reached.unionByName(lost.where("value IS NULL").withColumn("to_kind", F.col("_as")))
+        frontier = written(lost.where("value IS NOT NULL").select(material, "_origin", F.col("to_node").alias("from_node"), "value", F.col("_as").alias("kind")).distinct().join(seen, at, "left_anti"), "frontier")
+        seen = seen.unionByName(frontier)
+    left = links.join(seen.select(material, "from_node").distinct(), [material, "from_node"], "left_anti")
+    if reached is None:
+        return left, links.select(material, F.col("to_node").alias("node"), F.col("to_slot").alias("slot"), F.array().cast("array<double>").alias("value")).limit(0), links.select(material, F.col("to_node").alias("node"), F.col("to_slot").alias("slot"), F.lit("").alias("kind"), "to_kind").limit(0)
+    shaders = reached.where("to_kind = 'shader' AND NOT _on")
+    others = reached.where("to_kind <> 'shader' OR _on").withColumn("_set", F.when(~F.col("_on"), convert("kind", "to_kind")))
+    target = [material, F.col("to_node").alias("node"), F.col("to_slot").alias("slot")]
+    params = others.where("_set IS NOT NULL").select(*target, F.col("_set").alias("value")).distinct()
+    wrong = others.where("_set IS NULL").select(*target, "kind", "to_kind").distinct()
+    number = -1 - F.col("_origin")
+    own = start.join(shaders.select(material, "_origin").distinct(), [material, "_origin"], "left_semi")
+    params = params.unionByName(own.select(material, number.alias("node"), F.lit(0).cast(links.schema["to_slot"].dataType).alias("slot"), convert("kind", F.lit("color")).alias("value")))
+    lit = shaders.select(material, number.alias("from_node"), F.lit(0).cast(links.schema["from_slot"].dataType).alias("from_slot"), "to_node", "to_slot", "to_kind").distinct()
+    return left.select(*lit.columns).unionByName(lit), params, wrong
+
+
+KINDS = ("float", "vector", "color")
+
+
+def convert(kind: str, target: str | Column) -> Column:
+    """The column ``value`` of the kind in one column as that of another has it (H25); null if they do not fit."""
+    target = F.col(target) if isinstance(target, str) else target
+    return F.coalesce(*[F.when((F.col(kind) == a) & (target == b), converted(F.col("value"), a, b)) for a in KINDS for b in KINDS])
+
+
 def replaced(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """Undefined nodes, with the known type whose ordered slots are the same (J5); null where none is. ``known`` is the small table (type, slots)."""
     return nodes.join(F.broadcast(known.groupBy("slots").agg(F.min("type").alias("replacement"))), "slots", "left")

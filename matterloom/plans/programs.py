@@ -112,12 +112,33 @@ def _links(t):
     return links.where("from_node <> to_node").distinct()
 
 
-@query(f"""WITH RECURSIVE {LINKS}, r AS (SELECT l_orderkey, max(to_node) AS root FROM l GROUP BY ALL), c AS (SELECT l_orderkey, root AS node FROM r UNION SELECT l.l_orderkey, from_node FROM l JOIN c ON l.l_orderkey = c.l_orderkey AND to_node = node)
-  SELECT l_orderkey, count(*) AS reached FROM c GROUP BY ALL""")
+# A node's place in the order by depth is its least path of input slots and sources from the root: the paths of all nodes, least first.
+@query(f"""WITH RECURSIVE {LINKS}, r AS (SELECT l_orderkey, max(to_node) AS root FROM l GROUP BY ALL), c(l_orderkey, node, path, nodes) AS (SELECT l_orderkey, root, []::BIGINT[], [root] FROM r
+    UNION SELECT l.l_orderkey, from_node, path || [to_slot::BIGINT, from_node], nodes || [from_node] FROM l JOIN c ON l.l_orderkey = c.l_orderkey AND to_node = node WHERE NOT list_contains(nodes, from_node))
+  SELECT l_orderkey, node, row_number() OVER (PARTITION BY l_orderkey ORDER BY path) - 1 AS pos FROM (SELECT l_orderkey, node, min(path) AS path FROM c GROUP BY ALL)""")
 def reachable_order(t):
     links = _links(t)
     roots = links.groupBy("l_orderkey").agg(F.max("to_node").alias("root"))
-    return graph.ordered(links.join(roots, "l_orderkey"), "l_orderkey", "root").groupBy("l_orderkey").agg(F.count("*").alias("reached"))
+    return graph.ordered(links.join(roots, "l_orderkey"), "l_orderkey", "root")
+
+
+@query(f"""WITH RECURSIVE {LINKS}, r AS (SELECT l_orderkey, max(to_node) AS root FROM l GROUP BY ALL), c(l_orderkey, node, depth) AS (SELECT l_orderkey, root, 0 FROM r
+    UNION SELECT l.l_orderkey, from_node, depth + 1 FROM l JOIN c ON l.l_orderkey = c.l_orderkey AND to_node = node WHERE depth < 60)
+  SELECT l_orderkey, depth, count(*) AS n FROM (SELECT l_orderkey, node, min(depth) AS depth FROM c GROUP BY ALL) GROUP BY ALL""")
+def breadth_levels(t):
+    """Nodes by depth, from the breadth-first order (J2): a node is one deeper than the first of its users in that order."""
+    links = _links(t)
+    roots = links.groupBy("l_orderkey").agg(F.max("to_node").alias("root"))
+    order = graph.ordered(links.join(roots, "l_orderkey"), "l_orderkey", "root", "bfs")
+    back = graph.ordered(links.join(roots, "l_orderkey"), "l_orderkey", "root", "reversed").withColumnRenamed("pos", "back")
+    last = order.groupBy("l_orderkey").agg(F.max("pos").alias("last"))
+    placed = order.join(back, ["l_orderkey", "node"]).join(last, "l_orderkey").where(F.col("pos") + F.col("back") == F.col("last")).select("l_orderkey", "node", "pos")
+    user = links.join(placed.select("l_orderkey", F.col("node").alias("to_node"), F.col("pos").alias("at")), ["l_orderkey", "to_node"])
+    first = placed.join(user.groupBy("l_orderkey", F.col("from_node").alias("node")).agg(F.min("at").alias("user")), ["l_orderkey", "node"], "left").withColumn("user", F.when(F.col("pos") > 0, F.col("user")))
+    depth = first.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "user"))), lambda x: F.coalesce(x["user"], F.lit(-1))).alias("users"))
+    # A graph has at most a few hundred nodes, so its depths are one array.
+    levels = F.aggregate("users", F.array().cast("array<int>"), lambda d, u: F.concat(d, F.array(F.when(u < 0, 0).otherwise(F.get(d, u.cast("int")) + 1))))
+    return depth.select("l_orderkey", F.explode(levels).alias("depth")).groupBy("l_orderkey", "depth").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH RECURSIVE {LINKS}, p AS (SELECT l_orderkey, from_node, from_slot, to_node, to_slot FROM l WHERE from_node % 4 <> 0 UNION SELECT p.l_orderkey, p.from_node, p.from_slot, l.to_node, l.to_slot FROM p JOIN l ON l.l_orderkey = p.l_orderkey AND l.from_node = p.to_node WHERE p.to_node % 4 = 0)
@@ -133,3 +154,38 @@ def constant_fold(t):
     links = _links(t)
     constants = links.where("from_node % 3 = 0").select("l_orderkey", F.col("from_node").alias("node"), (F.col("from_node") / 10).alias("value")).distinct()
     return graph.folded(links, constants, "l_orderkey")[1]
+
+
+def _as_sql(value: str, kind: str, target: str) -> str:
+    """A value as another kind has it, in SQL; null if they do not fit."""
+    unit = lambda x: f"least(greatest({x}, 0.0), 1.0)"
+    mean = f"[({value}[1] + {value}[2] + {value}[3]) / 3]"
+    table = {
+        ("float", "vector"): f"[{value}[1], {value}[1], {value}[1]]",
+        ("float", "color"): f"[{', '.join([unit(value + '[1]')] * 3)}, 1.0]",
+        ("vector", "float"): mean,
+        ("vector", "color"): f"[{', '.join(unit(f'{value}[{k}]') for k in (1, 2, 3))}, 1.0]",
+        ("color", "float"): mean,
+        ("color", "vector"): f"{value}[1:3]",
+    }
+    return "CASE " + " ".join(f"WHEN {kind} = '{a}' AND {target} = '{b}' THEN {x}" for (a, b), x in table.items()) + f" WHEN {kind} = {target} THEN {value} END"
+
+
+FOLDS = f"""WITH RECURSIVE {LINKS}, k AS (SELECT *, CASE to_slot WHEN 1 THEN 'float' WHEN 2 THEN 'vector' WHEN 3 THEN 'color' WHEN 4 THEN 'shader' ELSE 'string' END AS to_kind, CASE WHEN to_node % 4 = 0 THEN CASE to_node % 3 WHEN 0 THEN 'float' WHEN 1 THEN 'vector' ELSE 'color' END END AS via FROM l),
+  s(l_orderkey, origin, node, value, kind) AS (SELECT DISTINCT l_orderkey, from_node, from_node, [from_node / 50 - 0.3]::DOUBLE[], 'float' FROM l WHERE from_node % 3 = 0 AND from_node % 4 <> 0
+    UNION SELECT k.l_orderkey, s.origin, k.to_node, ({_as_sql('s.value', 's.kind', 'k.via')})::DOUBLE[], k.via FROM s JOIN k ON k.l_orderkey = s.l_orderkey AND k.from_node = s.node WHERE k.via IS NOT NULL),
+  e AS (SELECT k.l_orderkey, origin, k.to_node, k.to_slot, k.to_kind, s.kind, ({_as_sql('s.value', 's.kind', 'k.to_kind')})::DOUBLE[] AS value FROM s JOIN k ON k.l_orderkey = s.l_orderkey AND k.from_node = s.node WHERE k.via IS NULL)"""
+
+
+@query(FOLDS + f""" SELECT DISTINCT l_orderkey, to_node AS node, to_slot AS slot, list_transform(value, lambda x: round(x, 6)) AS value FROM e WHERE value IS NOT NULL
+  UNION ALL SELECT DISTINCT e.l_orderkey, -1 - origin, 0, list_transform({_as_sql('s.value', "'float'", "'color'")}, lambda x: round(x, 6)) FROM e JOIN s USING (l_orderkey, origin) WHERE to_kind = 'shader' AND s.node = origin""")
+def constant_fold_typed(t):
+    to = F.col("to_slot")
+    kind = F.when(to == 1, "float").when(to == 2, "vector").when(to == 3, "color").when(to == 4, "shader").otherwise("string")
+    links = _links(t).withColumn("to_kind", kind)
+    ends = lambda c: links.select("l_orderkey", F.col(c).alias("node"))
+    number = F.col("node") / 50 - 0.3
+    constants = ends("from_node").where("node % 3 = 0 AND node % 4 <> 0").distinct().select("l_orderkey", "node", F.array(number.cast("double")).alias("value"), F.lit("float").alias("kind"))
+    passing = ends("to_node").where("node % 4 = 0").distinct().withColumn("kind", F.when(F.col("node") % 3 == 0, "float").when(F.col("node") % 3 == 1, "vector").otherwise("color"))
+    params = graph.folded_typed(links, constants, passing, "l_orderkey")[1]
+    return params.withColumn("value", F.transform("value", lambda x: F.round(x, 6)))

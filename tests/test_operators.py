@@ -306,3 +306,24 @@ def test_image_leaks_takes_the_nearest_of_the_similar(spark):
     schema = "id long, height int, width int, data binary, v array<double>"
     got = dedup.image_leaks(spark.createDataFrame(rows_, schema), spark.createDataFrame(refs, schema), "id", "v", 0.99, 0.2)
     assert rows(got, "id", "nearest", "distance", "similar") == [(1, 11, 0.1, 3)]
+
+
+def test_constants_go_through_typed_nodes(spark):
+    links = [("m", 1, 0, 10, 0, "color"), ("m", 10, 0, 11, 0, "color"), ("m", 11, 0, 20, 3, "color"), ("m", 1, 0, 21, 0, "shader"), ("m", 10, 0, 22, 1, "shader"), ("m", 1, 0, 23, 0, "string"), ("m", 20, 0, 30, 0, "shader"), ("n", 1, 0, 2, 0, "float")]
+    df = spark.createDataFrame(links, "mat string, from_node int, from_slot int, to_node int, to_slot int, to_kind string")
+    constants = spark.createDataFrame([("m", 1, [2.0], "float")], "mat string, node int, value array<double>, kind string")
+    passing = spark.createDataFrame([("m", 10, "vector"), ("m", 11, "float")], "mat string, node int, kind string")
+    left, params, wrong = graph.folded_typed(df, constants, passing, "mat")
+    assert rows(params, "node", "slot", "value") == [(-2, 0, [1.0, 1.0, 1.0, 1.0]), (20, 3, [1.0, 1.0, 1.0, 1.0])]
+    assert rows(wrong, "node", "slot", "kind", "to_kind") == [(23, 0, "float", "string")]
+    assert rows(left, "mat", "from_node", "to_node", "to_slot") == [("m", -2, 21, 0), ("m", -2, 22, 1), ("m", 20, 30, 0), ("n", 1, 2, 0)]
+    none = graph.folded_typed(df, constants.limit(0), passing, "mat")
+    assert none[0].count() == 8 and none[1].count() == none[2].count() == 0
+
+
+def test_contraction_of_chains_and_cycles(spark):
+    links = [("m", 1, 0, 10, 0), ("m", 10, 0, 11, 0), ("m", 11, 0, 12, 0), ("m", 12, 0, 10, 0), ("m", 12, 0, 2, 5), ("m", 11, 0, 1, 1), ("m", 3, 0, 2, 1), ("m", 13, 0, 2, 2), ("m", 3, 1, 14, 0)]
+    df = spark.createDataFrame(links, "mat string, from_node int, from_slot int, to_node int, to_slot int")
+    passing = spark.createDataFrame([("m", k) for k in (10, 11, 12, 13, 14)] * 2, "mat string, node int")
+    assert rows(graph.contracted(df, passing, "mat"), "from_node", "from_slot", "to_node", "to_slot") == [(1, 0, 2, 5), (3, 0, 2, 1)]
+    assert graph.contracted(df, passing.limit(0), "mat").count() == 9
