@@ -29,10 +29,27 @@ def sig_key(kind: Column, group: Column) -> Column:
     return F.when(kind == GROUP, F.concat(F.lit("node_groups/"), group)).otherwise(kind)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, whatever the number of times it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def typed(value: Column) -> Column:
     """A value by its type; null for no value. Whole numbers and others are alike, and -0 is 0."""
-    schema = F.schema_of_variant(value)
-    kind = (
+    plain = lambda x: x + F.lit(0.0)
+
+    def read(kind: Column) -> Column:
+        get = lambda k, t: F.when(kind == k, F.try_variant_get(value, "$", t))
+        vec, pts = get("vec", "array<double>"), get("pts", "array<array<double>>")
+        parts = {"num": plain(get("num", "double")), "text": get("text", "string"), "flag": get("flag", "boolean"), "vec": F.transform(vec, plain), "pts": F.transform(pts, lambda p: F.transform(p, plain))}
+        # With its names as arguments, since aliases get lost inside a lambda.
+        return F.when(kind.isNotNull(), F.named_struct(F.lit("kind"), kind, *[x for n, c in parts.items() for x in (F.lit(n), c)]))
+
+    return _once(_once(F.schema_of_variant(value), _kind), read)
+
+
+def _kind(schema: Column) -> Column:
+    return (
         F.when(schema.isNull() | (schema == "VOID"), None)
         .when(schema == "STRING", "text")
         .when(schema == "BOOLEAN", "flag")
@@ -41,26 +58,23 @@ def typed(value: Column) -> Column:
         .when(schema.startswith("OBJECT"), "object")
         .otherwise("num")
     )
-    get = lambda k, t: F.when(kind == k, F.try_variant_get(value, "$", t))
-    plain = lambda x: x + F.lit(0.0)
-    vec, pts = get("vec", "array<double>"), get("pts", "array<array<double>>")
-    parts = {"num": plain(get("num", "double")), "text": get("text", "string"), "flag": get("flag", "boolean"), "vec": F.transform(vec, plain), "pts": F.transform(pts, lambda p: F.transform(p, plain))}
-    # With its names as arguments, since aliases get lost inside a lambda.
-    return F.when(kind.isNotNull(), F.named_struct(F.lit("kind"), kind, *[x for n, c in parts.items() for x in (F.lit(n), c)]))
 
 
 def fields(value: Column) -> Column:
     """The fields of a value: those of a ramp or curve, else one without a name."""
-    schema = F.schema_of_variant(value)
     one = lambda name: F.named_struct(F.lit("field"), F.lit(name), F.lit("value"), F.try_variant_get(value, f"$.{name}", "variant"))
     curves = F.coalesce(F.try_variant_get(value, "$.curves", "array<variant>"), F.array().cast("array<variant>"))
     curve = F.concat(F.array(one("use_clip")), F.transform(curves, lambda c, i: F.named_struct(F.lit("field"), F.concat(F.lit("curves_"), i), F.lit("value"), c)))
-    is_object = schema.startswith("OBJECT")
-    return (
-        F.when(is_object & schema.contains("elements:"), F.array(*[one(n) for n in (*RAMP, "elements")]))
-        .when(is_object, curve)
-        .otherwise(F.array(F.named_struct(F.lit("field"), F.lit(""), F.lit("value"), value)))
-    )
+
+    def read(schema: Column) -> Column:
+        is_object = schema.startswith("OBJECT")
+        return (
+            F.when(is_object & schema.contains("elements:"), F.array(*[one(n) for n in (*RAMP, "elements")]))
+            .when(is_object, curve)
+            .otherwise(F.array(F.named_struct(F.lit("field"), F.lit(""), F.lit("value"), value)))
+        )
+
+    return _once(F.schema_of_variant(value), read)
 
 
 def _whole(value: Column) -> Column:
@@ -84,8 +98,12 @@ def slots(signatures: DataFrame) -> DataFrame:
     colour = ~attr & dtype.startswith("Color")
     low, high = (F.when(ranged, F.coalesce(F.col(c), F.when(colour, F.lit(unit)).otherwise(F.lit(bound)))) for c, unit, bound in (("min", 0.0, -BOUND), ("max", 1.0, BOUND)))
     words = F.when(attr & (dtype == "str"), F.col("enum"))
-    slot = F.struct(number.cast("int").alias("id"), "category", "name", "dtype", "default", low.alias("low"), high.alias("high"), words.alias("words"))
-    return rows.groupBy("sig_key").agg(F.collect_list(slot).alias("slots"))
+    # The default's fields are read here, once a type, and not once a node.
+    slot = F.struct(number.cast("int").alias("id"), "category", "name", "dtype", "default", _whole(F.col("default")).alias("usual"), low.alias("low"), high.alias("high"), words.alias("words"))
+    listed = rows.groupBy("sig_key").agg(F.collect_list(slot).alias("slots"))
+    # In the order of their numbers, so that a number is a place.
+    place = F.sequence(F.lit(0), F.array_max(F.transform("slots", lambda x: x["id"])))
+    return listed.select("sig_key", F.transform(place, lambda k: F.get(F.filter("slots", lambda x: x["id"] == k), 0)).alias("slots"))
 
 
 def with_slots(nodes: DataFrame, types: DataFrame, hot: int = HOT, how: str = "inner") -> DataFrame:
@@ -113,17 +131,16 @@ def analysed(nodes: DataFrame, signatures: DataFrame, hot: int = HOT) -> DataFra
     """Nodes with their ``linked_input`` and the ``params`` that differ from their types' defaults (B9). ``nodes`` has type, group_type and
     the whole ``state``: an array of (category, pos, name, linked, value). Linked inputs are only listed; other slots are held against the
     signature by number. Where a name is not the signature's, ``problem`` says so."""
-    keyed = nodes.withColumn("sig_key", sig_key(F.col("type"), F.col("group_type")))
-    inputs = F.size(F.filter("state", lambda s: s["category"] == "input"))
-    outputs = F.size(F.filter("state", lambda s: s["category"] == "output"))
-    met = with_slots(keyed, slots(signatures), hot)
     value_node = F.col("type").isin(*VALUES)
-    number = lambda s: s["pos"] + F.when(s["category"] == "input", 0).when(s["category"] == "output", inputs).otherwise(inputs + F.when(value_node, outputs).otherwise(0))
-    of = lambda s: F.get(F.filter("slots", lambda x: x["id"] == number(s)), 0)
+    of_kind = lambda c: F.size(F.filter("state", lambda s: s["category"] == c))
+    keyed = nodes.withColumn("sig_key", sig_key(F.col("type"), F.col("group_type"))).withColumns({"_in": of_kind("input"), "_out": F.when(value_node, of_kind("output")).otherwise(0)})
+    met = with_slots(keyed, slots(signatures), hot)
+    number = lambda s: s["pos"] + F.when(s["category"] == "input", 0).when(s["category"] == "output", F.col("_in")).otherwise(F.col("_in") + F.col("_out"))
+    of = lambda s: F.get("slots", number(s).cast("int"))
     seen = F.filter("state", lambda s: (s["category"] == "input") | ((s["category"] == "output") & value_node) | ((s["category"] == "attr") & (F.col("type") != GROUP)))
     free = F.filter(seen, lambda s: ~((s["category"] == "input") & F.coalesce(s["linked"], F.lit(False))))
     linked = F.transform(F.filter("state", lambda s: (s["category"] == "input") & F.coalesce(s["linked"], F.lit(False))), lambda s: s["pos"])
-    held = F.transform(free, lambda s: F.named_struct(F.lit("id"), number(s).cast("int"), F.lit("given"), s["name"], F.lit("name"), of(s)["name"], F.lit("value"), s["value"], F.lit("same"), same(s["value"], of(s)["default"])))
+    held = F.transform(free, lambda s: F.named_struct(F.lit("id"), number(s).cast("int"), F.lit("given"), s["name"], F.lit("name"), of(s)["name"], F.lit("value"), s["value"], F.lit("same"), _whole(s["value"]).eqNullSafe(of(s)["usual"])))
     wrong = F.filter("_held", lambda h: ~h["given"].eqNullSafe(h["name"]))
     problem = F.when(F.size(wrong) > 0, F.concat(F.lit("Slot name mismatch: '"), F.get(wrong, 0)["given"], F.lit("' != '"), F.coalesce(F.get(wrong, 0)["name"], F.lit("")), F.lit("'")))
     params = F.transform(F.filter("_held", lambda h: ~h["same"]), lambda h: F.named_struct(F.lit("id"), h["id"], F.lit("name"), h["name"], F.lit("value"), h["value"]))
@@ -140,9 +157,8 @@ def observations(nodes: DataFrame, signatures: DataFrame, keys: list[str], hot:
     met = met.where(~F.array_contains("linked_input", F.col("s.id")) & ((F.col("s.category") == "attr") | (F.schema_of_variant("s.default") != "VOID")))
     given = F.get(F.filter("params", lambda p: p["id"] == F.col("s.id")), 0)["value"]
     met = met.select(*keys, "sig_key", "s", given.alias("given")).withColumn("implied", F.col("given").isNull())
-    usual = F.transform(fields(F.col("s.default")), lambda f: F.named_struct(F.lit("field"), f["field"], F.lit("v"), typed(f["value"])))
-    met = met.withColumns({"f": F.explode(fields(F.when(F.col("implied"), F.col("s.default")).otherwise(F.col("given")))), "usual": usual})
-    met = met.withColumns({"value": typed(F.col("f.value")), "own": F.get(F.filter("usual", lambda u: u["field"] == F.col("f.field")), 0)["v"]})
+    met = met.withColumn("f", F.explode(F.when(F.col("implied"), F.col("s.usual")).otherwise(_whole(F.col("given")))))
+    met = met.withColumns({"value": F.col("f.v"), "own": F.get(F.filter("s.usual", lambda u: u["field"] == F.col("f.field")), 0)["v"]})
     name, ends = F.col("f.field"), F.col("own.pts")
     curve = name.startswith("curves_")
     low = F.when(curve, F.get(F.get(ends, 0), 0)).when(name == "elements", 0.0).otherwise(F.col("s.low"))
@@ -186,7 +202,7 @@ def with_unseen(counted: DataFrame, signatures: DataFrame) -> DataFrame:
     """:func:`counters` with the parameters of seen types that no node left free, which count as one observation of the default."""
     every = slots(signatures).join(counted.select("sig_key").distinct(), "sig_key", "left_semi").select("sig_key", F.explode("slots").alias("s"))
     every = every.where((F.col("s.category") == "attr") | (F.schema_of_variant("s.default") != "VOID"))
-    every = every.select("sig_key", F.col("s.id").alias("id"), F.col("s.name").alias("name"), F.explode(fields(F.col("s.default"))).alias("f")).withColumn("v", typed(F.col("f.value")))
+    every = every.select("sig_key", F.col("s.id").alias("id"), F.col("s.name").alias("name"), F.explode("s.usual").alias("f")).withColumn("v", F.col("f.v"))
     numbers = components(F.col("v"))
     one = every.select("sig_key", "id", "name", F.col("f.field").alias("field"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("default_count"), F.lit(0).cast("long").alias("outlier_count"), F.array_min(numbers).alias("lo"), F.array_max(numbers).alias("hi"))
     return counted.unionByName(one.join(counted, ["sig_key", "id", "name", "field"], "left_anti"))
