@@ -4,10 +4,11 @@ Every page's containers are scored by the words of their text, less what stands
 content. A page votes for its best container's path of tags and classes, generalised (digits dropped, classes in
 order). The votes of a host are added up in Spark; then every page is read again and the text is taken from the
 containers on the winning path with most votes that holds a fair share (``FAIR``) of the score of the page's own best
-container, else from that.
+container, else from that. A path does not take content away: text of the page's own best container stays too, unless its path
+is one that more of the host's pages leave out of their best containers than hold in them.
 
-A path wins if at least two pages and ``SHARE`` of the host's vote are for it, so a host has 1 / ``SHARE`` winning paths at
-most, and a path that one page alone has voted for is that page's own best container anyway.
+A path wins if at least two pages and ``SHARE`` of the host's vote are for it, so a host has 1 / ``SHARE`` (1,000) winning paths at
+most; beyond them pages are read from their own best containers, whose text stays anyway. A path that one page alone has voted for is that page's own best container.
 
 Plan: two maps over the pages with a small aggregation between. Votes are summed before the shuffle, so a host with a
 third of all pages costs no more than its few paths. Paths are 64-bit hashes, made step by step. The winning paths go to
@@ -29,7 +30,7 @@ from html import unescape
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, strings, written
@@ -38,7 +39,7 @@ from .common import slices, strings, written
 SHARE = 0.001
 #: The part of the score of a page's own best container that the containers on a winning path must have.
 FAIR = 0.2
-#: Winning paths that are broadcast at most.
+#: Winning paths, and paths that are left out, that are broadcast at most.
 BROADCAST = 1_000_000
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -295,15 +296,24 @@ def best(nodes: list[Node]) -> Node | None:
     return max(found, key=lambda n: (score(n), n.level, -n.order), default=None)
 
 
-def extract(html: str, paths: list[str]) -> str:
-    """The text in the containers on the first of ``paths`` that holds a fair share of the page, else in its best container, else of the page."""
-    return extract_by_keys(html, [path_key(p) for p in paths])
+def extract(html: str, paths: list[str], left: list[str] = ()) -> str:
+    """The text in the containers on the first of ``paths`` that holds a fair share of the page, with what else stands in the page's best
+    container and on no path of ``left``; else that in its best container, else all of the page's."""
+    return extract_by_keys(html, [path_key(p) for p in paths], {path_key(p) for p in left})
 
 
-def extract_by_keys(html: str, keys: list[int]) -> str:
+def _within(nodes: list[Node], roots: set[int]) -> list[bool]:
+    """For each node, whether it or one above it is among ``roots``."""
+    out = [False] * len(nodes)
+    for n in nodes:
+        out[n.order] = n.order in roots or n.parent is not None and out[n.parent.order]
+    return out
+
+
+def extract_by_keys(html: str, keys: list[int], left: set[int] | frozenset[int] = frozenset()) -> str:
     nodes, blocks = read_page(html)
     own = best(nodes)
-    inside = {(own or nodes[0]).order}
+    mine = within = _within(nodes, {(own or nodes[0]).order})
     if keys and own is not None:
         wanted, on = set(keys), {}
         for n in nodes:
@@ -311,12 +321,9 @@ def extract_by_keys(html: str, keys: list[int]) -> str:
                 on.setdefault(n.key, []).append(n)
         for key in keys:
             if key in on and sum(map(score, on[key])) >= FAIR * score(own):
-                inside = {n.order for n in on[key]}
+                within = _within(nodes, {n.order for n in on[key]})
                 break
-    within = [False] * len(nodes)
-    for n in nodes:
-        within[n.order] = n.order in inside or n.parent is not None and within[n.parent.order]
-    return " ".join(text for node, text in blocks if within[node.order] and _usable(node))
+    return " ".join(text for node, text in blocks if (within[node.order] or mine[node.order] and node.key not in left) and _usable(node))
 
 
 def with_host(pages: DataFrame, url: str) -> DataFrame:
@@ -324,8 +331,8 @@ def with_host(pages: DataFrame, url: str) -> DataFrame:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE) -> DataFrame:
-    """(_host, _paths): the hashes of each host's winning paths, those with most votes first. A page's vote weighs as the logarithm
-    of its container's score."""
+    """(_host, _paths, _left): the hashes of each host's winning paths, those with most votes first, and of the paths of text that more of
+    its pages leave out than hold in their best containers. A page's vote weighs as the logarithm of its container's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import math
@@ -333,17 +340,25 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html", share: fl
         for batch in slices(batches, "html"):
             rows = []
             for host, page in zip(batch.column("_host").to_pylist(), strings(batch.column("html")), strict=True):
-                won = best(read_page(page)[0])
+                nodes, blocks = read_page(page)
+                won = best(nodes)
                 if won is not None:
-                    rows.append((host, signed(won.key), round(1000 * math.log1p(score(won)))))
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["_host", "path", "vote"])
-
-    votes = with_host(pages, url).where("_host <> ''").select("_host", F.col(html).alias("html")).mapInArrow(run, "_host string, path long, vote long")
-    votes = votes.groupBy("_host", "path").agg(F.sum("vote").alias("vote"), F.count("*").alias("pages"))
-    whole = F.sum("vote").over(Window.partitionBy("_host"))
-    top = votes.withColumn("whole", whole).where((F.col("pages") > 1) & (F.col("vote") >= share * F.col("whole")))
-    return top.groupBy("_host").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("vote"), "path"))), lambda x: x["path"]).alias("_paths"))
+                    rows.append((host, signed(won.key), round(1000 * math.log1p(score(won))), 0))
+                    mine = _within(nodes, {won.order})
+                    inside = {n.key for n, _ in blocks if _usable(n) and mine[n.order]}
+                    outside = {n.key for n, _ in blocks if _usable(n) and not mine[n.order]}
+                    rows += [(host, signed(k), 0, -1) for k in inside - outside] + [(host, signed(k), 0, 1) for k in outside - inside]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["_host", "path", "vote", "out"])
+
+    votes = with_host(pages, url).where("_host <> ''").select("_host", F.col(html).alias("html")).mapInArrow(run, "_host string, path long, vote long, out long")
+    votes = votes.groupBy("_host", "path").agg(F.sum("vote").alias("vote"), F.count_if(F.col("vote") > 0).alias("pages"), F.sum("out").alias("out"))
+    # A host's whole vote by partial sums, since a host may hold a third of all pages and have many paths.
+    whole = votes.groupBy("_host").agg(F.sum("vote").alias("whole"))
+    top = votes.where("pages > 1 OR out > 1").join(whole, "_host")
+    wins = (F.col("pages") > 1) & (F.col("vote") >= share * F.col("whole"))
+    listed = top.groupBy("_host").agg(F.array_sort(F.collect_list(F.when(wins, F.struct(-F.col("vote"), "path")))).alias("won"), F.collect_list(F.when(F.col("out") > 1, F.col("path"))).alias("_left"))
+    return listed.select("_host", F.transform("won", lambda x: x["path"]).alias("_paths"), "_left")
 
 
 def signed(key: int) -> int:
@@ -353,14 +368,18 @@ def signed(key: int) -> int:
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     paths = written(host_paths(pages, url, html), "paths")
-    count = paths.agg(F.sum(F.size("_paths"))).first()[0] or 0
+    count = paths.agg(F.sum(F.size("_paths") + F.size("_left"))).first()[0] or 0
     near = F.broadcast(paths) if count <= broadcast else paths
     kinds = [pages.schema[c].dataType.simpleString() for c in (page_id, url)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [extract_by_keys(page, [k % (1 << 64) for k in keys or []]) for page, keys in zip(strings(batch.column("html")), batch.column("_paths").to_pylist(), strict=True)]
+            texts, known = [], {}
+            for page, host, keys, left in zip(strings(batch.column("html")), *(batch.column(c).to_pylist() for c in ("_host", "_paths", "_left")), strict=True):
+                if host not in known:
+                    known[host] = [k % (1 << 64) for k in keys or []], {k % (1 << 64) for k in left or []}
+                texts.append(extract_by_keys(page, *known[host]))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = with_host(pages, url).select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), "_host").join(near, "_host", "left").drop("_host")
+    rows = with_host(pages, url).select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), "_host").join(near, "_host", "left")
     return rows.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

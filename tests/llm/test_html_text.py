@@ -102,10 +102,26 @@ def test_votes_against_a_plain_count(spark):
         if won:
             want[host] = [k for _, k in won]
     pages = spark.createDataFrame([*rows, (900, None, rows[0][2]), (901, "odd", rows[0][2])], "page_id int, url string, html string")
-    got = {x._host: x._paths for x in h.host_paths(pages).collect()}
+    got = {x._host: x._paths for x in h.host_paths(pages).collect() if x._paths}
     assert got == want and any(len(p) > 8 for p in got.values()) and "" not in got
 
 
+def test_what_other_pages_do_not_leave_out_stays(spark):
+    """Pages with a lead beside the container of most pages keep it; text that most pages leave out goes with the path."""
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice("one two three four five".split()) for _ in range(n))
+    rows, want = [], {}
+    for i in range(10):
+        lead, text, more = words(60), words(100), words(14)
+        # On most pages the last part holds links, and is no part of the page's own best container.
+        tail = f"<div class=more><p>{more if i < 2 else f'<a href=x>{more}</a>'}</p></div>"
+        rows.append((i, "http://d.example/x", f"<body><div class=page>{f'<div class=lead><p>{lead}</p></div>' if i < 2 else ''}<div class=text><p>{text}</p></div>{tail}</div></body>"))
+        want[i] = f"{lead} {text}" if i < 2 else text
+    got = {x.page_id: x.text for x in h.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == want
+    assert h.extract(rows[0][2], [">body>div.page>div.text"]) == f"{want[0]} {h.extract(rows[0][2], []).split(want[0])[1].strip()}"
+
+
 def test_two_templates_of_a_host(spark):
     r = random.Random(2)
     words = lambda n: " ".join(r.choice("one two three four five".split()) for _ in range(n))
