@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import drop, written
@@ -68,13 +68,13 @@ def image_leaks(candidates: DataFrame, references: DataFrame, key: str, vector:
 
 
 def text_leaks(documents: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
-    """Documents that share word n-grams with held-out items: how many grams, and items (C5 on texts). The held-out grams are
-    broadcast up to ``GRAMS``, so of the documents only grams that hit leave a task; beyond that both sides are shuffled."""
+    """Documents that share word n-grams with held-out items: how many grams, and items (C5 on texts). Words are runs of letters of any
+    alphabet, in lower case; grams are 64-bit hashes, so a broadcast of ``GRAMS`` is some 24 MB. The held-out grams are broadcast up to ``GRAMS``, so of the documents only grams that hit leave a task; beyond that both sides are shuffled."""
 
     def grams(rows: DataFrame, key: str) -> DataFrame:
-        words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+        words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
         rows = rows.select(key, words.alias("w")).where(F.size("w") >= n)
-        return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("g"))
+        return rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))).alias("g"))
 
     items = grams(held_out, "item_id").distinct()
     few = items.limit(GRAMS + 1).count() <= GRAMS
@@ -82,15 +82,15 @@ def text_leaks(documents: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.countDistinct("g").alias("shared"), F.countDistinct("item_id").alias("items"))
 
 
-def pixel_pairs(rows: DataFrame, threshold: float, share: float, channels: int = 1) -> DataFrame:
-    """(a, b, same): rows a < b of which more than ``share`` of the pixels differ by at most ``threshold`` in every channel, and how many
+def pixel_pairs(rows: DataFrame, threshold: float, share: float, channels: int = 1, within: str | None = None) -> DataFrame:
+    """(a, b, same): rows a < b (of one value of ``within``, if that is given) of which more than ``share`` of the pixels differ by at most ``threshold`` in every channel, and how many
     do (C6). Values lie within a span of 1.
 
     An index by pigeonholes: if at most m pixels may differ, then of g groups of pixels one has at most m / g that do (none, if
     g > m), and the means of its halves differ by little more than ``threshold``. Rows meet where a group's pair of means is in the
     same cell or the next; only ids and cells are sent there. The values are joined to the pairs that met, each once."""
-    n, epsilon = F.col("n"), ROUNDING
-    pixels = rows.where(F.size("pixels") >= channels).select("id", "pixels", F.floor(F.size("pixels") / channels).alias("n"))
+    n, epsilon, own = F.col("n"), ROUNDING, [within] if within else []
+    pixels = rows.where(F.size("pixels") >= channels).select("id", *own, "pixels", F.floor(F.size("pixels") / channels).alias("n"))
     most = pixels.withColumn("m", F.ceil(n * (1 - share)) - 1).where("m >= 0")
     most = most.withColumn("g", F.least(F.col("m") + 1, F.lit(GROUPS), n))
 
@@ -104,10 +104,10 @@ def pixel_pairs(rows: DataFrame, threshold: float, share: float, channels: int =
         width = lambda length: threshold + wrong / F.greatest(length, F.lit(1)) + epsilon
         return F.struct(j.cast("int").alias("j"), F.floor(mean(start, half) / width(half)).alias("p"), F.floor(mean(start + half, end - start - half) / width(end - start - half)).alias("q"))
 
-    placed = most.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("g").cast("int") - 1), cells)).alias("c")).select("id", "n", "c.*")
+    placed = most.select("id", "n", *own, F.explode(F.transform(F.sequence(F.lit(0), F.col("g").cast("int") - 1), cells)).alias("c")).select("id", "n", *own, "c.*")
     around = F.explode(F.flatten(F.array(*[F.array(*[F.struct((F.col("p") + x).alias("p"), (F.col("q") + y).alias("q")) for y in (-1, 0, 1)]) for x in (-1, 0, 1)])))
-    left = placed.select(F.col("id").alias("a"), "n", "j", around.alias("c")).select("a", "n", "j", "c.p", "c.q")
-    near = left.join(placed.withColumnRenamed("id", "b"), ["n", "j", "p", "q"]).where("a < b").select("a", "b").distinct()
+    left = placed.select(F.col("id").alias("a"), "n", *own, "j", around.alias("c")).select("a", "n", *own, "j", "c.p", "c.q")
+    near = left.join(placed.withColumnRenamed("id", "b"), ["n", *own, "j", "p", "q"]).where("a < b").select("a", "b").distinct()
     values = rows.select("id", "pixels")
     near = near.join(values.toDF("a", "x"), "a").join(values.toDF("b", "y"), "b")
     close = F.zip_with("x", "y", lambda x, y: F.abs(x - y) <= threshold)
@@ -183,19 +183,36 @@ def settled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("id").join(states, "id", "left").select("id", (F.coalesce("kept", F.lit(True)) & F.col("gone").isNull()).alias("stays"), F.col("gone").alias("replaced_by"))
 
 
-def accept_new(trials: DataFrame, threshold: float, share: float) -> DataFrame:
-    """Within each case, trials in order that are no near-duplicate of an accepted one (E5); a case has few trials."""
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trial_id", ignore_index=True)
-        kept: list[np.ndarray] = []
-        out = []
-        for k, p in enumerate(pdf["pixels"]):
-            p = np.asarray(p, np.float64)
-            if all((np.abs(p - q) <= threshold).mean() <= share for q in kept):
-                kept.append(p)
-                out.append(k)
-        return pdf.loc[out, ["case_id", "trial_id"]]
-
-    kinds = [trials.schema[c].dataType.simpleString() for c in ("case_id", "trial_id")]
-    return trials.groupBy("case_id").applyInPandas(accept, f"case_id {kinds[0]}, trial_id {kinds[1]}")
+def accept_new(trials: DataFrame, threshold: float, share: float, channels: int = 1) -> DataFrame:
+    """(case_id, trial_id): within each case, trials in order that are no near-duplicate of an accepted one (E5)."""
+    passed = cascade(trials, None, F.lit(None).cast("string"), F.lit(None).cast("string"), threshold, share, channels)
+    return passed.where("reason IS NULL").select("case_id", "trial_id")
+
+
+#: Fixed value: the reason of a duplicate.
+DUPLICATE = "Duplicate image detected"
+
+
+def cascade(trials: DataFrame, truths: DataFrame | None, before: Column, after: Column, threshold: float, share: float, channels: int = 1) -> DataFrame:
+    """(case_id, trial_id, reason): the first gate that a generated program fails (B16), null if it is accepted. ``before`` and ``after`` are the
+    reasons of the gates before and behind the one on duplicates, null where they pass. A trial is a duplicate if its pixels are
+    nearly those of one of its case's ``truths`` (case_id, pixels), or of an *accepted* trial of its case with a smaller number; one that
+    fails any gate stands in nobody's way.
+
+    Only trials that pass the gates before are compared; those that pass all others, and are near no truth, are settled in rounds
+    (:func:`settled`), and then the rest is held against what was accepted. No case is gathered in a task."""
+    marked = trials.withColumns({"_before": before, "_after": after}).withColumn("id", F.struct(F.col("case_id"), F.col("trial_id").cast("long").alias("trial_id")))
+    free = marked.where("_before IS NULL AND pixels IS NOT NULL").select("id", "case_id", F.col("pixels").cast("array<double>").alias("pixels"))
+    rows = free
+    if truths is not None:
+        # Below all trials, whose numbers are from 0 on.
+        number = (-1 - F.monotonically_increasing_id()).cast("long")
+        real = written(truths.where("pixels IS NOT NULL").select("case_id", F.col("pixels").cast("array<double>").alias("pixels"), number.alias("trial_id")), "truths")
+        rows = free.unionByName(real.select(F.struct("case_id", "trial_id").alias("id"), "case_id", "pixels"))
+    pairs = written(pixel_pairs(rows, threshold, share, channels, within="case_id"), "case-pairs")
+    like_truth = pairs.where("a.trial_id < 0 AND b.trial_id >= 0").select(F.col("b").alias("id")).distinct()
+    may = written(marked.where("_before IS NULL AND _after IS NULL").select("id").join(like_truth, "id", "left_anti"), "may")
+    among = pairs.join(may.select(F.col("id").alias("a")), "a", "left_semi").join(may.select(F.col("id").alias("b")), "b", "left_semi")
+    taken = settled(may.withColumn("cost", F.lit(0.0)), among.select("a", "b", "same")).where("stays").select(F.col("id").alias("a"))
+    twice = pairs.join(taken, "a", "left_semi").select(F.col("b").alias("id")).unionByName(like_truth).distinct().withColumn("_twice", F.lit(DUPLICATE))
+    return marked.join(twice, "id", "left").select("case_id", "trial_id", F.coalesce("_before", "_twice", "_after").alias("reason"))

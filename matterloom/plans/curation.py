@@ -71,7 +71,7 @@ def leak_filter_images(t):
     return dedup.image_leaks(images.where("vec_id % 10 <> 0"), images.where("vec_id % 10 = 0"), "vec_id", "embedding", 0.55, 0.12)
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\pL+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '\pL+') AS w FROM benchmark),
   s AS (SELECT DISTINCT doc_id, list_aggregate(w[i : i + 7], 'string_agg', ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
   r AS (SELECT DISTINCT item_id, list_aggregate(w[i : i + 7], 'string_agg', ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i))
   SELECT doc_id, count(DISTINCT g) AS shared, count(DISTINCT item_id) AS items FROM s JOIN r USING (g) GROUP BY ALL""")
@@ -88,3 +88,25 @@ def leak_filter_text(t):
 def dedup_greedy(t):
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("pixels"), (F.col("vec_id") % 97).alias("cost"))
     return dedup.greedy(rows, threshold=0.06, share=0.5)
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT label AS case_id, vec_id AS trial_id, embedding::DOUBLE[] AS v, CASE WHEN vec_id % 11 = 0 THEN 'No code block found' WHEN vec_id % 13 = 0 THEN 'Rendered image file size too small' END AS before, CASE WHEN vec_id % 7 = 0 THEN 'Code too long' END AS after, vec_id % 50 = 0 AS truth, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings),
+  links AS MATERIALIZED (SELECT a.trial_id AS a, b.trial_id AS b, a.truth FROM e a JOIN e b ON a.case_id = b.case_id AND (a.truth OR a.trial_id < b.trial_id) AND NOT b.truth WHERE (SELECT count(*) FROM (SELECT unnest(a.v) AS x, unnest(b.v) AS y) WHERE abs(x - y) <= 0.06) / 64 > 0.4),
+  g(pos, kept, trial_id, reason) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::VARCHAR
+    UNION ALL SELECT pos, CASE WHEN reason IS NULL AND NOT truth THEN list_append(kept, trial_id) ELSE kept END, trial_id, CASE WHEN truth THEN 'truth' ELSE reason END
+    FROM (SELECT e.pos, kept, e.trial_id, truth, coalesce(before, CASE WHEN EXISTS (FROM links WHERE b = e.trial_id AND (links.truth OR list_contains(kept, a))) THEN 'Duplicate image detected' END, after) AS reason FROM g JOIN e ON e.pos = g.pos + 1))
+  SELECT case_id, g.trial_id, g.reason FROM g JOIN e USING (trial_id) WHERE NOT truth""")
+def generated_cascade(t):
+    k = F.col("vec_id")
+    rows = t.embeddings.select(F.col("label").alias("case_id"), k.alias("trial_id"), F.col("embedding").alias("pixels"))
+    n = F.col("trial_id")
+    before = gates.first_failure((n % 11 == 0, "No code block found"), (n % 13 == 0, "Rendered image file size too small"))
+    return dedup.cascade(rows.where("trial_id % 50 <> 0"), rows.where("trial_id % 50 = 0"), before, gates.first_failure((n % 7 == 0, "Code too long")), 0.06, 0.4)
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT label AS case_id, vec_id AS trial_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings),
+  links AS MATERIALIZED (SELECT a.trial_id AS a, b.trial_id AS b FROM e a JOIN e b ON a.case_id = b.case_id AND a.trial_id < b.trial_id WHERE (SELECT count(*) FROM (SELECT unnest(a.v) AS x, unnest(b.v) AS y) WHERE abs(x - y) <= 0.06) / 64 > 0.4),
+  g(pos, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT e.pos, CASE WHEN EXISTS (FROM links WHERE b = e.trial_id AND list_contains(kept, a)) THEN kept ELSE list_append(kept, e.trial_id) END FROM g JOIN e ON e.pos = g.pos + 1)
+  SELECT label AS case_id, vec_id AS trial_id FROM embeddings WHERE vec_id IN (SELECT unnest(kept) FROM g WHERE pos = (SELECT count(*) FROM e))""")
+def accepted_renders(t):
+    return dedup.accept_new(t.embeddings.select(F.col("label").alias("case_id"), F.col("vec_id").alias("trial_id"), F.col("embedding").alias("pixels")), 0.06, 0.4)

@@ -327,3 +327,18 @@ def test_contraction_of_chains_and_cycles(spark):
     passing = spark.createDataFrame([("m", k) for k in (10, 11, 12, 13, 14)] * 2, "mat string, node int")
     assert rows(graph.contracted(df, passing, "mat"), "from_node", "from_slot", "to_node", "to_slot") == [(1, 0, 2, 5), (3, 0, 2, 1)]
     assert graph.contracted(df, passing.limit(0), "mat").count() == 9
+
+
+def test_a_duplicate_is_one_of_what_was_accepted(spark):
+    a, b, c = [0.1] * 10, [0.5] * 10, [0.9] * 10
+    data = [(1, 0, a, "bad answer", None), (1, 1, a, None, "too long"), (1, 2, a, None, None), (1, 3, a, None, "too long"), (1, 4, b, None, None), (1, 5, c, None, None), (1, 6, None, None, None), (2, 7, b, None, None)]
+    df = spark.createDataFrame(data, "case_id long, trial_id long, pixels array<double>, x string, y string")
+    truths = spark.createDataFrame([(1, c), (1, c), (2, a), (1, None)], "case_id long, pixels array<double>")
+    got = dedup.cascade(df, truths, F.col("x"), F.col("y"), 0.02, 0.95)
+    assert rows(got, "trial_id", "reason") == [(0, "bad answer"), (1, "too long"), (2, None), (3, dedup.DUPLICATE), (4, None), (5, dedup.DUPLICATE), (6, None), (7, None)]
+
+
+def test_leaks_of_texts_in_other_alphabets(spark):
+    held = spark.createDataFrame([(1, "Пример текста для проверки утечки"), (2, "naïve café où déjà vu")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "xx ПРИМЕР текста, для проверки!"), (11, "na ve caf o d j vu"), (12, "Naïve; café — où déjà"), (13, None)], "doc_id long, text string")
+    assert rows(dedup.text_leaks(docs, held, 4), "doc_id", "shared", "items") == [(10, 1, 1), (12, 1, 1)]
