@@ -35,6 +35,13 @@ def short_stem(stem: Column, longest: int = 20) -> Column:
     return F.array_join(F.filter(F.split(stem, "_"), lambda p: (p != "") & (F.length(p) <= longest)), "_")
 
 
+def group_name(name: Column, stem: Column) -> Column:
+    """A node group's identifier; the default name gives way to the short stem of its file (H2)."""
+    name = identifier(name)
+    default = (name == "NodeGroup") | name.startswith("NodeGroup_")
+    return F.when(default, F.concat(short_stem(stem), F.substring(name, 10, 1 << 20))).otherwise(name)
+
+
 def example_id(*parts: Column) -> Column:
     return F.translate(F.concat_ws("-", *parts), " ", "_")
 
@@ -175,6 +182,14 @@ def tool_error(output: Column) -> Column:
     return F.nullif(F.regexp_extract(output, r"(?s)(Error: Python:.*?)Blender quit", 1), F.lit(""))
 
 
+def tool_failure(output: Column, path: Column, there: Column) -> Column:
+    """Why a tool failed (B12): its Python error, else that the file it should have written is not there, by the file's kind; null if it
+    did not fail. ``there`` is whether the file is."""
+    kinds = {".py": "Code", ".jpg": "Rendered image", ".json": "Analysis result"}
+    kind = F.coalesce(*[F.when(path.endswith(e), name) for e, name in kinds.items()], F.concat(F.lit("File '"), path, F.lit("'")))
+    return F.coalesce(tool_error(output), F.when(~there, F.concat(kind, F.lit(" not found"))))
+
+
 def pair_prompt(first: Column, second: Column) -> Column:
     """Two programs in one prompt: functions numbered, imports left out."""
     numbered = lambda c, n: F.trim(F.replace(F.replace(c, F.lit("import bpy"), F.lit("")), F.lit("shader_material"), F.lit(f"shader_material_{n}")))

@@ -147,6 +147,14 @@ def folded_typed(links: DataFrame, constants: DataFrame, passing: DataFrame, mat
     return left.select(*lit.columns).unionByName(lit), params, wrong
 
 
+def slots_renamed(rows: DataFrame, nodes: DataFrame, names: DataFrame, keys: list[str], slot: str) -> DataFrame:
+    """Parameters or link ends of replaced nodes under the slots of their new types (J5): ``nodes`` has the keys and ``replacement``, ``names``
+    the small table (replacement, slot, new_slot). Rows of slots that the new type does not have go; those of other nodes stay."""
+    of = nodes.where("replacement IS NOT NULL").select(*keys, "replacement")
+    met = rows.join(of, keys, "left").join(F.broadcast(names.withColumnRenamed("slot", slot)), ["replacement", slot], "left")
+    return met.where("replacement IS NULL OR new_slot IS NOT NULL").withColumn(slot, F.coalesce("new_slot", slot)).select(*rows.columns)
+
+
 KINDS = ("float", "vector", "color")
 
 

@@ -253,6 +253,14 @@ def noise(x: np.ndarray) -> float:
     return float(np.mean([np.median(np.abs(detail[..., c])) for c in range(detail.shape[2])]) / 0.6745)
 
 
+def noise_ranking(images: DataFrame, scene: str, order: str, digits: int = 6) -> DataFrame:
+    """(scene, order, sigma): the noise of each scene's first image, the noisiest first (D28, F6). Only first images' pixels are read."""
+    first = images.groupBy(scene).agg(F.min(order).alias(order))
+    kept = images.join(first, [scene, order], "left_semi")
+    found = mapped(kept, [scene, order], "sigma double", lambda height, width, data: [(noise(pixels(height, width, data)),)], ["height", "width", "data"])
+    return found.withColumn("sigma", F.round("sigma", digits)).orderBy(F.desc("sigma"), scene)
+
+
 def depth_agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Percent of structural similarity of two depth maps of a scene (D29); infinite depths count as 100."""
 

@@ -33,4 +33,4 @@ def query(sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import chat, curation, folders, media, params, programs, reports, runs, sampling, scenes, search, statistics  # noqa: F401
+    from . import chat, curation, folders, media, params, programs, reports, runs, sampling, scenes, search, statistics, values  # noqa: F401
