@@ -2,8 +2,10 @@
 
 Every word gets the log-odds of standing in toxic rather than other text, with an informative Dirichlet prior in proportion
 to how often it occurs at all, drawn towards 0 by three standard errors; words that lean to clean text get negative ones.
-The beginnings of a word count if they are higher. A small negative drift is added to every word. Near copies count once: a document is
-told by the least hash of its three-word shingles. A linear-time scan finds all maximal-scoring segments of a document's words.
+The beginnings of a word count if they are higher. A negative drift is added to every word, ``DRIFT`` or as much more as makes the words of
+labelled clean text fall by ``DRIFT`` on average: without a fall there is no law of chance segments. All labelled texts teach, but near copies
+of one label share the weight of one text, in the counts of words and in those of texts alike; they are told by the least hash of their
+three-word shingles. A linear-time scan finds all maximal-scoring segments of a document's words.
 A segment's score becomes an expectation under the extreme-value law of chance segments: lambda solves
 ``E[exp(lambda s)] = 1`` over the words of labelled clean text, and K is the one under which the best segments of that
 text's documents are likeliest. The evidence of a document's significant segments, added up, becomes a probability by a
@@ -11,7 +13,8 @@ logistic curve. Words are scored on one part of the labelled texts (by a hash of
 are fitted on the other (one in ``CALIBRATE``), so that the curve is not fooled by scores that fit their own texts.
 
 Plan: labels are drawn up to ``SAMPLE`` rows by hash (all, if there are no more) and broadcast, so the labelled texts
-are found by a join that shuffles no text; they are written once. Words are counted by documents with partial sums; at most
+are found by a join that shuffles no text; they are written once, and joined to the weights of families of several texts, which are
+broadcast. Words are counted by documents with partial sums; at most
 ``WORDS`` words of either kind and as many beginnings, those with most evidence, come to the driver. Law and curve are fitted
 to sums and counts. Scoring is a map over all documents.
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,6 +54,8 @@ BEGINNINGS = (6, 5, 4)
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
 HELD = 200_000
+#: Weights are whole numbers of this part of a text, so that their sums do not depend on their order.
+UNIT = 1 << 20
 
 WORD = re.compile(r"\w+")
 
@@ -109,12 +114,13 @@ class Model:
     k: float = 0.1
     slope: float = 0.0
     bias: float = -50.0
+    drift: float = DRIFT
 
     def scores(self, words: list[str]) -> list[float]:
         get = self.words.get
         known: dict[str, float] = {}
         for w in set(words):
-            known[w] = DRIFT + max(get(w, 0.0), *(get(w[:n] + "*", -math.inf) for n in BEGINNINGS if len(w) >= n), -math.inf)
+            known[w] = self.drift + max(get(w, 0.0), *(get(w[:n] + "*", -math.inf) for n in BEGINNINGS if len(w) >= n), -math.inf)
         return [known[w] for w in words]
 
     def maximal(self, words: list[str]) -> list[tuple[int, int, float]]:
@@ -171,54 +177,78 @@ def family(words: list[str]) -> int:
     return min(zlib.crc32(" ".join(x).encode()) for x in zip(words, words[1:] or [""], words[2:] or [""], strict=False)) if words else 0
 
 
+def calibrates(family) -> F.Column:
+    return F.pmod(F.xxhash64(family), F.lit(CALIBRATE)) == 0
+
+
+def families_of(train: DataFrame) -> DataFrame:
+    """(family, toxic, n, weight): families of each kind, their texts, and what each of these weighs in ``UNIT``."""
+    rows = train.groupBy("family", (F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n"))
+    return rows.withColumn("weight", F.expr(f"{UNIT} div n"))
+
+
+def weighed(train: DataFrame, families: DataFrame) -> DataFrame:
+    """``train`` with its weights. Families of several texts are broadcast: at most about ``SAMPLE / 2`` rows of three numbers."""
+    rows = families.where("n > 1").select(F.col("family").alias("of"), F.col("toxic").alias("kind"), "weight")
+    found = train.join(F.broadcast(rows), (F.col("family") == F.col("of")) & ((F.col("toxic") > 0) == F.col("kind")), "left")
+    return found.select("text", "toxic", "family", F.coalesce("weight", F.lit(UNIT)).alias("weight"))
+
+
 def count_features(train: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): families of labelled documents of each kind whose (one) text has the word or beginning."""
+    """(feature, toxic, clean): weights of the labelled documents of each kind whose text has the word or beginning, summed up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
+        held: defaultdict[tuple[bool, int], Counter] = defaultdict(Counter)
 
-        def send() -> pa.RecordBatch:
-            names = list(held[0] | held[1])
-            out = pa.record_batch([pa.array(names, pa.string()), *(pa.array([h[f] for f in names], pa.int64()) for h in held)], ["feature", "clean", "toxic"])
-            held[0].clear(), held[1].clear()
-            return out
+        def send() -> Iterator[pa.RecordBatch]:
+            for (toxic, n), found in held.items():
+                sums, none = pa.array([n * k for k in found.values()], pa.int64()), pa.array([0] * len(found), pa.int64())
+                yield pa.record_batch([pa.array(list(found), pa.string()), *((none, sums) if toxic else (sums, none))], ["feature", "clean", "toxic"])
+            held.clear()
 
         for batch in slices(batches, "text"):
-            for t, y in zip(strings(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                held[y].update(features(set(words_of(t))))
-                if len(held[0]) + len(held[1]) > HELD:
-                    yield send()
-        yield send()
+            for t, y, n in zip(*teaching(batch), strict=True):
+                held[y > 0, n].update(features(set(words_of(t))))
+                if sum(map(len, held.values())) > HELD:
+                    yield from send()
+        yield from send()
+
+    counts = train.select("text", "toxic", "weight").mapInArrow(run, "feature string, clean long, toxic long")
+    return counts.groupBy("feature").agg((F.sum("toxic") / UNIT).alias("toxic"), (F.sum("clean") / UNIT).alias("clean"))
+
 
-    one = train.groupBy("family", (F.col("toxic") > 0).alias("toxic")).agg(F.min("text").alias("text"))
-    counts = one.select("text", "toxic").mapInArrow(run, "feature string, clean long, toxic long")
-    return counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+def teaching(batch: pa.RecordBatch) -> tuple[list[str], list[int], list[int]]:
+    """Texts, labels and weights."""
+    return strings(batch.column("text")), batch.column("toxic").to_pylist(), batch.column("weight").to_pylist()
 
 
 def _mapped(texts: DataFrame, model: Model, make) -> DataFrame:
-    """(toxic, value, n, weight): sums over what ``make`` adds up for each text."""
+    """(toxic, value, n, weight): sums over what ``make`` adds up for each text, as often as the text weighs."""
     known = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         weights: Counter = Counter()
         for batch in slices(batches, "text"):
-            for t, y in zip(strings(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                make(known.value, words_of(t), y, held, weights)
+            for t, y, n in zip(*teaching(batch), strict=True):
+                make(known.value, words_of(t), y, n, held, weights)
         yield pa.record_batch(
             [pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array(list(held.values()), pa.int64()), pa.array([weights[k] for k in held], pa.float64())],
             ["toxic", "value", "n", "weight"],
         )
 
-    return texts.mapInArrow(run, "toxic long, value long, n long, weight double").groupBy("toxic", "value").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    sums = texts.select("text", "toxic", "weight").mapInArrow(run, "toxic long, value long, n long, weight double")
+    return sums.groupBy("toxic", "value").agg((F.sum("n") / UNIT).alias("n"), (F.sum("weight") / UNIT).alias("weight"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> Model:
     """Learn word scores, the law of chance segments, and the curve from the labelled documents that are not held out."""
-    train = written(labelled(docs, labels, doc_id, text, label, most).withColumn("calibrates", F.pmod(F.xxhash64("family"), F.lit(CALIBRATE)) == 0), "labelled")
-    sizes = {(bool(r.toxic), r.calibrates): r.n for r in train.groupBy((F.col("toxic") > 0).alias("toxic"), "calibrates").agg(F.count("*").alias("n")).collect()}
+    train = written(labelled(docs, labels, doc_id, text, label, most), "labelled")
+    families = written(families_of(train), "families")
+    sizes = {(r.toxic, r.calibrates): r.n / UNIT for r in families.groupBy("toxic", calibrates("family").alias("calibrates")).agg(F.sum(F.col("n") * F.col("weight")).alias("n")).collect()}
     if len({y for y, _ in sizes}) < 2:
         return Model()
+    train = weighed(train, families).withColumn("calibrates", calibrates("family"))
     # With too few texts for two parts, the same ones teach and calibrate.
     teach, test = (train.where("NOT calibrates"), train.where("calibrates")) if len(sizes) == 4 else (train, train)
     counts = written(count_features(teach), "features")
@@ -236,29 +266,38 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not any(s > -DRIFT for s in words.values()):
         return model
 
-    def tally(m: Model, ws: list[str], y: int, held: Counter, weights: Counter) -> None:
+    def tally(m: Model, ws: list[str], y: int, n: int, held: Counter, weights: Counter) -> None:
         if y <= 0:
-            held.update((0, round(100 * s)) for s in m.scores(ws))
+            for s, k in Counter(round(100 * s) for s in m.scores(ws)).items():
+                held[0, s] += n * k
 
     chance = _mapped(test, model, tally).collect()
-    model.lam = chance_law(np.array([r.value / 100 for r in chance]), np.array([r.n for r in chance], float))
+    scores, often = np.array([r.value / 100 for r in chance]), np.array([r.n for r in chance], float)
+    more = fall(scores, often)
+    model.drift += more
+    model.lam = chance_law(scores + more, often)
 
-    def longest(m: Model, ws: list[str], y: int, held: Counter, weights: Counter) -> None:
+    def longest(m: Model, ws: list[str], y: int, n: int, held: Counter, weights: Counter) -> None:
         if y <= 0 and ws:
             high = max((x[2] for x in m.maximal(ws)), default=0.0)
-            held[0, int(high > 0)] += 1
-            weights[0, int(high > 0)] += len(ws) * math.exp(-m.lam * high)
+            held[0, int(high > 0)] += n
+            weights[0, int(high > 0)] += n * len(ws) * math.exp(-m.lam * high)
 
     model.k = chance_constant({r.value: (r.n, r.weight) for r in _mapped(test, model, longest).collect()})
 
-    def weigh(m: Model, ws: list[str], y: int, held: Counter, weights: Counter) -> None:
-        held[int(y > 0), round(50 * math.log1p(m.evidence(m.segments(ws))))] += 1
+    def weigh(m: Model, ws: list[str], y: int, n: int, held: Counter, weights: Counter) -> None:
+        held[int(y > 0), round(50 * math.log1p(m.evidence(m.segments(ws))))] += n
 
     seen = _mapped(test, model, weigh).collect()
     model.slope, model.bias = curve(np.array([r.value / 50 for r in seen]), np.array([r.toxic for r in seen], float), np.array([r.n for r in seen], float))
     return model
 
 
+def fall(scores: np.ndarray, n: np.ndarray) -> float:
+    """What is to be added to the scores of clean text, 0 at most, so that they fall by ``DRIFT`` on average."""
+    return min(0.0, DRIFT - float(n @ scores / n.sum())) if n.sum() else 0.0
+
+
 def chance_law(scores: np.ndarray, n: np.ndarray) -> float:
     """Lambda of the extreme-value law for independent draws from the given scores."""
     if not len(scores):

@@ -125,3 +125,59 @@ def test_sample_is_bounded(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "concat('w', id) as text")
     labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
     assert 300 < t.labelled(docs, labels, "doc_id", "text", "toxic", most=500).count() < 700
+
+
+def held_out_hits(spark, rows):
+    """Shares of toxic and of clean held-out texts that are told right."""
+    got = t.toxicity(frame(spark, [x for _, x, _ in rows], [i for i, _, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    hits = {0: [], 1: []}
+    want = {i: y for i, _, y in rows}
+    for r in got.where("held_out").collect():
+        hits[want[r.doc_id]].append(r.predicted == want[r.doc_id])
+    assert min(len(x) for x in hits.values()) > 20
+    return np.mean(hits[1]), np.mean(hits[0])
+
+
+def test_copies_of_clean_texts_do_not_make_common_words_toxic(spark):
+    # Each clean text has five copies that differ in their last word; words that all texts have must stay without a lean.
+    r = random.Random(8)
+    common = ["the", "and", "of", "to", "in", "that"] * 3
+    rows = []
+    for _, text, y in corpus(500, 4):
+        words = text.split() + common
+        r.shuffle(words)
+        rows += [(" ".join([*words, f"end{c}"]), y) for c in range(1 if y else 5)]
+    rows = [(i, x, y) for i, (x, y) in enumerate(rows)]
+    toxic, clean = held_out_hits(spark, rows)
+    assert toxic > 0.95 and clean > 0.97
+
+
+def test_longer_toxic_texts_do_not_make_chance_rise(spark):
+    # Any word is likelier in a longer text, so words without a meaning lean to toxic, and clean text would rise.
+    r = random.Random(9)
+    plain = [f"{a}{b}" for a in ("ta", "ri", "mo", "len", "su", "ka", "bo") for b in ("ni", "sel", "pu", "da", "er")]
+    rows = []
+    for i in range(1500):
+        y = int(r.random() < 0.3)
+        rows.append((i, " ".join(r.choices(plain, k=r.randint(40, 60) if y else r.randint(15, 30)) + ["grux", "vile"] * y), y))
+    docs, labels = frame(spark, [x for _, x, _ in rows], [i for i, _, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = t.fit(docs, labels)
+    scores = [s for _, x, y in rows if not y for s in model.scores(x.split())]
+    assert np.mean(scores) < 0.9 * t.DRIFT and model.lam > 0.1
+    toxic, clean = held_out_hits(spark, rows)
+    assert toxic > 0.95 and clean > 0.97
+
+
+def test_fall_is_at_least_the_drift():
+    assert t.fall(np.array([1.0, -0.5]), np.array([1.0, 1.0])) == t.DRIFT - 0.25
+    assert t.fall(np.array([1.0, -0.5]), np.array([1.0, 9.0])) == 0 and t.fall(np.array([]), np.array([])) == 0
+
+
+def test_every_labelled_text_teaches_and_a_family_weighs_one(spark):
+    texts_ = ["a b c d x1", "a b c d x2", "a b c d x3", "q r s t"]
+    families = [t.family(x.split()) for x in texts_]
+    families = [families[0]] * 3 + families[3:]
+    train = spark.createDataFrame([(x, 1, f) for x, f in zip(texts_, families, strict=True)] + [("only clean", 0, families[0])], "text string, toxic int, family long")
+    got = {r.feature: (r.toxic, r.clean) for r in t.count_features(t.weighed(train, t.families_of(train))).collect()}
+    assert {f: round(got[f][0], 5) for f in ("a", "x1", "x2", "x3", "q")} == {"a": 1, "x1": 0.33333, "x2": 0.33333, "x3": 0.33333, "q": 1}
+    assert got["only"] == (0, 1) and got["a"][1] == 0
