@@ -47,11 +47,12 @@ def example_id(*parts: Column) -> Column:
 
 
 def literal(value: Column) -> Column:
-    """Three significant digits, at most three decimals, halves away from zero."""
+    """Three significant digits, at most three decimals, halves away from zero. What rounds to zero keeps its sign, as in the SQL."""
     size = F.floor(F.log10(F.abs(value)))
     scale = F.pow(F.lit(10.0), 2 - F.greatest(size, F.lit(-1)))
-    rounded = (value * scale + F.when(value >= 0, 0.5).otherwise(-0.5)).cast("long") / scale
-    return F.when(value == 0, F.lit(0.0)).otherwise(rounded)
+    # The sign is laid on a double, since a whole number has no -0.
+    rounded = F.floor(F.abs(value) * scale + 0.5) / scale
+    return F.when(value == 0, F.lit(0.0)).when(value < 0, -rounded).otherwise(rounded)
 
 
 def literal_text(value: Column, kind: str) -> Column:

@@ -26,6 +26,11 @@ def test_scalars(spark):
     assert value(spark, fx.literal_text(F.array(F.lit(0.123456), F.lit(2.0)), "array")) == "[0.123, 2.0]"
 
 
+def test_literals_that_round_to_zero_keep_their_sign(spark):
+    values = F.array(*map(F.lit, (-0.0003, 0.0003, -0.0005, 0.0, -1234.5)))
+    assert value(spark, fx.literal_text(values, "array")) == "[-0.0, 0.0, -0.001, 0.0, -1230.0]"
+
+
 def test_times_and_jobs(spark):
     assert [value(spark, fx.seconds(F.lit(t))) for t in ("0:02:05.123", "1 day, 2:00:00", "x", "11:00:00")] == [125, 93600, None, 39600]
     assert value(spark, fx.clock(F.lit(93605))) == "26:00:05"
