@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..sources.shared import drop, written
+from . import tiles
 from .vision import similar_pairs
 
 #: References that are broadcast at most; more go in blocks of this size, each against all candidates.
 BLOCK = 50_000
 #: Held-out grams that are broadcast at most.
 GRAMS = 1_000_000
-#: Groups of pixels whose means are held against each other at most.
-GROUPS = 32
-#: What sums of doubles may be off by.
-ROUNDING = 1e-9
+#: Bytes of a block of pixels at most; rows beyond which blocks are smaller, for as many tasks; blocks that this makes at most.
+BYTES, FEW, SPREAD = 16 << 20, 1_024, 8
+#: Trials of a case that are settled in one task at most, and at least if there are few; tasks that small cases share.
+BATCH, LEAST, BUCKETS = 4_096, 512, 256
 
 
 def leaks(candidates: DataFrame, references: DataFrame, key: str, vector: str, limit: float) -> DataFrame:
@@ -82,40 +86,43 @@ def text_leaks(documents: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.countDistinct("g").alias("shared"), F.countDistinct("item_id").alias("items"))
 
 
-def pixel_pairs(rows: DataFrame, threshold: float, share: float, channels: int = 1, within: str | None = None) -> DataFrame:
-    """(a, b, same): rows a < b (of one value of ``within``, if that is given) of which more than ``share`` of the pixels differ by at most ``threshold`` in every channel, and how many
-    do (C6). Values lie within a span of 1.
-
-    An index by pigeonholes: if at most m pixels may differ, then of g groups of pixels one has at most m / g that do (none, if
-    g > m), and the means of its halves differ by little more than ``threshold``. Rows meet where a group's pair of means is in the
-    same cell or the next; only ids and cells are sent there. The values are joined to the pairs that met, each once."""
-    n, epsilon, own = F.col("n"), ROUNDING, [within] if within else []
-    pixels = rows.where(F.size("pixels") >= channels).select("id", *own, "pixels", F.floor(F.size("pixels") / channels).alias("n"))
-    most = pixels.withColumn("m", F.ceil(n * (1 - share)) - 1).where("m >= 0")
-    most = most.withColumn("g", F.least(F.col("m") + 1, F.lit(GROUPS), n))
-
-    def mean(start, length):
-        total = F.aggregate(F.slice("pixels", (start * channels + 1).cast("int"), (length * channels).cast("int")), F.lit(0.0), lambda s, x: s + x)
-        return F.when(length > 0, total / (length * channels)).otherwise(0.0)
-
-    def cells(j):
-        start, end = F.floor(j * n / F.col("g")), F.floor((j + 1) * n / F.col("g"))
-        half, wrong = F.floor((end - start) / 2), F.floor(F.col("m") / F.col("g"))
-        width = lambda length: threshold + wrong / F.greatest(length, F.lit(1)) + epsilon
-        return F.struct(j.cast("int").alias("j"), F.floor(mean(start, half) / width(half)).alias("p"), F.floor(mean(start + half, end - start - half) / width(end - start - half)).alias("q"))
-
-    placed = most.select("id", "n", *own, F.explode(F.transform(F.sequence(F.lit(0), F.col("g").cast("int") - 1), cells)).alias("c")).select("id", "n", *own, "c.*")
-    around = F.explode(F.flatten(F.array(*[F.array(*[F.struct((F.col("p") + x).alias("p"), (F.col("q") + y).alias("q")) for y in (-1, 0, 1)]) for x in (-1, 0, 1)])))
-    left = placed.select(F.col("id").alias("a"), "n", *own, "j", around.alias("c")).select("a", "n", *own, "j", "c.p", "c.q")
-    near = left.join(placed.withColumnRenamed("id", "b"), ["n", *own, "j", "p", "q"]).where("a < b").select("a", "b").distinct()
-    values = rows.select("id", "pixels")
-    near = near.join(values.toDF("a", "x"), "a").join(values.toDF("b", "y"), "b")
-    close = F.zip_with("x", "y", lambda x, y: F.abs(x - y) <= threshold)
-    if channels > 1:
-        pixel = F.sequence(F.lit(0), F.floor(F.size("x") / channels).cast("int") - 1)
-        close = F.transform(pixel, lambda k: F.forall(F.slice(close, k * channels + 1, channels), lambda x: x))
-    near = near.select("a", "b", F.size(F.filter(close, lambda x: x)).alias("same"), F.floor(F.size("x") / channels).alias("n"))
-    return near.where(F.col("same") / n > share).select("a", "b", "same")
+def _whole(rows: DataFrame, channels: int) -> DataFrame:
+    """``rows`` with the number of their pixels, and the values of whole pixels as doubles; rows without a pixel are left out."""
+    pixels, n = F.col("pixels").cast("array<double>"), F.floor(F.size("pixels") / channels).cast("int")
+    return rows.where(F.size("pixels") >= channels).withColumns({"n": n, "pixels": F.slice(pixels, F.lit(1), n * channels) if channels > 1 else pixels})
+
+
+def _parts(rows: Column, n: Column, channels: int) -> Column:
+    """Into how many blocks so many rows of ``n`` pixels go: of ``BYTES`` at most, and several if there are more than ``FEW``."""
+    return F.greatest(F.ceil(rows * n * (8 * channels) / BYTES), F.least(F.ceil(rows / FEW), F.lit(SPREAD))).cast("int")
+
+
+def pixel_pairs(rows: DataFrame, threshold: float, share: float, channels: int = 1) -> DataFrame:
+    """(a, b, same): rows a < b of which more than ``share`` of the pixels differ by at most ``threshold`` in every channel, and how many
+    do (C6).
+
+    Rows of one number of pixels are dealt into blocks by a hash, and each two blocks are a tile, whose pairs are all counted in one
+    task (see :mod:`.tiles`). A row is sent once to each block; blocks are bounded by bytes."""
+    whole = _whole(rows.select("id", "pixels"), channels)
+    blocks = whole.groupBy("n").agg(F.count("*").alias("_rows")).select("n", _parts(F.col("_rows"), F.col("n"), channels).alias("_blocks"))
+    whole = whole.join(F.broadcast(blocks), "n").withColumn("k", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = whole.select("id", "pixels", "n", "k", other.alias("o")).select("id", "pixels", "n", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    kind = rows.schema["id"].dataType
+
+    def compared(tile: pa.Table) -> pa.Table:
+        i, j, k = tile["i"][0].as_py(), tile["j"][0].as_py(), tile["k"].to_numpy()
+        x, ids = tiles.table(tile), tile["id"].combine_chunks()
+        left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
+        found = [(left[p], right[q], same) for p, q, same in tiles.pairs(x[left], x[right], threshold, share, channels)]
+        a, b, same = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+        if i == j:
+            a, b, same = a[a < b], b[a < b], same[a < b]
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "same": pa.array(same, pa.int32())})
+
+    out = StructType([StructField("a", kind), StructField("b", kind), StructField("same", IntegerType())])
+    found = dealt.groupBy("n", "i", "j").applyInArrow(compared, out)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same")
 
 
 def greedy(rows: DataFrame, threshold: float, share: float, channels: int = 1) -> DataFrame:
@@ -199,20 +206,99 @@ def cascade(trials: DataFrame, truths: DataFrame | None, before: Column, after:
     nearly those of one of its case's ``truths`` (case_id, pixels), or of an *accepted* trial of its case with a smaller number; one that
     fails any gate stands in nobody's way.
 
-    Only trials that pass the gates before are compared; those that pass all others, and are near no truth, are settled in rounds
-    (:func:`settled`), and then the rest is held against what was accepted. No case is gathered in a task."""
-    marked = trials.withColumns({"_before": before, "_after": after}).withColumn("id", F.struct(F.col("case_id"), F.col("trial_id").cast("long").alias("trial_id")))
-    free = marked.where("_before IS NULL AND pixels IS NOT NULL").select("id", "case_id", F.col("pixels").cast("array<double>").alias("pixels"))
-    rows = free
+    Only trials that pass the gates before are compared. First all are held against the truths. Those that may be accepted are then
+    settled in rounds: each case's next batch (a bounded number of trials) is gone through in order in one task, and the trials behind it are held
+    against what the batch accepted. A duplicate goes with its round, so what is kept in between is bounded by the trials, not by the pairs of
+    like ones; rounds are as many as the batches of what is left of the largest case."""
+    marked = trials.withColumns({"_before": before, "_after": after, "_number": F.col("trial_id").cast("long")})
+    free = _whole(marked.where("_before IS NULL AND case_id IS NOT NULL").select("case_id", F.col("_number").alias("trial_id"), "pixels", F.col("_after").isNull().alias("may")), channels)
+    free = written(free, "free")
+    keys, near = ["case_id", "trial_id"], lambda rows, held: _held(rows, held, threshold, share, channels)
+    out = []
     if truths is not None:
-        # Below all trials, whose numbers are from 0 on.
-        number = (-1 - F.monotonically_increasing_id()).cast("long")
-        real = written(truths.where("pixels IS NOT NULL").select("case_id", F.col("pixels").cast("array<double>").alias("pixels"), number.alias("trial_id")), "truths")
-        rows = free.unionByName(real.select(F.struct("case_id", "trial_id").alias("id"), "case_id", "pixels"))
-    pairs = written(pixel_pairs(rows, threshold, share, channels, within="case_id"), "case-pairs")
-    like_truth = pairs.where("a.trial_id < 0 AND b.trial_id >= 0").select(F.col("b").alias("id")).distinct()
-    may = written(marked.where("_before IS NULL AND _after IS NULL").select("id").join(like_truth, "id", "left_anti"), "may")
-    among = pairs.join(may.select(F.col("id").alias("a")), "a", "left_semi").join(may.select(F.col("id").alias("b")), "b", "left_semi")
-    taken = settled(may.withColumn("cost", F.lit(0.0)), among.select("a", "b", "same")).where("stays").select(F.col("id").alias("a"))
-    twice = pairs.join(taken, "a", "left_semi").select(F.col("b").alias("id")).unionByName(like_truth).distinct().withColumn("_twice", F.lit(DUPLICATE))
-    return marked.join(twice, "id", "left").select("case_id", "trial_id", F.coalesce("_before", "_twice", "_after").alias("reason"))
+        # Before all trials; copies of a truth tell no more.
+        real = _whole(truths.where("case_id IS NOT NULL").select("case_id", F.lit(None).cast("long").alias("trial_id"), "pixels"), channels).distinct()
+        out.append(written(near(free, real), "like-truth"))
+    left = free.where("may").drop("may")
+    left, accepted = written(left.join(out[0], keys, "left_anti") if out else left, "left"), []
+    size = max(LEAST, min(BATCH, left.count() // 64))
+    while left.take(1):
+        # The number up to which a case's batch goes: the greatest of the halves, quarters and so on that hold few enough.
+        halves = [0.5**k for k in range(1, 31)]
+        cuts = left.groupBy("case_id").agg(F.count("*").alias("_n"), F.max("n").alias("_most"), F.max("trial_id").alias("_last"), F.percentile_approx("trial_id", halves, 10_000).alias("_halves"))
+        most = F.greatest(F.lit(64), F.least(F.lit(size), F.floor(BYTES / (F.col("_most") * (8 * channels)))))
+        cut = F.when(F.col("_n") <= most, F.col("_last")).otherwise(F.element_at("_halves", F.least(F.ceil(F.log2(F.col("_n") / most)), F.lit(30)).cast("int")))
+        cuts = written(cuts.select("case_id", cut.alias("_cut")), "cuts")
+        met = left.join(cuts, "case_id")
+        batch = met.where(F.col("trial_id") <= F.col("_cut")).drop("_cut")
+        new = written(_settled_batch(batch, threshold, share, channels), "accepted")
+        behind = written(met.where(F.col("trial_id") > F.col("_cut")).drop("_cut"), "behind")
+        rest = written(behind.join(near(behind, new), keys, "left_anti"), "left")
+        accepted.append(new)
+        drop(left, behind, cuts)
+        left = rest
+    drop(left)
+    chosen = reduce(DataFrame.unionByName, accepted) if accepted else free.drop("may").limit(0)
+    # Those that fail a gate behind are held against all that were accepted; those that may be accepted and were not are duplicates.
+    twice = near(free.where("NOT may"), chosen).unionByName(free.where("may").select(*keys).join(chosen.select(*keys), keys, "left_anti"))
+    twice = reduce(DataFrame.unionByName, [twice, *out]).distinct().select("case_id", F.col("trial_id").alias("_number"), F.lit(DUPLICATE).alias("_twice"))
+    return marked.join(twice, ["case_id", "_number"], "left").select("case_id", "trial_id", F.coalesce("_before", "_twice", "_after").alias("reason"))
+
+
+def _by_case(tile: pa.Table) -> Iterator[np.ndarray]:
+    """The places of the rows of each case and number of pixels in a table that may hold several."""
+    codes = tile["case_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    _, at = np.unique(np.stack([codes, tile["n"].to_numpy()]), axis=1, return_inverse=True)
+    order = np.argsort(at.reshape(-1), kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(at.reshape(-1)[order])) + 1)
+
+
+def _settled_batch(batch: DataFrame, threshold: float, share: float, channels: int) -> DataFrame:
+    """Of each case's trials, taken in order, those that are near no earlier one that was taken."""
+    columns = batch.columns
+
+    def settled_cases(tile: pa.Table) -> pa.Table:
+        numbers, kept = tile["trial_id"].to_numpy(), []
+        for rows in _by_case(tile):
+            rows = rows[np.argsort(numbers[rows], kind="stable")]
+            kept.append(rows[tiles.taken(tiles.table(tile.take(pa.array(rows))), threshold, share, channels)])
+        return tile.take(pa.array(np.concatenate(kept))).select(columns)
+
+    group = F.pmod(F.xxhash64("case_id"), F.lit(BUCKETS))
+    return batch.withColumn("_group", group).groupBy("_group").applyInArrow(settled_cases, batch.schema)
+
+
+def _held(rows: DataFrame, held: DataFrame, threshold: float, share: float, channels: int) -> DataFrame:
+    """(case_id, trial_id) of the rows that are near one of ``held`` of their case with a smaller number, or with none.
+
+    Either side is dealt into blocks of bounded size within a case and number of pixels; a row meets each block of the other side
+    in one task. Small cases share tasks."""
+    keys, kind = ["case_id", "n"], rows.schema["case_id"].dataType
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).join(held.groupBy(*keys).agg(F.count("*").alias("_held")), keys)
+    blocks = sizes.select(*keys, _parts(F.col("_rows"), F.col("n"), channels).alias("_i"), _parts(F.col("_held"), F.col("n"), channels).alias("_j"))
+
+    def dealt(side: DataFrame, mine: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64("trial_id", F.slice("pixels", 1, 8)), F.col(mine)).cast("int")
+        meets = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        whole = F.xxhash64(*keys)
+        group = F.when((F.col(mine) == 1) & (F.col(other) == 1), F.pmod(whole, F.lit(BUCKETS))).otherwise(whole)
+        met = side.select(*keys, "trial_id", "pixels").join(blocks, keys).withColumns({"_own": own, "_group": group, "_ref": F.lit(mine == "_j")}).withColumn("_meets", meets)
+        place = [F.col("_own").alias("i"), F.col("_meets").alias("j")] if mine == "_i" else [F.col("_meets").alias("i"), F.col("_own").alias("j")]
+        return met.select("_group", *place, "_ref", *keys, "trial_id", "pixels")
+
+    def compared(tile: pa.Table) -> pa.Table:
+        ref, found = tile["_ref"].to_numpy(), []
+        numbers = tile["trial_id"].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+        for mine in _by_case(tile):
+            left, right = mine[~ref[mine]], mine[ref[mine]]
+            if len(left) and len(right):
+                x = tiles.table(tile.take(pa.array(np.concatenate([left, right]))))
+                hit = np.zeros(len(left), bool)
+                for p, q, _ in tiles.pairs(x[: len(left)], x[len(left) :], threshold, share, channels):
+                    hit[p[numbers[right[q]] < numbers[left[p]]]] = True
+                found.append(left[hit])
+        return tile.take(pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))).select(["case_id", "trial_id"])
+
+    both = dealt(rows, "_i", "_j").unionByName(dealt(held, "_j", "_i"))
+    out = StructType([StructField("case_id", kind), StructField("trial_id", LongType())])
+    return both.groupBy("_group", "i", "j").applyInArrow(compared, out).distinct()

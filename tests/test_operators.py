@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from matterloom.operators import chat, dedup, gates, graph, program, runs, sampling, search, splits, stats, trials, vision
+from matterloom.operators import chat, dedup, gates, graph, program, runs, sampling, search, splits, stats, tiles, trials, vision
 
 
 def rows(df, *columns):
@@ -342,3 +342,43 @@ def test_leaks_of_texts_in_other_alphabets(spark):
     held = spark.createDataFrame([(1, "Пример текста для проверки утечки"), (2, "naïve café où déjà vu")], "item_id long, text string")
     docs = spark.createDataFrame([(10, "xx ПРИМЕР текста, для проверки!"), (11, "na ve caf o d j vu"), (12, "Naïve; café — où déjà"), (13, None)], "doc_id long, text string")
     assert rows(dedup.text_leaks(docs, held, 4), "doc_id", "shared", "items") == [(10, 1, 1), (12, 1, 1)]
+
+
+def test_like_trials_are_settled_in_batches_without_their_pairs(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    table = np.concatenate([np.full((300, 12), 0.5), np.repeat(r.random((30, 12)), 10, 0) + r.normal(0, 0.004, (300, 12))])
+    table = table[r.permutation(600)]
+    df = spark.createDataFrame([("big" if k % 5 else "small", k * k, v.tolist()) for k, v in enumerate(table)] + [(None, 7, [0.5] * 12)], "case_id string, trial_id long, pixels array<double>")
+    truths = spark.createDataFrame([("big", table[1].tolist()), ("big", table[1].tolist())], "case_id string, pixels array<double>")
+    kept, want = [], []
+    for k, v in enumerate(table):
+        like = lambda i, v=v: (np.abs(table[i] - v) <= 0.01).mean() > 0.6
+        twice = (k % 5 > 0 and like(1)) or any(bool(i % 5) == bool(k % 5) and like(i) for i in kept)
+        late = k % 7 == 0
+        kept += [] if twice or late else [k]
+        want.append(("big" if k % 5 else "small", k * k, dedup.DUPLICATE if twice else "late" if late else None))
+    most = []
+    monkeypatch.setattr(dedup, "written", lambda rows, label, f=dedup.written: [f(rows, label), most.append(rows.count())][0])
+    late = F.when(F.sqrt("trial_id").cast("int") % 7 == 0, "late")
+    for size in (16, 4096):
+        monkeypatch.setattr(dedup, "LEAST", size)
+        monkeypatch.setattr(dedup, "BATCH", size)
+        monkeypatch.setattr(dedup, "FEW", size)
+        got = dedup.cascade(df, truths, F.lit(None).cast("string"), late.when(F.col("case_id").isNull(), None), 0.01, 0.6)
+        assert sorted((tuple(x) for x in got.where("case_id IS NOT NULL").select("case_id", "trial_id", "reason").collect()), key=repr) == sorted(want, key=repr)
+    # Not the pairs of like trials, of which there are some 30,000.
+    assert max(most) <= 601
+
+
+def test_tiles_count_what_plain_comparison_counts(monkeypatch):
+    monkeypatch.setattr(tiles, "DIRECT", 1000)
+    monkeypatch.setattr(tiles, "COLUMNS", 128)
+    r = np.random.default_rng(3)
+    for size, channels, share, spread in ((64, 1, 0.5, 0.125), (300, 1, 0.45, 0.125), (12, 3, 0.3, 0.1), (9, 2, 0.0, 40.0), (5, 1, 0.9, 0.0)):
+        a, b = r.normal(0, spread, (150, size * channels)), r.normal(0, spread, (300, size * channels))
+        a[3, 0], b[5, 1], b[7] = np.nan, np.inf, a[8]
+        with np.errstate(invalid="ignore"):
+            same = (np.abs(a[:, None] - b) <= 0.06).reshape(150, 300, size, channels).all(3).sum(2)
+        want = sorted((int(i), int(j), int(same[i, j])) for i, j in zip(*np.nonzero(same / size > share), strict=True))
+        got = sorted((int(i), int(j), int(n)) for part in tiles.pairs(a, b, 0.06, share, channels) for i, j, n in zip(*part, strict=True))
+        assert want and got == want
