@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..sources.shared import drop, written
 from . import tiles
@@ -22,6 +22,8 @@ BLOCK = 50_000
 GRAMS = 1_000_000
 #: Bytes of a block of pixels at most; rows beyond which blocks are smaller, for as many tasks; blocks that this makes at most.
 BYTES, FEW, SPREAD = 16 << 20, 1_024, 8
+#: Pairs that are gone through in one task at most.
+TAIL = 200_000
 #: Trials of a case that are settled in one task at most, and at least if there are few; tasks that small cases share.
 BATCH, LEAST, BUCKETS = 4_096, 512, 256
 
@@ -143,7 +145,7 @@ def settled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     sure and none that may be kept is dearer; and all is known, also which row it replaces, once each that may be kept is for
     sure. What is known is taken out of the pairs, and each round is written. The least undecided row is always settled, so
     it ends; a round settles all rows whose earlier links are, so rounds are as many as the longest chain of rows that hang on
-    each other, not as rows."""
+    each other, not as rows. Chains are long where few pairs are left, so at most ``TAIL`` of them are gone through in turn instead."""
     cost = rows.select("id", "cost")
     pairs = pairs.join(cost.toDF("a", "cost_a"), "a").join(cost.toDF("b", "cost_b"), "b")
     live = written(pairs, "pairs")
@@ -151,6 +153,11 @@ def settled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     # kept: whether the row got in (null: not known yet); known: whether it is also known which row it replaced.
     states = written(linked.select("id", F.lit(None).cast("boolean").alias("kept"), F.lit(False).alias("known"), F.lit(None).cast(rows.schema["id"].dataType).alias("gone")), "states")
     while True:
+        if live.count() <= TAIL:
+            after = _in_turn(live, states)
+            drop(states)
+            states = after
+            break
         # The first row that may yet replace b: cheaper, and its own replacement not known.
         open_rows = states.where("NOT known").select(F.col("id").alias("b"))
         waits = live.where("cost_b < cost_a").join(open_rows, "b").groupBy("a").agg(F.min("b").alias("wait"))
@@ -190,6 +197,38 @@ def settled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("id").join(states, "id", "left").select("id", (F.coalesce("kept", F.lit(True)) & F.col("gone").isNull()).alias("stays"), F.col("gone").alias("replaced_by"))
 
 
+def _in_turn(live: DataFrame, states: DataFrame) -> DataFrame:
+    """``states`` with what the remaining pairs settle: rows that are not known yet, one after the other, against those that are kept then."""
+    kind = states.schema["id"].dataType
+
+    def turns(rest: pa.Table) -> pa.Table:
+        columns = [rest[c].to_pylist() for c in ("b", "a", "same", "cost_a", "cost_b", "kept", "known", "gone")]
+        kept, gone, undecided, found = {}, {}, {}, []
+        for b, a, same, cost_a, cost_b, is_kept, is_known, until in zip(*columns, strict=True):
+            kept[a], gone[a] = bool(is_kept) and is_known, until
+            undecided.setdefault(b, (cost_b, []))[1].append((-same, a, cost_a))
+            if not is_known:
+                # A row without an earlier link that is left stays in, and replaces none.
+                undecided.setdefault(a, (cost_a, []))
+        for b in sorted(undecided):
+            cost, earlier = undecided[b]
+            here = [x for x in earlier if kept[x[1]] and (gone[x[1]] is None or gone[x[1]] > b)]
+            best = min(here, default=None, key=lambda x: x[:2])
+            kept[b] = best is None or cost < best[2]
+            if best is not None and kept[b]:
+                gone[best[1]] = b
+            found.append(b)
+        ids = list({**dict.fromkeys(found), **dict.fromkeys(kept)})
+        return pa.table({"id": pa.array(ids, rest.schema.field("a").type), "_kept": pa.array([kept[x] if x in undecided else None for x in ids], pa.bool_()), "_gone": pa.array([gone.get(x) for x in ids], rest.schema.field("a").type)})
+
+    rest = live.join(states.select(F.col("id").alias("a"), "kept", "known", "gone"), "a")
+    settled_rows = rest.groupBy(F.lit(0).alias("_all")).applyInArrow(turns, StructType([StructField("id", kind), StructField("_kept", BooleanType()), StructField("_gone", kind)]))
+    met = states.join(settled_rows, "id", "left")
+    # A row that none of the remaining pairs names as the later one stays in, unless it is known.
+    kept = F.coalesce("_kept", F.when(F.col("known"), F.col("kept")).otherwise(True))
+    return written(met.select("id", kept.alias("kept"), F.lit(True).alias("known"), F.least("gone", "_gone").alias("gone")), "states")
+
+
 def accept_new(trials: DataFrame, threshold: float, share: float, channels: int = 1) -> DataFrame:
     """(case_id, trial_id): within each case, trials in order that are no near-duplicate of an accepted one (E5)."""
     passed = cascade(trials, None, F.lit(None).cast("string"), F.lit(None).cast("string"), threshold, share, channels)

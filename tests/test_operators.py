@@ -382,3 +382,17 @@ def test_tiles_count_what_plain_comparison_counts(monkeypatch):
         want = sorted((int(i), int(j), int(same[i, j])) for i, j in zip(*np.nonzero(same / size > share), strict=True))
         got = sorted((int(i), int(j), int(n)) for part in tiles.pairs(a, b, 0.06, share, channels) for i, j, n in zip(*part, strict=True))
         assert want and got == want
+
+
+def test_long_chains_are_settled_in_few_rounds(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    # A chain of 40 and links at random; a number of pairs is left to one task, or all rounds are gone through.
+    costs = [*range(40, 0, -1), *r.integers(0, 6, 60).tolist()]
+    same = {(k, k + 1): 5 for k in range(39)} | {(a, b): int(r.integers(1, 4)) for a in range(40, 100) for b in range(a + 1, 100) if r.random() < 0.1}
+    want = [(k, stays, by) for k, stays, by in in_turn(costs, same)]
+    df, pairs = spark.createDataFrame(list(enumerate(map(float, costs))), "id long, cost double"), spark.createDataFrame([(a, b, n) for (a, b), n in same.items()], "a long, b long, same int")
+    tables = []
+    monkeypatch.setattr(dedup, "written", lambda rows, label, f=dedup.written: [f(rows, label), tables.append(label)][0])
+    assert sorted(tuple(x) for x in dedup.settled(df, pairs).collect()) == want and len(tables) < 10
+    monkeypatch.setattr(dedup, "TAIL", 120)
+    assert sorted(tuple(x) for x in dedup.settled(df, pairs).collect()) == want
