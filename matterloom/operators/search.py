@@ -101,20 +101,17 @@ def search_states(proposals: DataFrame, changes: DataFrame, initial: float, ever
     the metric after the step, the best one before it, and the last accepted value of each parameter. ``proposals`` are those of
     :func:`replay`; ``changes`` has example, it, param and value, those of a step below 0 being what the search began with.
 
-    Between two snapshots only a parameter's last accepted value matters; it stands from its own snapshot up to the one before that of
-    the next accepted value. Long searches go in parts."""
+    A snapshot takes each parameter's last accepted value as of its step, so work and rows are those of the changes and of the snapshots
+    that are there, however far apart the numbers of steps are. Long searches go in parts."""
     start = proposals.select("example").distinct().select("example", F.lit(-1).cast(proposals.schema["it"].dataType).alias("it"), F.lit(initial).alias("metric"), F.lit(0.0).alias("draw"))
     taken = replay(proposals.select("example", "it", "metric", "draw").unionByName(start), chance, part)
     taken = running(taken, ["example"], ["it"], F.floor(F.col("it") / part), least={"best": F.col("current")}, upto=-1)
-    shots = taken.where((F.col("it") >= 0) & ((F.col("it") + 1) % every == 0)).select("example", "it", "current", "best", F.floor(F.col("it") / every).alias("shot"))
+    shots = taken.where((F.col("it") >= 0) & ((F.col("it") + 1) % every == 0)).select("example", "it", "current", "best")
     kept = changes.join(taken.where("accepted AND it >= 0").select("example", "it"), ["example", "it"], "left_semi").unionByName(changes.where("it < 0"))
-    last = kept.groupBy("example", "param", F.greatest(F.floor(F.col("it") / every), F.lit(0)).alias("shot")).agg(F.max_by("value", "it").alias("value"))
-    last = last.withColumn("_part", F.floor(F.col("shot") / part))
-    ends = last.groupBy("example", "param", "_part").agg(F.min("shot").alias("first"))
-    ends = ends.select("example", "param", "_part", F.lead("first").over(Window.partitionBy("example", "param").orderBy("_part")).alias("after"))
-    until = F.coalesce(F.lead("shot").over(Window.partitionBy("example", "param", "_part").orderBy("shot")), "after")
-    most = shots.groupBy("example").agg(F.max("shot").alias("most"))
-    spans = last.join(ends, ["example", "param", "_part"]).withColumn("until", until).join(most, "example").withColumn("end", F.least(F.col("until") - 1, "most")).where(F.col("shot") <= F.col("end"))
-    stands = spans.select("example", "param", "value", F.explode(F.sequence("shot", "end")).alias("shot"))
-    states = stands.groupBy("example", "shot").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("param", "value")))).alias("state"))
-    return shots.join(states, ["example", "shot"], "left").drop("shot")
+    # A value is kept as a struct, since a null one is a value too.
+    moves = kept.select("example", "param", "it", F.lit(0).alias("_shot"), F.struct("value").alias("_value"))
+    asked = kept.select("example", "param").distinct().join(shots.select("example", "it"), "example").withColumn("_shot", F.lit(1))
+    rows = moves.unionByName(asked, allowMissingColumns=True)
+    stands = running(rows, ["example", "param"], ["it", "_shot"], F.floor(F.col("it") / part), last={"last": F.col("_value")}).where("_shot = 1 AND last IS NOT NULL")
+    states = stands.groupBy("example", "it").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("param", F.col("last.value").alias("value"))))).alias("state"))
+    return shots.join(states, ["example", "it"], "left")

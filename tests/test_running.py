@@ -77,6 +77,15 @@ def test_snapshots_over_parts(spark):
         assert sorted(((r.example, r.it, r.current, r.best, r.state) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_snapshots_of_steps_far_apart(spark):
+    # Two steps whose numbers are three billion apart: one snapshot each, and none between.
+    far = 3_000_000_000
+    steps = spark.createDataFrame([("a", 19, 0.5, 0.9), ("a", far + 19, 0.4, 0.9), ("a", far + 20, 0.3, 0.9)], "example string, it long, metric double, draw double")
+    moves = spark.createDataFrame([("a", 19, "x", 1.0), ("a", far + 19, "y", None), ("a", far + 20, "x", 2.0)], "example string, it long, param string, value double")
+    got = search.search_states(steps, moves, 0.8, 20, part=512).collect()
+    assert sorted((r.it, r.current, r.best, r.state) for r in got) == [(19, 0.5, 0.8, {"x": 1.0}), (far + 19, 0.4, 0.5, {"x": 1.0, "y": None})]
+
+
 def test_faces_that_show_their_fronts(spark):
     eye = np.eye(4)
     matrix = [100.0, 0.0, 0.0, 0.0, 100.0, 0.0, 0.0, 0.0, 1.0]
