@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -396,3 +397,25 @@ def test_long_chains_are_settled_in_few_rounds(spark, monkeypatch):
     assert sorted(tuple(x) for x in dedup.settled(df, pairs).collect()) == want and len(tables) < 10
     monkeypatch.setattr(dedup, "TAIL", 120)
     assert sorted(tuple(x) for x in dedup.settled(df, pairs).collect()) == want
+
+
+def test_search_keeps_a_tile_of_scores_in_memory(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    table = np.concatenate([r.normal(size=(200, 6)), np.repeat(r.normal(size=(4, 6)), 20, 0)])[r.permutation(280)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(table)], "id long, v array<double>")
+    unit = table / np.linalg.norm(table, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    want = [(q, i, float(scores[q, i]), n + 1) for q in range(0, 280, 4) for n, i in enumerate([i for i in sorted(range(280), key=lambda i: (-scores[q, i], i)) if i != q][:5])]
+    for tile in (7, 300, 1 << 20):
+        monkeypatch.setattr(search, "TILE", tile)
+        assert rows(search.top_k(df.where("id % 4 = 0"), df, "id", "v", 5), "query", "id", "score", "rank") == sorted(want, key=repr)
+    # What one task holds at once: 3,000 queries by 10,000 rows are 240 MB of scores, of which only tiles are made.
+    made = []
+    many = r.normal(size=(10_000, 6))
+    monkeypatch.setattr(search.np, "nonzero", lambda x, f=np.nonzero: [f(x), made.append(x.size)][0])
+    held = type("Held", (), {"value": (list(range(3000)), many[:3000])})()
+    found = {}
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema, g=type(df).mapInPandas: [found.update(f=f), g(self, f, schema)][1])
+    search.top_k(df.where("id % 4 = 0"), df, "id", "v", 5)
+    out = list(found["f"](iter([pd.DataFrame({"id": range(10_000), "v": list(many)})]), kept=held))
+    assert sum(map(len, out)) == 3000 * 6 and made and max(made) <= 1 << 20
