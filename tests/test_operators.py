@@ -419,3 +419,27 @@ def test_search_keeps_a_tile_of_scores_in_memory(spark, monkeypatch):
     search.top_k(df.where("id % 4 = 0"), df, "id", "v", 5)
     out = list(found["f"](iter([pd.DataFrame({"id": range(10_000), "v": list(many)})]), kept=held))
     assert sum(map(len, out)) == 3000 * 6 and made and max(made) <= 1 << 20
+
+
+def test_nearest_leak_compares_few_pairs_by_value(spark, monkeypatch):
+    r = np.random.default_rng(15)
+    for spread, size, limit in ((0.125, 64, 0.115), (30.0, 5, 9.0), (0.0, 3, 0.0), (0.125, 2000, 0.14)):
+        table, mine = r.normal(0, spread, (300, size)), r.normal(0, spread, (200, size))
+        mine[:20], table[50:60] = table[100:120], table[100:110]
+        ids = r.permutation(300)
+        apart = np.abs(mine[:, None] - table).mean(2)
+        want = [min((d, i) for d, i in zip(row, ids, strict=True)) for row in apart.tolist()]
+        speed, height = dedup._speed(table)
+        best, place = dedup._nearest(mine, table, ids, limit, (speed, height, dedup._waves(table, speed, np.dtype(np.float32 if size <= 1024 else np.float64))))
+        assert [(d, ids[p]) if np.isfinite(d) else None for d, p in zip(best, place, strict=True)] == [(d, i) if d <= limit else None for d, i in want]
+    # Of 600 x 4,000 pairs less than a quarter is compared by its values.
+    table, compared = r.normal(0, 0.125, (4600, 64)), []
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(table)] + [(9000, None)], "id long, v array<double>")
+    made = {}
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema, g=type(df).mapInPandas: [made.update(f=f), g(self, f, schema)][1])
+    got = {x.id: (x.nearest, x.distance) for x in dedup.leaks(df.where("id < 600 OR id = 9000"), df.where("id >= 600"), "id", "v", 0.115).collect()}
+    apart = np.abs(table[:600, None] - table[None, 600:]).mean(2)
+    assert got == {k: (600 + int(row.argmin()), round(float(row.min()), 6)) for k, row in enumerate(apart) if row.min() <= 0.115}
+    monkeypatch.setattr(dedup.np, "abs", lambda x, f=np.abs: [f(x), compared.append(x.size // 64)][0])
+    list(made["f"](iter([pd.DataFrame({"id": range(600), "v": list(table[:600])})])))
+    assert 0 < sum(compared) < 600 * 4000 / 4
