@@ -8,12 +8,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..sources.shared import drop, written
-from . import tiles
+from . import tiles, vision
 from .vision import similar_pairs
 
 #: References that are broadcast at most; more go in blocks of this size, each against all candidates.
@@ -22,6 +23,8 @@ BLOCK = 50_000
 PAIRS = 1 << 20
 #: What sums of doubles may be off by.
 ROUNDING = 1e-9
+#: Bytes of an image that is compared in blocks.
+SMALL = 4_096
 #: Weight of the wave of thrice the speed, and what (1 - cos u + THIRD * (1 - cos 3u)) / u is at most.
 THIRD, STEEPEST = 0.15, 0.7754
 #: Held-out grams that are broadcast at most.
@@ -123,16 +126,62 @@ def image_leaks(candidates: DataFrame, references: DataFrame, key: str, vector:
     """Candidates that leak a held-out reference (C5): of the references whose structural similarity is at least ``similarity``, the
     nearest by the mean absolute difference of ``vector`` (a perceptual descriptor) is within ``limit``; with that reference, its
     distance, and how many references are similar. Images have height, width and data; a null vector is near nothing."""
-    similar = similar_pairs(candidates, references, key, similarity)[2]
-    of = lambda rows, name, v: rows.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias(v))
-    pairs = similar.join(of(candidates, "a", "v"), "a").join(of(references, "b", "w"), "b")
-    apart = F.aggregate(F.zip_with("v", "w", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    nearest = pairs.withColumn("distance", apart).groupBy(F.col("a").alias(key)).agg(
-        F.min_by("b", F.when(F.col("distance").isNotNull(), F.struct("distance", "b"))).alias("nearest"), F.round(F.min("distance"), 6).alias("distance"), F.count("*").alias("similar"), F.min("distance").alias("_exact")
+    small = F.length("data") <= SMALL
+    out = _small_leaks(candidates.where(small), references.where(small), key, vector, similarity)
+    if candidates.where(~small).take(1) and references.where(~small).take(1):
+        similar = similar_pairs(candidates.where(~small), references.where(~small), key, similarity)[2]
+        of = lambda rows, name, v: rows.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias(v))
+        pairs = similar.join(of(candidates, "a", "v"), "a").join(of(references, "b", "w"), "b")
+        apart = F.aggregate(F.zip_with("v", "w", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("v")
+        out = out.unionByName(pairs.select(F.col("a").alias(key), F.col("b").alias("nearest"), apart.alias("distance"), F.lit(1).cast("long").alias("similar")))
+    nearest = out.groupBy(key).agg(
+        F.min_by("nearest", F.when(F.col("distance").isNotNull(), F.struct("distance", "nearest"))).alias("nearest"), F.round(F.min("distance"), 6).alias("distance"), F.sum("similar").alias("similar"), F.min("distance").alias("_exact")
     )
     return nearest.where(F.col("_exact") <= limit).drop("_exact")
 
 
+def _small_leaks(candidates: DataFrame, references: DataFrame, key: str, vector: str, similarity: float) -> DataFrame:
+    """(key, nearest, distance, similar) of images of few pixels, a row for each block of references that has similar ones. To
+    compare such images costs no more than a bound does, so blocks of either side meet, and all their pairs are compared at once in a task."""
+    kind = candidates.schema[key].dataType
+    image = lambda rows, ref: rows.select(F.col(key).alias("id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "data", F.length("data").alias("n"), F.col(vector).cast("array<double>").alias("v"), F.lit(ref).alias("_ref"))
+    mine, theirs, shape = image(candidates, False), image(references, True), ["height", "width", "n"]
+    sizes = mine.groupBy(*shape).agg(F.count("*").alias("_rows")).join(theirs.groupBy(*shape).agg(F.count("*").alias("_held")), shape)
+    blocks = sizes.select(*shape, _parts(F.col("_rows"), F.col("n"), 1).alias("_i"), _parts(F.col("_held"), F.col("n"), 1).alias("_j"))
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = mine.join(F.broadcast(blocks), shape).withColumns({"i": own("_i"), "j": every("_j")}).drop("_i", "_j")
+    right = theirs.join(F.broadcast(blocks), shape).withColumns({"i": every("_i"), "j": own("_j")}).drop("_i", "_j")
+
+    def compared(tile: pa.Table) -> pa.Table:
+        ids, ref = tile["id"].combine_chunks(), tile["_ref"].to_numpy()
+        height, width = tile["height"][0].as_py(), tile["width"][0].as_py()
+        images = np.stack([vision.pixels(height, width, x) for x in tile["data"].to_pylist()])
+        vectors = [None if v is None else np.array([np.nan if z is None else z for z in v], np.float64) for v in tile["v"].to_pylist()]
+        lengths = np.array([-1 if v is None else len(v) for v in vectors])
+        values = np.full((len(vectors), max(1, lengths.max())), 0.0)
+        for at, v in enumerate(vectors):
+            if v is not None:
+                values[at, : len(v)] = v
+        a, b = np.flatnonzero(~ref), np.flatnonzero(ref)
+        # By the order of ids, so that of equal distances the least id is the first found.
+        b = b[pc.sort_indices(ids.take(pa.array(b))).to_numpy()]
+        similar, best, place = np.zeros(len(a), np.int64), np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+        for low, j, value in vision.ssim_table(images[a], images[b]):
+            at = low + np.flatnonzero(value >= similarity)
+            similar[at] += 1
+            at = at[lengths[a[at]] == lengths[b[j]]] if lengths[b[j]] > 0 else at[:0]
+            apart = np.abs(values[a[at]] - values[b[j]]).sum(1) / lengths[b[j]]
+            at, apart = at[apart < best[at]], apart[apart < best[at]]
+            best[at], place[at] = apart, b[j]
+        hit, known = similar > 0, np.isfinite(best)
+        nearest = ids.take(pa.array(place[hit], mask=~known[hit]))
+        return pa.table({key: ids.take(pa.array(a[hit])), "nearest": nearest, "distance": pa.array(best[hit], mask=~known[hit]), "similar": similar[hit]})
+
+    out = StructType([StructField(key, kind), StructField("nearest", kind), StructField("distance", DoubleType()), StructField("similar", LongType())])
+    return left.unionByName(right).groupBy(*shape, "i", "j").applyInArrow(compared, out)
+
+
 def text_leaks(documents: DataFrame, held_out: DataFrame, n: int) -> DataFrame:
     """Documents that share word n-grams with held-out items: how many grams, and items (C5 on texts). Words are runs of letters of any
     alphabet, in lower case; grams are 64-bit hashes, so a broadcast of ``GRAMS`` is some 24 MB. The held-out grams are broadcast up to ``GRAMS``, so of the documents only grams that hit leave a task; beyond that both sides are shuffled."""

@@ -234,6 +234,38 @@ def similar_pairs(candidates: DataFrame, references: DataFrame, key: str, least:
     return met.select("a", "b"), left, mapped(pairs, ["a", "b"], "ssim double", compared, [f"{c}_{s}" for s in "ab" for c in ("height", "width", "data")])
 
 
+def _blurs(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """:func:`_blur` of many small images at once (images, channels, rows, columns), by matrices."""
+    for axis in (3, 2):
+        n = x.shape[axis]
+        if n >= len(g):
+            band = np.zeros((n, n - len(g) + 1))
+            for k in range(band.shape[1]):
+                band[k : k + len(g), k] = g
+            x = x @ band if axis == 3 else band.T @ x
+    return x
+
+
+def ssim_table(x: np.ndarray, y: np.ndarray, span: float = 1.0, k: tuple[float, float] = (0.01, 0.03), values: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first of x, place in y, similarities): :func:`ssim` of each of many small images (images, rows, columns, channels) with each of others,
+    in parts of bounded size."""
+    g, (c1, c2) = _window(), ((k[0] * span) ** 2, (k[1] * span) ** 2)
+    x, y = (np.ascontiguousarray(z.transpose(0, 3, 1, 2), np.float64) for z in (x, y))
+    mean_y = _blurs(y, g)
+    var_y = _blurs(y * y, g) - mean_y * mean_y
+    step = max(1, values // max(1, x[:1].size))
+    for low in range(0, len(x), step):
+        part = x[low : low + step]
+        mean = _blurs(part, g)
+        square = mean * mean
+        var = _blurs(part * part, g) - square
+        for j in range(len(y)):
+            both = mean * mean_y[j]
+            ab = _blurs(part * y[j], g) - both
+            value = (2 * both + c1) / (square + mean_y[j] * mean_y[j] + c1) * ((2 * ab + c2) / (var + var_y[j] + c2))
+            yield low, j, value.mean((2, 3)).mean(1)
+
+
 def multi_ssim(x: np.ndarray, y: np.ndarray, span: float = 1.0, weights: tuple[float, ...] = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)) -> float:
     """SSIM over five scales, each half of the one before (L3). Negative parts count as 0."""
     out = 1.0

@@ -443,3 +443,21 @@ def test_nearest_leak_compares_few_pairs_by_value(spark, monkeypatch):
     monkeypatch.setattr(dedup.np, "abs", lambda x, f=np.abs: [f(x), compared.append(x.size // 64)][0])
     list(made["f"](iter([pd.DataFrame({"id": range(600), "v": list(table[:600])})])))
     assert 0 < sum(compared) < 600 * 4000 / 4
+
+
+def test_small_images_are_compared_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(21)
+    for shape in ((1, 64, 1), (12, 14, 3), (4, 5, 1)):
+        base = r.integers(0, 256, (6, *shape))
+        images = np.clip(base[r.integers(0, 6, 60)] + r.integers(-40, 41, (60, *shape)), 0, 255).astype(np.uint8)
+        table = vision.ssim_table(images[:40, ..., ::-1] / 255.0, images[40:, ..., ::-1] / 255.0, values=1000)
+        for low, j, part in table:
+            assert part == pytest.approx([vision.ssim(images[low + k, ..., ::-1] / 255.0, images[40 + j, ..., ::-1] / 255.0)[0] for k in range(len(part))], abs=1e-9)
+        vectors = [None if k % 9 == 4 else r.integers(0, 4, 3 if k % 7 else 2).astype(float).tolist() for k in range(60)]
+        df = spark.createDataFrame([(k, shape[0], shape[1], images[k].tobytes(), v) for k, v in enumerate(vectors)], "id long, height int, width int, data binary, v array<double>")
+        got = []
+        monkeypatch.setattr(dedup, "FEW", 8)
+        for small in (4096, 0):
+            monkeypatch.setattr(dedup, "SMALL", small)
+            got.append(rows(dedup.image_leaks(df.where("id < 40"), df.where("id >= 40"), "id", "v", 0.6, 1.5), "id", "nearest", "distance", "similar"))
+        assert got[0] and got[0] == got[1]
