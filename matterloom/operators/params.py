@@ -176,11 +176,14 @@ def components(value: Column) -> Column:
     return F.when(value["kind"] == "num", F.array(value["num"])).when(value["kind"] == "vec", value["vec"]).when(value["kind"] == "pts", F.flatten(value["pts"]))
 
 
-def counters(observed: DataFrame, digits: int = 6) -> DataFrame:
-    """Per parameter: observations, those at the default, outliers, and the range over all components."""
+def counters(observed: DataFrame, digits: int = 6, weight: str | None = None) -> DataFrame:
+    """Per parameter: observations, those at the default, outliers, and the range over all components (D1, D4). With ``weight``, a row stands
+    for so many observations."""
     numbers = components(F.col("value"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
+    count = lambda which: F.sum(F.when(which, times).otherwise(0))
     return observed.groupBy("sig_key", "id", "name", "field").agg(
-        F.count("*").alias("n"), F.count_if("is_default").alias("default_count"), F.count_if("outlier").alias("outlier_count"), F.round(F.min(F.array_min(numbers)), digits).alias("lo"), F.round(F.max(F.array_max(numbers)), digits).alias("hi")
+        F.sum(times).alias("n"), count(F.col("is_default")).alias("default_count"), count(F.col("outlier")).alias("outlier_count"), F.round(F.min(F.array_min(numbers)), digits).alias("lo"), F.round(F.max(F.array_max(numbers)), digits).alias("hi")
     )
 
 

@@ -1,11 +1,15 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from matterloom.operators import params
+from matterloom.plans import params as plan
 from matterloom.sources import corpus
 
+from .conftest import SF
+
 NODE = "mat_name string, node_pos int, type string, group_type string, linked_input array<int>, json string"
 SIG = "sig_key string, category string, pos int, name string, dtype string, json string, min double, max double, enum array<string>"
 
@@ -91,3 +95,14 @@ def test_signature_files(spark, tmp_path):
     (tmp_path / "node_groups/G1.json").write_text(json.dumps({"type": "ShaderNodeGroup", "name": "G1", "input": [{"name": "x", "type": "Shader"}], "output": [{"name": "y", "type": "Float"}]}))
     got = corpus.signatures(spark, str(tmp_path)).select("sig_key", "category", "name", F.to_json("default").alias("d"), "min", "enum").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([("TypeNum", "input", "Scale", "1", 0.0, None), ("TypeNum", "attr", "mode", '"A"', None, ["A", "B"]), ("node_groups/G1", "input", "x", None, None, None), ("node_groups/G1", "output", "y", None, None, None)], key=repr)
+
+
+def test_nodes_alike_are_analysed_once(spark, monkeypatch):
+    one = spark.read.parquet(f"{SF}/lineitem.parquet").limit(300)
+    analysed, counted = [], []
+    monkeypatch.setattr(params, "analysed", lambda nodes, *a, f=params.analysed: [f(nodes, *a), analysed.append(nodes.count())][0])
+    for times in (1, 4):
+        tables = SimpleNamespace(spark=spark, lineitem=one.crossJoin(spark.range(times)).drop("id"))
+        counted.append({(r.sig_key, r.id, r.field): (r.n, r.default_count, r.outlier_count, r.lo, r.hi) for r in plan.param_counters(tables).collect()})
+    assert analysed[0] == analysed[1] <= 300 and counted[0]
+    assert counted[1] == {k: (4 * n, 4 * usual, 4 * out, lo, hi) for k, (n, usual, out, lo, hi) in counted[0].items()}
