@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import scene_files
+from .files import contents, located, scene_files, shown, tree
 
 #: File names of programs, and of the renders beside them.
 PROGRAM = r"([^/]+/[^/]+)/(blender|var_\d{5})_full\.py$"
@@ -30,14 +30,25 @@ def listing(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def programs(spark: SparkSession, root: str, variations: bool = True, generated: bool | None = None) -> DataFrame:
-    """(mat_name, data_name, code, render_path): programs that have a render (A1, C2); materials without any are not there."""
-    code = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_full.py").load(root)
-    code = _named(code, PROGRAM).select("mat_name", "data_name", F.decode("content", "utf-8").alias("code"))
+    """(mat_name, data_name, code, render_path): programs that have a render (A1, C2); materials without any are not there.
+
+    Files are listed and read by the tasks (:func:`.files.tree`), as there may be millions. On a file system that only Spark knows, its
+    reader lists them on the driver."""
+    try:
+        located(root)
+    except (ValueError, OSError):
+        code = _named(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_full.py").load(root).select("path", "content"), PROGRAM)
+        renders = _named(listing(spark, root, "*_render.jpg"), RENDER)
+    else:
+        paths = tree(spark, root)
+        # Paths are shown as Spark's readers show them.
+        code, renders = contents(_named(paths, PROGRAM), root), _named(paths, RENDER).withColumn("path", F.concat(F.lit(shown(root)), "path"))
+    code = code.select("mat_name", "data_name", F.decode("content", "utf-8").alias("code"))
     if not variations:
         code = code.where("data_name = 'blender'")
     if generated is not None:
         code = code.where(F.col("mat_name").startswith("mat_llm") == generated)
-    renders = _named(listing(spark, root, "*_render.jpg"), RENDER).select("mat_name", "data_name", F.col("path").alias("render_path"))
+    renders = renders.select("mat_name", "data_name", F.col("path").alias("render_path"))
     return code.join(renders, ["mat_name", "data_name"])
 
 

@@ -13,13 +13,17 @@ import json
 import posixpath
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .shared import written
+
 KINDS = {
     "markers": "seed string, task string",
     "masks": "seed string, path string, height int, width int, ids array<bigint>, counts array<bigint>",
@@ -27,6 +31,8 @@ KINDS = {
 }
 #: Scenes' folders that one task reads.
 GROUP = 64
+#: Tasks that list a level of folders at most, and bytes of files that are held at once.
+TASKS, BYTES = 2_000, 16 << 20
 #: The prefix of a marker's name, the folder of markers, and the name of an index.
 MARKER, LOGS, SUMMARY = "FINISH_", "logs", "summary.json"
 
@@ -38,6 +44,14 @@ def located(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
+def shown(root: str) -> str:
+    """What stands before a path of :func:`located` in the paths that Spark's readers show."""
+    scheme, colon, rest = root.partition(":")
+    if not colon or scheme == "file":
+        return "file:"
+    return f"{scheme}://{rest[2:].split('/', 1)[0]}" if scheme in ("hdfs", "viewfs") else f"{scheme}://"
+
+
 def _listed(files: fs.FileSystem, path: str, recursive: bool = False) -> list[fs.FileInfo]:
     return sorted(files.get_file_info(fs.FileSelector(path, recursive=recursive, allow_not_found=True)), key=lambda f: f.path)
 
@@ -139,6 +153,56 @@ class FileWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
+def hidden(name: str) -> bool:
+    """Whether Spark's readers pass a file or folder of that name over."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path): every file below ``root``, at any depth. Folders are listed by the tasks, level by level, and what a level holds is
+    written, so no list of the files or folders is ever on the driver."""
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = located(root)[0]
+        for pdf in batches:
+            for folder in pdf["path"]:
+                found = [f for f in _listed(files, folder) if not hidden(f.base_name)]
+                for k in range(0, len(found), 10_000):
+                    part = found[k : k + 10_000]
+                    yield pd.DataFrame({"path": [f.path for f in part], "folder": [f.type == fs.FileType.Directory for f in part]})
+
+    levels = []
+    folders = spark.createDataFrame([(located(root)[1],)], "path string")
+    while True:
+        # Dealt by their names, as one folder may hold them all.
+        level = written(folders.mapInPandas(inside, "path string, folder boolean"), "tree")
+        levels.append(level.where("NOT folder").select("path"))
+        folders = level.where("folder").select("path")
+        count = folders.count()
+        if not count:
+            return reduce(DataFrame.unionByName, levels)
+        folders = folders.repartition(max(1, min(-(-count // GROUP), TASKS)), "path")
+
+
+def contents(paths: DataFrame, root: str) -> DataFrame:
+    """``paths`` (path, and others) with the ``content`` of the files, which the tasks read."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = located(root)[0]
+        for pdf in batches:
+            start, size, found = 0, 0, []
+            for k, path in enumerate(pdf["path"]):
+                with files.open_input_file(path) as file:
+                    found.append(file.read())
+                size += len(found[-1])
+                if size > BYTES or k + 1 == len(pdf):
+                    yield pdf.iloc[start : k + 1].assign(content=found)
+                    start, size, found = k + 1, 0, []
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paths.schema)
+    return paths.mapInPandas(read, f"{kinds}, content binary")
+
+
 class NamedFiles(DataSource):
     @classmethod
     def name(cls) -> str:

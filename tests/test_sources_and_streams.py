@@ -197,3 +197,21 @@ def test_scene_files_are_dealt_out_and_pruned(spark, tmp_path):
     reader = files.SceneReader(files.StructType.fromDDL(files.KINDS["masks"]) if hasattr(files.StructType, "fromDDL") else shapes.schema, {"path": root, "kind": "masks"})
     left = list(reader.pushFilters([files.EqualTo(("seed",), "s5"), files.EqualTo(("height",), 2)]))
     assert [f.attribute for f in left] == [("height",)] and [p.names for p in reader.partitions()] == [["s5"]]
+
+
+def test_programs_are_listed_by_the_tasks(spark, tmp_path):
+    names = ["s/m1/blender", "s/m1/var_00001", "s/m 2/blender", "deep/er/s/m3/blender", "_not/m4/blender", ".no/m5/blender", "s/_m6/blender", "s/a=b/blender"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        for end in ("_full.py", "_render.jpg", ".txt"):
+            (tmp_path / f"{name}{end}").write_text(f"{name} ü")
+    (tmp_path / "s/m1/var_00002_full.py").write_text("no render")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        got = corpus.programs(spark, root)
+        want = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_render.jpg").load(root)
+        assert sorted(r.render_path for r in got.collect()) == sorted(r.path for r in want.collect())
+        assert sorted((r.mat_name, r.data_name, r.code) for r in got.collect()) == sorted(("/".join(n.split("/")[-3:-1]), n.split("/")[-1], f"{n} ü") for n in names if not any(p[0] in "._" for p in n.split("/")))
+        # What the driver lists are the files of the written levels, not those of the corpus.
+        assert not [f for f in got.inputFiles() if f.endswith((".py", ".jpg"))]
+    (tmp_path / "none").mkdir()
+    assert corpus.programs(spark, str(tmp_path / "none")).collect() == []
